@@ -14,6 +14,7 @@ back only: the two commute, so the repeats can go before the cutoff is known.
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +42,20 @@ def effective_scope(config: JourneyConfig) -> str:
     return config.first_visit_scope
 
 
+def events_that_count(config: JourneyConfig, labelled: Collection[str] | None) -> list[str] | None:
+    """Events that can bear on the journeys, given those that can get a label (None: any).
+
+    Hits of other events leave at the scan: the test is on the event name alone and is pushed down.
+    """
+    scope = effective_scope(config)
+    if labelled is None or scope in ("all", "converters"):
+        return None
+    also = [config.conversion.event]
+    if scope == "exclude":
+        also.append(config.first_visit_event)
+    return [name for name in config.events if name in labelled or name in also]
+
+
 def _platform_slots(platforms: tuple[str, ...] | None) -> dict[str, Column]:
     """Conversion time of a hit by platform, one column per listed value and one for none."""
     if platforms is None:
@@ -67,7 +82,7 @@ def session_blocks(hits: DataFrame, config: JourneyConfig) -> DataFrame:
     slots = _platform_slots(sessions.platforms)
 
     grouped = F.col("content_group").isNotNull()
-    wanted = [grouped]
+    wanted = []
     carried: dict[str, Column] = {}
     if sessions.platforms is not None:
         hits = hits.withColumn("conversion_ts", _check_platform(sessions.platforms))
@@ -80,10 +95,7 @@ def session_blocks(hits: DataFrame, config: JourneyConfig) -> DataFrame:
         wanted.append(F.col("is_hit") & ~is_first)
         carried["has_other_hit"] = F.bool_or(F.col("is_hit") & ~is_first).alias("has_other_hit")
 
-    # Hits with no group that bear on nothing leave before the shuffle.
-    hits = hits.where(reduce(lambda a, b: a | b, wanted)).withColumn(
-        "chunk", time_chunk(sessions.chunk_seconds)
-    )
+    hits = hits.withColumn("chunk", time_chunk(sessions.chunk_seconds))
     ordered = W.partitionBy("key", "chunk").orderBy(TIME, *tie)
     before = ordered.rowsBetween(W.unboundedPreceding, -1)
     previous = F.last("content_group", ignorenulls=True).over(before)
@@ -91,7 +103,7 @@ def session_blocks(hits: DataFrame, config: JourneyConfig) -> DataFrame:
     kept = (
         hits.withColumn("__previous", previous)
         .withColumn("__is_step", is_step)
-        .where(reduce(lambda a, b: a | b, [F.col("__is_step"), *wanted[1:]]))
+        .where(reduce(lambda a, b: a | b, [F.col("__is_step"), *wanted]))
         .withColumn("__n", F.row_number().over(ordered))
         .withColumn("block", F.expr(f"(__n - 1) div {int(sessions.block_steps)}"))
     )

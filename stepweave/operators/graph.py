@@ -99,7 +99,7 @@ def nodes(df: DataFrame, count_col: str = "counts") -> DataFrame:
 
 def index_nodes(node_weights: DataFrame, count_col: str = "counts") -> DataFrame:
     """Attach ``value_index`` from 0 by descending weight; equal weights by the MD5 of the label."""
-    ranked = with_running(node_weights, count_col, "value")
+    ranked = with_running(node_weights, count_col, ["value"])
     return ranked.withColumnRenamed("position", "value_index").drop("running", "total")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +21,16 @@ def share_of_total(df: DataFrame, count_col: str = "counts") -> DataFrame:
 
 
 def running_share(
-    df: DataFrame, count_col: str = "counts", min_count: int | None = None, tie_col: str = "journey"
+    df: DataFrame,
+    count_col: str = "counts",
+    min_count: int | None = None,
+    tie_cols: Sequence[str] = ("journey",),
 ) -> DataFrame:
-    """Attach the share and the running share, most frequent first, for counts of at least the minimum."""
-    ranked = with_running(df, count_col, tie_col, min_count)
+    """Attach the share and the running share, most frequent first, for counts of at least the minimum.
+
+    ``tie_cols`` identify a row; add the conversion flag for a table that holds both kinds.
+    """
+    ranked = with_running(df, count_col, tie_cols, min_count)
     return (
         ranked.withColumn("count_percent", F.col(count_col).cast("double") / F.col("total"))
         .withColumn("count_percent_cum", F.col("running").cast("double") / F.col("total"))
@@ -47,14 +55,14 @@ def long_tail(
     count_col: str = "counts",
     min_share: float = 0.9,
     min_count: int = 4,
-    tie_col: str = "journey",
+    tie_cols: Sequence[str] = ("journey",),
 ) -> tuple[DataFrame, DataFrame]:
     """Journeys of at least the minimum count with their shares, and a one-row report.
 
     The rows are returned whether or not they reach the share; the report says so in ``ok`` and
     suggests the largest minimum that would.
     """
-    kept = running_share(df, count_col, min_count, tie_col)
+    kept = running_share(df, count_col, min_count, tie_cols)
     share = F.col("sum_to").cast("double") / F.col("total")
     report = count_histogram(df, count_col).agg(
         F.coalesce(F.max(F.when(F.col("c") >= min_count, share)), F.lit(0.0)).alias("coverage"),

@@ -1,6 +1,7 @@
 """Positions and running sums over a whole table by descending count, without a one-task window.
 
-The order is: count descending, then the MD5 of the tie column, then the tie column. Any order among
+The order is: count descending, then the MD5 of the first tie column, then the tie columns, which
+together identify a row. Any order among
 equal counts is as good as another; this one cuts a run of equal counts, however long, into even
 buckets by the first digits of the MD5.
 
@@ -12,6 +13,8 @@ counts is ever ordered in one task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,7 +57,7 @@ def _with_running(sizes: DataFrame) -> DataFrame:
 
 
 def with_running(
-    df: DataFrame, count_col: str, tie_col: str, min_count: int | None = None
+    df: DataFrame, count_col: str, tie_cols: Sequence[str], min_count: int | None = None
 ) -> DataFrame:
     """Attach ``position`` (from 0), ``running`` (sum up to the row) and ``total`` (of all rows).
 
@@ -64,7 +67,7 @@ def with_running(
     require_counts(df, count_col)
     buckets = (
         df.where(F.col(count_col).isNotNull())
-        .groupBy(F.col(count_col).cast("bigint").alias("c"), _bucket(tie_col).alias("b"))
+        .groupBy(F.col(count_col).cast("bigint").alias("c"), _bucket(tie_cols[0]).alias("b"))
         .agg(F.count("*").alias("n"))
     )
     # At most 16 ** BUCKET_DIGITS buckets in a row.
@@ -89,9 +92,9 @@ def with_running(
         "__c", F.col("part.b").alias("__b"), "__n_above", "__sum_above", "total", before.alias("__before")
     )
 
-    rows = df.withColumn("__count", F.col(count_col).cast("bigint")).withColumn("__bucket", _bucket(tie_col))
+    rows = df.withColumn("__count", F.col(count_col).cast("bigint")).withColumn("__bucket", _bucket(tie_cols[0]))
     inside = W.partitionBy("__count", "__bucket").orderBy(
-        F.md5(F.col(tie_col).cast("binary")), F.col(tie_col)
+        F.md5(F.col(tie_cols[0]).cast("binary")), *tie_cols
     )
     ahead = F.col("__before") + F.row_number().over(inside)
     return (

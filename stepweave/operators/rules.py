@@ -67,6 +67,12 @@ def content_group(
     return chain if default is None else chain.otherwise(F.lit(default))
 
 
+def events_of_rules(rules: Iterable[Rule], enable: Sequence[str] = ()) -> set[str] | None:
+    """Events that a live rule can label; None if some rule labels any event."""
+    events = {rule.event for rule in live_rules(rules, enable)}
+    return None if None in events else events
+
+
 def shadowed_rules(rules: Iterable[Rule]) -> list[tuple[Rule, Rule]]:
     """Pairs (rule, earlier rule) where the rule can never fire.
 

@@ -71,15 +71,22 @@ def conversion_ts(conversion: Conversion, *, strict: bool = False) -> Column:
     return F.when(sets_cutoff, F.col(TIME))
 
 
-def session_hits(events: DataFrame, config: JourneyConfig, columns: Mapping[str, Column]) -> DataFrame:
+def session_hits(
+    events: DataFrame,
+    config: JourneyConfig,
+    columns: Mapping[str, Column],
+    only_events: Sequence[str] | None = None,
+) -> DataFrame:
     """Flat hits of one journey query, from one scan.
 
     Holds the hits of the query and the hits that only set a cutoff; the latter have
     ``is_hit`` false. The few parameters in use are taken out here, so the nested array goes no
-    further. Hits without a key are dropped unless the settings keep them.
+    further. Hits without a key are dropped unless the settings keep them. ``only_events`` narrows
+    the listed events where the caller needs no others.
     """
     conversion, sessions = config.conversion, config.sessions
-    listed = F.col("event_name").isin(*config.events)
+    names = [name for name in config.events if only_events is None or name in only_events]
+    listed = F.col("event_name").isin(*names)
     converts = F.col("event_name") == conversion.event
     on_hit_stream = where_stream(config.hit_streams)
 
@@ -94,8 +101,12 @@ def session_hits(events: DataFrame, config: JourneyConfig, columns: Mapping[str,
         scanned = events.where((on_hit_stream & listed) | converts)
 
     strict = config.strict_params
+    cutoff_time = conversion_ts(conversion, strict=strict)
     key = session_key(sessions.separator, sessions.session_param, strict=strict)
-    if not sessions.keep_null_keys:
+    if sessions.keep_null_keys:
+        # A NULL key never joins a cutoff.
+        cutoff_time = F.when(key.isNotNull(), cutoff_time)
+    else:
         scanned = scanned.where(key.isNotNull())
     return scanned.select(
         key.alias("key"),
@@ -104,8 +115,7 @@ def session_hits(events: DataFrame, config: JourneyConfig, columns: Mapping[str,
         TIME,
         *sessions.tie_break,
         order_conversion(conversion).alias("order_conversion"),
-        # A NULL key never joins a cutoff.
-        F.when(key.isNotNull(), conversion_ts(conversion, strict=strict)).alias("conversion_ts"),
+        cutoff_time.alias("conversion_ts"),
         (on_hit_stream & where_events(config.events, conversion)).alias("is_hit"),
         *[column.alias(name) for name, column in columns.items()],
     )

@@ -11,8 +11,14 @@ from pyspark.sql import functions as F
 from stepweave.config import Conversion, JourneyConfig, Sessions
 from stepweave.functions.params import contains_pattern, label_if, param_on
 from stepweave.operators import paths, qc, sessions
-from stepweave.operators.blocks import link_blocks, session_blocks
-from stepweave.operators.rules import Rule, content_group, content_group_by_event, map_category
+from stepweave.operators.blocks import events_that_count, link_blocks, session_blocks
+from stepweave.operators.rules import (
+    Rule,
+    content_group,
+    content_group_by_event,
+    events_of_rules,
+    map_category,
+)
 
 # Events, texts and labels of the two products.
 WEB_CONVERSION = Conversion(
@@ -117,9 +123,14 @@ def label_hits(hits: DataFrame, group: Column) -> DataFrame:
     )
 
 
-def web_hits(events: DataFrame, rules: Sequence[Rule], config: JourneyConfig = WEB) -> DataFrame:
+def web_hits(
+    events: DataFrame,
+    rules: Sequence[Rule],
+    config: JourneyConfig = WEB,
+    only_events: Sequence[str] | None = None,
+) -> DataFrame:
     """Labelled hits of the website query."""
-    hits = sessions.session_hits(events, config, web_columns(config.strict_params))
+    hits = sessions.session_hits(events, config, web_columns(config.strict_params), only_events)
     return label_hits(hits, content_group(rules))
 
 
@@ -128,9 +139,10 @@ def app_hits(
     categories: DataFrame,
     config: JourneyConfig = APP,
     by_event: Mapping[str, str] = APP_LABELS_BY_EVENT,
+    only_events: Sequence[str] | None = None,
 ) -> DataFrame:
     """Labelled hits of the app query: the category's group, else the value chosen by event."""
-    hits = sessions.session_hits(events, config, app_columns(config.strict_params))
+    hits = sessions.session_hits(events, config, app_columns(config.strict_params), only_events)
     hits = map_category(hits, categories, "app_view_itemlist")
     return label_hits(hits, F.coalesce(F.col("category_group"), content_group_by_event(by_event)))
 
@@ -158,12 +170,19 @@ def journey_counts(hits: DataFrame, config: JourneyConfig) -> DataFrame:
 
 def web_journeys(events: DataFrame, rules: Sequence[Rule], config: JourneyConfig = WEB) -> DataFrame:
     """Website journeys and their session counts; by default of non-converters, last 8 days."""
-    return journey_counts(web_hits(events, rules, config), config)
+    only = events_that_count(config, events_of_rules(rules))
+    return journey_counts(web_hits(events, rules, config, only), config)
 
 
-def app_journeys(events: DataFrame, categories: DataFrame, config: JourneyConfig = APP) -> DataFrame:
+def app_journeys(
+    events: DataFrame,
+    categories: DataFrame,
+    config: JourneyConfig = APP,
+    by_event: Mapping[str, str] = APP_LABELS_BY_EVENT,
+) -> DataFrame:
     """App journeys and their session counts; by default of converters, last 8 days."""
-    return journey_counts(app_hits(events, categories, config), config)
+    only = events_that_count(config, {"view_item_list", *by_event})
+    return journey_counts(app_hits(events, categories, config, by_event, only), config)
 
 
 def qc_hits(

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepweave.schema import EVENT_PARAMS
+
 AS_OF = "2024-01-31"
 SITE = "https://shop.example.com"
 HOME_URLS = (f"{SITE}/en", "https://stores.example.com/en-us/")
@@ -102,13 +104,17 @@ def _bag(texts: dict[str, Column]) -> Column:
         value = F.struct(text.cast("string").alias("string_value"), number.cast("bigint").alias("int_value"))
         return F.struct(F.lit(key).alias("key"), value.alias("value"))
 
-    none = F.lit(None)
-    entries = [F.when(F.col("session").isNotNull(), entry("ga_session_id", none, F.col("session")))]
-    entries += [F.when(text.isNotNull(), entry(key, text, none)) for key, text in texts.items()]
-    return F.array_compact(F.array(*entries))
+    none, empty = F.lit(None), F.array().cast(EVENT_PARAMS)
+    present = [
+        F.when(F.col("session").isNotNull(), F.array(entry("ga_session_id", none, F.col("session"))))
+    ]
+    present += [F.when(text.isNotNull(), F.array(entry(key, text, none))) for key, text in texts.items()]
+    return F.concat(*[one.otherwise(empty) for one in present])
 
 
 def _hits(events: DataFrame, event_name: Column, texts: dict[str, Column]) -> DataFrame:
+    # The array goes through a generator of one row: to the optimizer it is then a column like one
+    # from a file, and no filter repeats the work of building it.
     return events.select(
         "event_id",
         "event_timestamp",
@@ -118,7 +124,7 @@ def _hits(events: DataFrame, event_name: Column, texts: dict[str, Column]) -> Da
         "platform",
         "stream_id",
         "device",
-        _bag(texts).alias("event_params"),
+        F.inline(F.array(F.struct(_bag(texts).alias("event_params")))),
     )
 
 

@@ -255,16 +255,19 @@ def preview_journeys(spark, d):
     return profile.preview(web_journeys(WEB_ALL)(spark, d), 25, order)
 
 
+TIES = ("journey", "conversion_flg")
+
+
 def _rounded_shares(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(c, 9) for c in df.columns if c.startswith(("count_percent", "coverage"))})
 
 
 def running_share(spark, d):
-    return _rounded_shares(longtail.running_share(web_table(spark, d)))
+    return _rounded_shares(longtail.running_share(web_table(spark, d), tie_cols=TIES))
 
 
 def long_tail(spark, d):
-    kept, _ = longtail.long_tail(web_table(spark, d), min_share=MIN_SHARE, min_count=MIN_COUNT)
+    kept, _ = longtail.long_tail(web_table(spark, d), min_share=MIN_SHARE, min_count=MIN_COUNT, tie_cols=TIES)
     return _rounded_shares(kept)
 
 
