@@ -100,11 +100,11 @@ def session_blocks(hits: DataFrame, config: JourneyConfig) -> DataFrame:
     before = ordered.rowsBetween(W.unboundedPreceding, -1)
     previous = F.last("content_group", ignorenulls=True).over(before)
     is_step = grouped & (F.col("__previous").isNull() | (F.col("__previous") != F.col("content_group")))
+    # Both window columns in one select: one window operator over one sort.
     kept = (
-        hits.withColumn("__previous", previous)
+        hits.select("*", previous.alias("__previous"), F.row_number().over(ordered).alias("__n"))
         .withColumn("__is_step", is_step)
         .where(reduce(lambda a, b: a | b, [F.col("__is_step"), *wanted]))
-        .withColumn("__n", F.row_number().over(ordered))
         .withColumn("block", F.expr(f"(__n - 1) div {int(sessions.block_steps)}"))
     )
     step = F.struct(TIME, *tie, "content_group", "conversion_flg")
@@ -125,24 +125,22 @@ def link_blocks(blocks: DataFrame, config: JourneyConfig, cutoff: DataFrame | No
     whole = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     before = ordered.rowsBetween(W.unboundedPreceding, -1)
 
-    if config.sessions.platforms is None:
-        if cutoff is not None:
-            blocks = blocks.join(cutoff, "key", "left")
-        else:
-            blocks = blocks.withColumn("cutoff", F.lit(None).cast("bigint"))
-    else:
-        names = list(_platform_slots(config.sessions.platforms))
-        earliest = [F.min(name).over(whole) for name in names]
-        latest = F.greatest(*earliest) if len(earliest) > 1 else earliest[0]
-        blocks = blocks.withColumn("cutoff", latest)
+    last_group = F.get(F.col("steps.content_group"), F.size("steps") - 1)
+    blocks = blocks.withColumn("__last", last_group)
+    # All window columns in one select: one window operator over one sort.
+    linked = [F.last("__last", ignorenulls=True).over(before).alias("__carried")]
     for flag in ("has_first_visit", "has_other_hit"):
         if flag in blocks.columns:
-            blocks = blocks.withColumn(flag, F.bool_or(flag).over(whole))
-
-    last_group = F.get(F.col("steps.content_group"), F.size("steps") - 1)
-    blocks = blocks.withColumn("__last", last_group).withColumn(
-        "__carried", F.last("__last", ignorenulls=True).over(before)
-    )
+            linked.append(F.bool_or(flag).over(whole).alias(flag))
+    if config.sessions.platforms is not None:
+        earliest = [F.min(name).over(whole) for name in _platform_slots(config.sessions.platforms)]
+        linked.append(F.greatest(*earliest).alias("cutoff"))
+    elif cutoff is not None:
+        blocks = blocks.join(cutoff, "key", "left")
+        linked.append(F.col("cutoff"))
+    else:
+        linked.append(F.lit(None).cast("bigint").alias("cutoff"))
+    blocks = blocks.select("key", "chunk", "block", "steps", *linked)
     if scope != "none":
         blocks = blocks.where(first_visit_condition(scope))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,18 +37,13 @@ class Rule:
         if self.match == "any" and self.event is None:
             raise ValueError(f"a rule needs a pattern or an event: {self!r}")
 
-    def condition(self) -> Column:
-        tests = []
-        if self.event is not None:
-            tests.append(F.col("event_name") == self.event)
+    def matches(self) -> Column:
+        """The test on the text; the event is tested apart."""
         if self.match == "equals":
-            tests.append(F.col(self.field) == self.pattern)
-        elif self.match == "regex":
-            tests.append(contains_pattern(F.col(self.field), self.pattern))
-        condition = tests[0]
-        for test in tests[1:]:
-            condition = condition & test
-        return condition
+            return F.col(self.field) == self.pattern
+        if self.match == "regex":
+            return contains_pattern(F.col(self.field), self.pattern)
+        return F.lit(True)
 
 
 def live_rules(rules: Iterable[Rule], enable: Sequence[str] = ()) -> list[Rule]:
@@ -58,13 +54,19 @@ def live_rules(rules: Iterable[Rule], enable: Sequence[str] = ()) -> list[Rule]:
 def content_group(
     rules: Iterable[Rule], default: str | None = None, enable: Sequence[str] = ()
 ) -> Column:
-    """One ``CASE`` over the live rules in their order."""
-    chain = F
-    for rule in live_rules(rules, enable):
-        chain = chain.when(rule.condition(), F.lit(rule.label))
-    if chain is F:
-        return F.lit(default).cast("string")
-    return chain if default is None else chain.otherwise(F.lit(default))
+    """The label of the first live rule that matches, else the default.
+
+    Neighbouring rules of one event share its test: each such run is one ``CASE``, and the first run
+    with a label wins. The order of the rules is kept. Besides saving tests this keeps the generated
+    code of a long rule set small enough to be compiled to machine code.
+    """
+    runs = []
+    for event, run in groupby(live_rules(rules, enable), key=lambda rule: rule.event):
+        chain = F
+        for rule in run:
+            chain = chain.when(rule.matches(), F.lit(rule.label))
+        runs.append(chain if event is None else F.when(F.col("event_name") == event, chain))
+    return F.coalesce(*runs, F.lit(default).cast("string"))
 
 
 def events_of_rules(rules: Iterable[Rule], enable: Sequence[str] = ()) -> set[str] | None:

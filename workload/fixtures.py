@@ -65,11 +65,11 @@ ITEM_CATEGORIES = tuple(name for name, _, _ in CATEGORIES) + UNLISTED
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
-    # Microseconds without a time zone, from the difference to the epoch.
+    k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
+    # Microseconds from the day and the time of day: no time zone, whole numbers only.
     micros = F.expr(
-        "cast(cast(cast(ts - timestamp_ntz'1970-01-01 00:00:00' as interval second) as decimal(20, 6))"
-        " * 1000000 as bigint)"
+        "unix_date(cast(ts as date)) * 86400000000"
+        " + cast(cast(ts - cast(cast(ts as date) as timestamp_ntz) as interval second) * 1000000 as bigint)"
     )
     session = F.expr("cast(case when k % 50 = 0 then null else day(ts) div (1 + user_id % 5) end as bigint)")
     return (
