@@ -53,8 +53,8 @@ def histogram(df: DataFrame, column: str, bins: int, more_than: int | None = Non
     ends = values.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where(F.col("lo").isNotNull())
     # The two ends enter as a scalar subquery: one row, no join.
     with_ends = values.select("x", ends.select(F.struct("lo", "hi")).scalar().alias("e"))
-    exact = F.expr(f"least({bins}, ((x - e.lo) * {bins}) div nullif(e.hi - e.lo, 0) + 1)")
-    counts = with_ends.groupBy(F.coalesce(exact, F.lit(bins // 2 + 1)).cast("int").alias("bin")).agg(
+    below = F.coalesce(F.expr(f"(x - e.lo) * {bins} div nullif(e.hi - e.lo, 0)"), F.lit(bins // 2))
+    counts = with_ends.groupBy(F.least(below + 1, F.lit(bins)).cast("int").alias("bin")).agg(
         F.count("*").alias("n")
     )
     span = F.col("hi") - F.col("lo")
