@@ -6,6 +6,8 @@ it stays inside whole-stage code generation, and the scan reads only the typed s
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,19 +62,39 @@ def label_if(condition: Column, label: str) -> Column:
 _SPECIAL = set("\\^$.|?*+()[]{}")
 
 
+def plain_texts(pattern: str) -> list[str] | None:
+    """The alternatives of a pattern of plain texts, else None."""
+    parts = pattern.split("|")
+    return parts if all(part and not _SPECIAL & set(part) for part in parts) else None
+
+
+def at_very_end(pattern: str) -> str:
+    """A final ``$`` as the very end of the text: in Java it also matches before a last newline."""
+    if pattern.endswith("$") and not pattern.endswith("\\$"):
+        return pattern[:-1] + "\\z"
+    return pattern
+
+
 def contains_pattern(value: Column, pattern: str) -> Column:
     """True where the text contains a match of the regular expression.
 
     An alternation of plain texts becomes substring tests, which are several times faster than a
-    regular expression and mean the same. A final ``$`` means the very end of the text: in Java it
-    would also match before a last newline.
+    regular expression and mean the same.
     """
-    parts = pattern.split("|")
-    if all(part and not _SPECIAL & set(part) for part in parts):
-        test = value.contains(parts[0])
-        for part in parts[1:]:
-            test = test | value.contains(part)
-        return test
-    if pattern.endswith("$") and not pattern.endswith("\\$"):
-        pattern = pattern[:-1] + "\\z"
-    return value.rlike(pattern)
+    texts = plain_texts(pattern)
+    if texts is None:
+        return value.rlike(at_very_end(pattern))
+    return reduce(lambda test, text: test | value.contains(text), texts[1:], value.contains(texts[0]))
+
+
+def sql_text(text: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def contains_pattern_sql(column: str, pattern: str) -> str:
+    """The same test on a column, as SQL text."""
+    texts = plain_texts(pattern)
+    if texts is None:
+        return f"`{column}` RLIKE {sql_text(at_very_end(pattern))}"
+    return " OR ".join(f"contains(`{column}`, {sql_text(text)})" for text in texts)

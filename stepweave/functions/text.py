@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stepweave.functions.params import sql_text
+
 STEP_SEPARATOR = " > "
 END_STEP = "Journey End"
 
@@ -63,7 +65,7 @@ def hex_to_rgba(color: Column, opacity: float) -> Column:
 
 def palette_color(index: Column, palette: tuple[str, ...] = PALETTE) -> Column:
     """Hex colour of a node index; the palette repeats when there are more nodes than colours."""
-    colors = F.array(*[F.lit(c) for c in palette])
+    colors = F.expr(f"array({', '.join(sql_text(c) for c in palette)})")
     return F.get(colors, (index % len(palette)).cast("int"))
 
 

@@ -85,7 +85,6 @@ def session_blocks(hits: DataFrame, config: JourneyConfig) -> DataFrame:
     wanted = []
     carried: dict[str, Column] = {}
     if sessions.platforms is not None:
-        hits = hits.withColumn("conversion_ts", _check_platform(sessions.platforms))
         wanted.append(F.col("conversion_ts").isNotNull())
         carried |= {name: F.min(column).alias(name) for name, column in slots.items()}
     if scope == "exclude":
@@ -107,6 +106,8 @@ def session_blocks(hits: DataFrame, config: JourneyConfig) -> DataFrame:
         .where(reduce(lambda a, b: a | b, [F.col("__is_step"), *wanted]))
         .withColumn("block", F.expr(f"(__n - 1) div {int(sessions.block_steps)}"))
     )
+    if sessions.platforms is not None:
+        kept = kept.withColumn("conversion_ts", _check_platform(sessions.platforms))
     step = F.struct(TIME, *tie, "content_group", "conversion_flg")
     packed = kept.groupBy("key", "chunk", "block").agg(
         F.sort_array(F.collect_list(F.when(F.col("__is_step"), step))).alias("steps"),

@@ -7,13 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepweave.functions.params import sql_text
 from stepweave.functions.text import STEP_SEPARATOR, journey_length
 
 
-def _sql_text(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def journeys_by_key(linked: DataFrame, separator: str = STEP_SEPARATOR) -> DataFrame:
     """One journey per key from linked blocks: key, journey, conversion_flg.
 
@@ -21,7 +18,7 @@ def journeys_by_key(linked: DataFrame, separator: str = STEP_SEPARATOR) -> DataF
     """
     text = F.array_join(F.col("steps.content_group"), separator)
     flagged = F.exists("steps", lambda step: step["conversion_flg"])
-    joined = F.expr(f"listagg(__text, {_sql_text(separator)}) within group (order by chunk, block)")
+    joined = F.expr(f"listagg(__text, {sql_text(separator)}) within group (order by chunk, block)")
     return (
         linked.select("key", "chunk", "block", text.alias("__text"), flagged.alias("__flagged"))
         .groupBy("key")
@@ -36,7 +33,7 @@ def journeys_from_steps(
 ) -> DataFrame:
     """The same from one row per step, for keys known to be short."""
     by = ", ".join(f"`{column}`" for column in order)
-    joined = F.expr(f"listagg(content_group, {_sql_text(separator)}) within group (order by {by})")
+    joined = F.expr(f"listagg(content_group, {sql_text(separator)}) within group (order by {by})")
     return steps.groupBy("key").agg(
         joined.alias("journey"), F.max("conversion_flg").alias("conversion_flg")
     )

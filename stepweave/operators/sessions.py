@@ -100,6 +100,11 @@ def session_hits(
     else:
         scanned = events.where((on_hit_stream & listed) | converts)
 
+    if conversion.event in names and config.hit_streams in (None, conversion.streams):
+        is_hit = F.lit(True)
+    else:
+        is_hit = on_hit_stream & where_events(names, conversion)
+
     strict = config.strict_params
     cutoff_time = conversion_ts(conversion, strict=strict)
     key = session_key(sessions.separator, sessions.session_param, strict=strict)
@@ -107,7 +112,9 @@ def session_hits(
         # A NULL key never joins a cutoff.
         cutoff_time = F.when(key.isNotNull(), cutoff_time)
     else:
-        scanned = scanned.where(key.isNotNull())
+        # The parts rather than the key: cheaper, and the test on the user reaches the file scan.
+        session = param(sessions.session_param, "int_value", strict=strict)
+        scanned = scanned.where(F.col("user_pseudo_id").isNotNull() & session.isNotNull())
     return scanned.select(
         key.alias("key"),
         "platform",
@@ -116,7 +123,7 @@ def session_hits(
         *sessions.tie_break,
         order_conversion(conversion).alias("order_conversion"),
         cutoff_time.alias("conversion_ts"),
-        (on_hit_stream & where_events(config.events, conversion)).alias("is_hit"),
+        is_hit.alias("is_hit"),
         *[column.alias(name) for name, column in columns.items()],
     )
 

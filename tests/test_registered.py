@@ -1,4 +1,4 @@
-"""Every registered query against DuckDB on the smallest tables."""
+"""Every registered query against DuckDB on the smallest tables, and its plan for what must not be there."""
 
 import pytest
 
@@ -21,6 +21,9 @@ def test_every_query_has_sql():
 def test_equals_duckdb(spark, connection, name):
     df = contract.queries()[name](spark, SF_DIR)
     assert difference(df, connection, contract.oracle_sql()[name]) is None
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for bad in ("Python", "Cartesian", "BroadcastNestedLoop", "ArrowEval"):
+        assert bad not in plan
 
 
 def test_entry(spark):

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepweave.functions.params import sql_text
 from stepweave.schema import EVENT_PARAMS
 
 AS_OF = "2024-01-31"
@@ -94,7 +95,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pick(values: tuple[str, ...], index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), index)
+    return F.get(F.expr(f"array({', '.join(sql_text(v) for v in values)})"), index)
 
 
 def _bag(texts: dict[str, Column]) -> Column:
@@ -115,12 +116,12 @@ def _bag(texts: dict[str, Column]) -> Column:
 def _hits(events: DataFrame, event_name: Column, texts: dict[str, Column]) -> DataFrame:
     # The array goes through a generator of one row: to the optimizer it is then a column like one
     # from a file, and no filter repeats the work of building it.
-    return events.select(
+    return events.withColumn("event_name", event_name).select(
         "event_id",
         "event_timestamp",
         "event_date",
         "user_pseudo_id",
-        event_name.alias("event_name"),
+        "event_name",
         "platform",
         "stream_id",
         "device",
