@@ -94,7 +94,10 @@ def session_blocks(hits: DataFrame, config: JourneyConfig) -> DataFrame:
         wanted.append(F.col("is_hit") & ~is_first)
         carried["has_other_hit"] = F.bool_or(F.col("is_hit") & ~is_first).alias("has_other_hit")
 
-    hits = hits.withColumn("chunk", time_chunk(sessions.chunk_seconds))
+    # Hits with no group that bear on nothing leave before the shuffle.
+    hits = hits.where(reduce(lambda a, b: a | b, [grouped, *wanted])).withColumn(
+        "chunk", time_chunk(sessions.chunk_seconds)
+    )
     ordered = W.partitionBy("key", "chunk").orderBy(TIME, *tie)
     before = ordered.rowsBetween(W.unboundedPreceding, -1)
     previous = F.last("content_group", ignorenulls=True).over(before)

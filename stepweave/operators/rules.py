@@ -70,6 +70,16 @@ def content_group(
     return F.expr(f"coalesce({', '.join(runs)})")
 
 
+def with_label(hits: DataFrame, label: Column, name: str = "content_group") -> DataFrame:
+    """Attach a label, computed once per hit.
+
+    A filter on a plain computed column is moved below it and repeats its whole expression, for a rule
+    set with every parameter lookup in it, at the scan. A filter does not pass a generator, so
+    the label goes through one that yields a single row; it is part of the same generated code.
+    """
+    return hits.select("*", F.inline(F.array(F.struct(label.alias(name)))))
+
+
 def events_of_rules(rules: Iterable[Rule], enable: Sequence[str] = ()) -> set[str] | None:
     """Events that a live rule can label; None if some rule labels any event."""
     events = {rule.event for rule in live_rules(rules, enable)}

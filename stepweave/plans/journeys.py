@@ -18,6 +18,7 @@ from stepweave.operators.rules import (
     content_group_by_event,
     events_of_rules,
     map_category,
+    with_label,
 )
 
 # Events, texts and labels of the two products.
@@ -118,9 +119,8 @@ def app_columns(strict: bool = False) -> dict[str, Column]:
 
 def label_hits(hits: DataFrame, group: Column) -> DataFrame:
     """Attach the content group and the conversion flag; rows that are not hits get no group."""
-    return hits.withColumn("content_group", F.when(F.col("is_hit"), group)).withColumn(
-        "conversion_flg", sessions.conversion_flg()
-    )
+    flagged = hits.withColumn("conversion_flg", sessions.conversion_flg())
+    return with_label(flagged, F.when(F.col("is_hit"), group))
 
 
 def web_hits(
@@ -204,7 +204,7 @@ def qc_hits(
         & sessions.where_events(event_names, conversion)
     )
     hits = kept.select("event_name", *[c.alias(name) for name, c in web_columns().items()])
-    return hits.withColumn("content_group", content_group(rules, default="Other"))
+    return with_label(hits, content_group(rules, default="Other"))
 
 
 def content_group_qc(events: DataFrame, rules: Sequence[Rule], **settings) -> DataFrame:

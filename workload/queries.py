@@ -361,8 +361,8 @@ def build() -> dict[str, Query]:
         "qc_group_counts": lambda spark, d: qc.qc_group_counts(
             plans.qc_hits(fx.web_events(spark, d), QC_RULES, days=None)
         ),
-        "qc_other_only": lambda spark, d: qc.qc_counts(
-            qc.where_group(plans.qc_hits(fx.web_events(spark, d), QC_RULES, days=None), "Other")
+        "qc_other_only": lambda spark, d: qc.sort_qc(
+            qc.qc_counts(qc.where_group(plans.qc_hits(fx.web_events(spark, d), QC_RULES, days=None), "Other"))
         ),
         "scan_trailing_days": scan_trailing_days,
         "param_extract": param_extract,
@@ -383,7 +383,7 @@ def build() -> dict[str, Query]:
         "repeat_removal": repeat_removal,
         "previous_group": previous_group,
         "journeys_by_key": journeys_by_key,
-        "journey_counts": app_all,
+        "journey_counts": lambda spark, d: paths.sort_journeys(app_all(spark, d), by_flag=True),
         "nonempty_converted": nonempty_converted,
         "journeys_matching": journeys_matching,
         "journey_length_range": journey_length_range,
