@@ -6,8 +6,9 @@ import re
 import pytest
 
 from stepweave.operators import longtail
+from stepweave.operators.sessions import with_previous
 from stepweave.plans import journeys as plans
-from stepweave.sources import read_events, write_events
+from stepweave.sources import read_categories, read_events, write_events
 from workload import fixtures as fx
 from workload import queries as q
 
@@ -79,3 +80,24 @@ def test_running_share_orders_only_the_table_of_counts_in_one_task(spark):
     single = plan[plan.index("SinglePartition"):] if "SinglePartition" in plan else ""
     assert plan.count("SinglePartition") == 1
     assert "journey" not in single.split("\n")[0]
+
+
+def test_filters_do_not_repeat_the_rules(spark, stored):
+    events = read_events(spark, stored, "2024-01-01", "2024-12-31")
+    plan = physical(with_previous(plans.web_hits(events, q.RULES, q.WEB)))
+    # Once for each of the two branches.
+    assert plan.count("/en/menu/appetizers") == 2
+
+
+def test_small_category_map_is_broadcast_and_a_large_one_is_not(spark, tmp_path):
+    path = str(tmp_path / "categories")
+    fx.categories(spark).selectExpr("item_category", "sessions", "content_group", "'' b", "'' g").write.csv(
+        path, header=True
+    )
+    events = fx.app_events(spark, SF_DIR)
+    for categories in (fx.categories(spark), read_categories(spark, path)):
+        assert "BroadcastHashJoin" in physical(plans.app_hits(events, categories, q.APP))
+    large = spark.range(10**9).selectExpr(
+        "cast(id as string) item_category", "id sessions", "'x' content_group", "true enabled"
+    )
+    assert "SortMergeJoin" in physical(plans.app_hits(events, large, q.APP))

@@ -182,7 +182,6 @@ def app_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def categories(spark: SparkSession) -> DataFrame:
-    rows = [(name, sessions, group, True) for name, sessions, group in CATEGORIES]
-    return spark.createDataFrame(
-        rows, "item_category string, sessions bigint, content_group string, enabled boolean"
-    )
+    # An inline table: its size is known to the planner, like that of a file.
+    rows = ", ".join(f"({sql_text(name)}, {sessions}L, {sql_text(group)}, true)" for name, sessions, group in CATEGORIES)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(item_category, sessions, content_group, enabled)")
