@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as contract
+from workload import oracles
+from workload import queries as registered
 from workload.compare import difference, duckdb_tables
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -14,10 +16,10 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(registered.build()) == set(oracles.build())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(registered.build()))
 def test_equals_duckdb(spark, connection, name):
     df = contract.queries()[name](spark, SF_DIR)
     assert difference(df, connection, contract.oracle_sql()[name]) is None
