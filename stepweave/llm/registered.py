@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stepweave.llm import langid, minhash
+from stepweave.llm import decontaminate, langid, minhash, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def source_domain() -> Column:
+    """The tables have no domain: sources are dealt to four by the number in their names."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), r"(\d+)$", 1)
+    return F.concat(F.lit("domain"), F.pmod(F.coalesce(number.try_cast("int"), F.lit(0)), F.lit(4)).cast("string"))
+
+
+WEIGHTS = {
+    "domain": {"domain0": 4, "domain1": 3, "domain2": 2},
+    "lang": {"en": 5, "de": 2, "fr": 2},
+    "source": {"src0": 3},
+}
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.Mix(WEIGHTS, percent=110), source_domain())
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -25,6 +47,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def build() -> dict[str, Query]:
     return {
+        "op1_mix_sources": op1_mix_sources,
+        "op4_decontaminate": op4_decontaminate,
         "op8_language_id": op8_language_id,
         "op10_minhash": op10_minhash,
     }

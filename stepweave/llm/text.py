@@ -56,7 +56,15 @@ def letters_table() -> np.ndarray:
     return table
 
 
+def alnum_table() -> np.ndarray:
+    """Words are runs of letters, digits and bytes beyond ASCII; A-Z are lowered. 0 separates."""
+    table = letters_table()
+    table[48:58] = np.arange(48, 58)
+    return table
+
+
 SPACED = spaced_table()
+ALNUM = alnum_table()
 LETTERS = letters_table()
 
 
