@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm import decontaminate, langid, minhash, mixing
+from stepweave.llm import decontaminate, langid, minhash, mixing, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,8 @@ WEIGHTS = {
     "source": {"src0": 3},
 }
 
+PIPELINE_MIX = mixing.Mix(WEIGHTS, percent=90, epochs=1)
+
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), mixing.Mix(WEIGHTS, percent=110), source_domain())
@@ -37,6 +39,16 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_documents(table(spark, sf_dir, "documents"), tokens.Output(tokenizer_path()))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -49,6 +61,7 @@ def build() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op4_decontaminate": op4_decontaminate,
+        "op5_token_output": op5_token_output,
         "op8_language_id": op8_language_id,
         "op10_minhash": op10_minhash,
     }
