@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm import decontaminate, langid, minhash, mixing, tokens
+from stepweave.llm import decontaminate, langid, minhash, mixing, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), mixing.Mix(WEIGHTS, percent=110), source_domain())
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,6 +64,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_toxicity": op2_toxicity,
         "op4_decontaminate": op4_decontaminate,
         "op5_token_output": op5_token_output,
         "op8_language_id": op8_language_id,
