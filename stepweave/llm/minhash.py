@@ -10,8 +10,9 @@ No bucket is ever expanded into all its pairs, however many copies meet in it:
 1. Documents with equal sets form a class, stood for by its smallest id.
 2. In each bucket all members are compared with one leader, in a few rounds with other leaders.
    What is linked so far is contracted to components after every round.
-3. In buckets that still hold several components, every pair of members of different components is
-   compared, so that no candidate is left out.
+3. What still meets in a bucket without being of one component is put into blocks of bounded size, and the
+   full sets of every two blocks are compared as a product of matrices, within a task that returns
+   only links that join components. No candidate is left out and none becomes a row.
 
 Only components are returned, so pairs inside one component need no comparison.
 """
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.llm import text as tx
@@ -42,7 +43,9 @@ class MinMax:
     percent: int = 80
     hashes: int = 48
     rows: int = 4
-    leader_rounds: int = 3
+    leader_rounds: int = 2
+    block: int = 512
+    block_shingles: int = 200_000
 
 
 SIGNED = "id long, n_shingles long, set_a long, set_b long, bands array<long>"
@@ -119,11 +122,116 @@ def _links(rows: DataFrame, reps: DataFrame, config: MinMax) -> DataFrame:
         compare(members.join(stored(leader, "leaders"), "bucket").where("at <> other_at"))
         if members.isEmpty():
             return links
-    others = members.select(
-        "bucket", F.col("rep").alias("other"), F.col("size").alias("other_size"), F.col("at").alias("other_at")
+    return links.union(_rest(members, texts, config))
+
+
+def _rest(members: DataFrame, texts: DataFrame, config: MinMax) -> DataFrame:
+    """Links between different components of members that meet in a bucket, compared block by block.
+
+    A group is what hangs together by buckets. Its members are dealt to blocks by hash; those of a component
+    that fills blocks of its own stand apart, so that they need not meet each other.
+    """
+    first = stored(members.groupBy("bucket").agg(F.min("rep").alias("first")), "first")
+    group = components(members.join(first, "bucket").select("rep", "first"), "rep", "first")
+    rest = members.select("rep", "size", "at").distinct().join(group.withColumnRenamed("node", "rep"), "rep")
+    rest = stored(rest.withColumnRenamed("component", "s"), "rest")
+
+    def blocks_of(n: str, size: str) -> Column:
+        return F.greatest(F.ceil(F.col(n) / config.block), F.ceil(F.col(size) / config.block_shingles))
+
+    by_at = rest.groupBy("s", "at").agg(F.count("*").alias("n"), F.sum("size").alias("m"))
+    by_at = by_at.withColumn("k", blocks_of("n", "m")).withColumn("solo", F.when(F.col("k") > 1, F.col("at")))
+    small = by_at.where("solo is null").groupBy("s").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    small = small.select("s", blocks_of("n", "m").alias("k_small"))
+    plan = stored(by_at.join(small, "s", "left").select("s", "at", "solo", F.when(F.col("k") > 1, F.col("k")).otherwise(F.col("k_small")).alias("k")), "plan")
+    chunk = F.concat_ws(":", F.coalesce("solo", F.lit(-1)), F.pmod(F.xxhash64("rep"), F.col("k")))
+    placed = rest.join(plan, ["s", "at"]).select("rep", "s", "at", "solo", chunk.alias("chunk"))
+    sets = texts.join(placed, F.col("id") == F.col("rep")).select("rep", "s", "at", "solo", "chunk", "text")
+    sets = sets.mapInArrow(
+        lambda batches: _packed(batches, config), "rep long, s long, at long, solo long, chunk string, shingles binary"
     )
-    compare(members.join(others, "bucket").where("at < other_at"))
-    return links
+    blocks = sets.groupBy("s", "chunk", "solo").agg(F.collect_list(F.struct("rep", "at", "shingles")).alias("rows"))
+    blocks = stored(blocks, "blocks")
+    heads = blocks.select("s", F.col("chunk").alias("chunk_a"), F.col("solo").alias("solo_a"))
+    other = blocks.select("s", F.col("chunk").alias("chunk_b"), F.col("solo").alias("solo_b"))
+    pairs = heads.join(other, "s").where("chunk_a <= chunk_b and coalesce(solo_a <> solo_b, true)")
+    pairs = stored(pairs.select("s", "chunk_a", "chunk_b"), "block-pairs")
+    a = blocks.select("s", F.col("chunk").alias("chunk_a"), F.col("rows").alias("rows_a"))
+    b = blocks.select("s", F.col("chunk").alias("chunk_b"), F.col("rows").alias("rows_b"))
+    laid = pairs.join(a, ["s", "chunk_a"]).join(b, ["s", "chunk_b"]).select("rows_a", "rows_b")
+    return stored(laid.mapInArrow(lambda batches: _joining(batches, config), "a long, b long"), "links")
+
+
+def _packed(batches: Iterator[pa.RecordBatch], config: MinMax) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        packed = pa.array([x.tobytes() for x in _sets(batch.column("text"), config)], pa.binary())
+        kept = batch.select([c for c in batch.schema.names if c != "text"])
+        yield kept.append_column("shingles", packed)
+
+
+COLUMNS = 16_384  # shingles of a matrix product
+
+
+def _joining(batches: Iterator[pa.RecordBatch], config: MinMax) -> Iterator[pa.RecordBatch]:
+    """Of two blocks, links that join different components, as few as it takes."""
+    for batch in batches:
+        found: list[tuple[int, int]] = []
+        for row in range(batch.num_rows):
+            sides = []
+            for name in ("rows_a", "rows_b"):
+                rows = batch.column(name)[row].values
+                packed = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.field("shingles")]
+                sides.append((rows.field("rep").to_numpy(), rows.field("at").to_numpy(), packed))
+            found += _join_blocks(*sides, config)
+        a, b = zip(*found, strict=True) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _join_blocks(left: tuple, right: tuple, config: MinMax) -> list[tuple[int, int]]:
+    (rep_a, at_a, sets_a), (rep_b, at_b, sets_b) = left, right
+    both = _intersections(sets_a, sets_b)
+    sizes_a, sizes_b = np.array([len(x) for x in sets_a]), np.array([len(x) for x in sets_b])
+    close = 100 * both >= config.percent * (sizes_a[:, None] + sizes_b - both)
+    close &= at_a[:, None] != at_b
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for i, j in np.argwhere(close).tolist():
+        x, y = find(int(at_a[i])), find(int(at_b[j]))
+        if x != y:
+            root[x] = y
+            out.append((int(rep_a[i]), int(rep_b[j])))
+    return out
+
+
+def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections: membership matrices over the common shingles, a range of columns at a time."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
+    common = np.intersect1d(flat_a, flat_b)
+    places = []
+    for flat, sets in ((flat_a, a), (flat_b, b)):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(common, flat)
+        at[at == len(common)] = 0
+        known = common[at] == flat if len(common) else np.zeros(len(flat), bool)
+        order = np.argsort(at[known], kind="stable")
+        places.append((row[known][order], at[known][order]))
+    for start in range(0, len(common), COLUMNS):
+        width = min(COLUMNS, len(common) - start)
+        matrices = []
+        for (row, at), n in zip(places, (len(a), len(b)), strict=True):
+            low, high = np.searchsorted(at, (start, start + width))
+            dense = np.zeros((n, width), np.float32)
+            dense[row[low:high], at[low:high] - start] = 1
+            matrices.append(dense)
+        out += matrices[0] @ matrices[1].T
+    return out.astype(np.int64)
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, config: MinMax) -> DataFrame:

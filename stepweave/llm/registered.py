@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm import decontaminate, langid, minhash, mixing, tokens, toxicity
+from stepweave.llm import decontaminate, langid, minhash, mixing, suffix, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.MinMax(words=2))
 
@@ -68,5 +73,6 @@ def build() -> dict[str, Query]:
         "op4_decontaminate": op4_decontaminate,
         "op5_token_output": op5_token_output,
         "op8_language_id": op8_language_id,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_minhash": op10_minhash,
     }
