@@ -85,5 +85,55 @@ def op1_mix_sources() -> str:
     return f"with {tables} select id as doc_id, domain, lang, source, epoch, n_tokens from mixed"
 
 
+OP3_LINE_DEDUP = """
+with lines as (
+  select doc_id, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as at
+  from documents
+),
+gone as (select trim(line) as line from lines where trim(line) <> '' group by 1 having count(distinct source) >= 10),
+flagged as (select l.doc_id, l.line, l.at, g.line is not null as gone from lines l left join gone g on trim(l.line) = g.line)
+select d.doc_id,
+  coalesce(len(string_split(d.text, chr(10))), 0)::integer as n_lines,
+  coalesce(f.n_removed, 0)::integer as n_removed,
+  md5(case when f.n_removed > 0 then coalesce(f.kept, '') else d.text end) as kept_md5
+from documents d left join (
+  select doc_id, count(*) filter (where gone) as n_removed, string_agg(line, chr(10) order by at) filter (where not gone) as kept
+  from flagged group by doc_id
+) f using (doc_id)
+"""
+
+OP7_CHAT_ROTATION = """
+with messages as (
+  select distinct conv_id, turn, replace(case when coalesce(role, '') = '' then 'unknown' else role end, '<|', '< |') as speaker,
+    replace(coalesce(text, ''), '<|', '< |') as body
+  from conversations
+),
+people as (select distinct conv_id, speaker as perspective from messages where speaker <> 'system'),
+pieces as (
+  select conv_id, perspective, turn, md5(concat(speaker, ':', body)) as tie, speaker = perspective as own,
+    floor(coalesce(turn, -1) / 64) as block,
+    case when speaker = 'system' then '<|im_start|>system' when speaker = perspective then '<|im_start|>assistant'
+      else concat('<|im_start|>user name=', speaker) end || chr(10) as head,
+    concat(body, '<|im_end|>') as body
+  from messages join people using (conv_id)
+),
+placed as (
+  select *, dense_rank() over (partition by conv_id, perspective order by block) - 1 as part,
+    coalesce(sum(length(head) + length(body) + 1) over (
+      partition by conv_id, perspective, block order by turn, tie rows between unbounded preceding and 1 preceding), 0) as before
+  from pieces
+)
+select conv_id, perspective, part::integer as part, count(*)::integer as n_messages,
+  string_agg(concat(head, body, chr(10)), '' order by turn, tie) as text,
+  coalesce(string_agg(concat(before + length(head), '-', before + length(head) + length(body)), ',' order by turn, tie)
+    filter (where own), '') as mask
+from placed group by conv_id, perspective, part
+"""
+
+
 def build() -> dict[str, str]:
-    return {"op1_mix_sources": op1_mix_sources()}
+    return {
+        "op1_mix_sources": op1_mix_sources(),
+        "op3_line_dedup": OP3_LINE_DEDUP,
+        "op7_chat_rotation": OP7_CHAT_ROTATION,
+    }
