@@ -87,17 +87,17 @@ def op1_mix_sources() -> str:
 
 OP3_LINE_DEDUP = """
 with lines as (
-  select doc_id, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as at
+  select doc_id, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as place
   from documents
 ),
 gone as (select trim(line) as line from lines where trim(line) <> '' group by 1 having count(distinct source) >= 10),
-flagged as (select l.doc_id, l.line, l.at, g.line is not null as gone from lines l left join gone g on trim(l.line) = g.line)
+flagged as (select l.doc_id, l.line, l.place, g.line is not null as gone from lines l left join gone g on trim(l.line) = g.line)
 select d.doc_id,
   coalesce(len(string_split(d.text, chr(10))), 0)::integer as n_lines,
   coalesce(f.n_removed, 0)::integer as n_removed,
   md5(case when f.n_removed > 0 then coalesce(f.kept, '') else d.text end) as kept_md5
 from documents d left join (
-  select doc_id, count(*) filter (where gone) as n_removed, string_agg(line, chr(10) order by at) filter (where not gone) as kept
+  select doc_id, count(*) filter (where gone) as n_removed, string_agg(line, chr(10) order by place) filter (where not gone) as kept
   from flagged group by doc_id
 ) f using (doc_id)
 """
