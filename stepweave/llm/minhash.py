@@ -143,7 +143,8 @@ def _rest(members: DataFrame, texts: DataFrame, config: MinMax) -> DataFrame:
     by_at = by_at.withColumn("k", blocks_of("n", "m")).withColumn("solo", F.when(F.col("k") > 1, F.col("at")))
     small = by_at.where("solo is null").groupBy("s").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     small = small.select("s", blocks_of("n", "m").alias("k_small"))
-    plan = stored(by_at.join(small, "s", "left").select("s", "at", "solo", F.when(F.col("k") > 1, F.col("k")).otherwise(F.col("k_small")).alias("k")), "plan")
+    k = F.when(F.col("k") > 1, F.col("k")).otherwise(F.col("k_small"))
+    plan = stored(by_at.join(small, "s", "left").select("s", "at", "solo", k.alias("k")), "plan")
     chunk = F.concat_ws(":", F.coalesce("solo", F.lit(-1)), F.pmod(F.xxhash64("rep"), F.col("k")))
     placed = rest.join(plan, ["s", "at"]).select("rep", "s", "at", "solo", chunk.alias("chunk"))
     sets = texts.join(placed, F.col("id") == F.col("rep")).select("rep", "s", "at", "solo", "chunk", "text")
