@@ -20,8 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of no language (``und``), and correct ``lang`` of the others to what was found."""
     model = langid.fit(docs)
     others = [c for c in docs.columns if c != "doc_id"]
-    found = langid.predict(docs, model, keep=others).where(F.col("lang_pred") != langid.UND)
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    found = langid.predict(docs, model, keep=others, prefix="__").where(F.col("__lang_pred") != langid.UND)
+    return found.withColumn("lang", F.col("__lang_pred")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ symbol is one table look-up.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -62,7 +62,13 @@ class LanguageModel:
     automata: tuple[Automaton, ...]
 
 
-def fit(labelled: DataFrame, config: LanguageSample = LanguageSample(), text_col="text", lang_col="lang", id_col="doc_id"):
+def fit(
+    labelled: DataFrame,
+    config: LanguageSample = LanguageSample(),
+    text_col: str = "text",
+    lang_col: str = "lang",
+    id_col: str = "doc_id",
+) -> LanguageModel:
     """Learn from rows with text and language; all others are left out.
 
     The sample of a language is its rows with the smallest hashes of id and text. It is found with
@@ -162,17 +168,21 @@ def _table(automaton: Automaton, n_symbols: int) -> np.ndarray:
 
 
 def predict(
-    docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None
+    docs: DataFrame,
+    model: LanguageModel,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: Sequence[str] = (),
+    prefix: str = "",
 ) -> DataFrame:
-    """``docs`` with lang_pred and score; columns: id, those of ``keep``, lang_pred, score, phrases.
+    """A row per row of ``docs``: id, the columns of ``keep``, lang_pred, score, phrases (by language).
 
-    ``und`` with score 0 where the text is null or has no letter, or where no language was learned.
+    ``prefix`` goes before the last three names, so that they don't clash with what is kept. ``und`` with score 0 where the text is null or has no letter, or where no language was learned.
     Ties go to the language first in alphabetical order. The score, 0 to 1, is the winner's share of
     the odds that the estimated bits give to all languages, at one tenth of a bit a bit. Windows of 512
     symbols are parsed on their own; every language pays the same for that. Repeated rows
     and null ids give a row each; long texts are parsed whole.
     """
-    keep = keep or []
     text = F.col(text_col).cast("string")
     rows = docs.select(
         F.col(id_col).alias("id"),
@@ -189,9 +199,7 @@ def predict(
     return found.select(
         F.col("id").alias(id_col),
         *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)],
-        "lang_pred",
-        "score",
-        "phrases",
+        *[F.col(c).alias(f"{prefix}{c}") for c in ("lang_pred", "score", "phrases")],
     )
 
 
