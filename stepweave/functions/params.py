@@ -69,10 +69,26 @@ def plain_texts(pattern: str) -> list[str] | None:
 
 
 def at_very_end(pattern: str) -> str:
-    """A final ``$`` as the very end of the text: in Java it also matches before a last newline."""
-    if pattern.endswith("$") and not pattern.endswith("\\$"):
-        return pattern[:-1] + "\\z"
-    return pattern
+    """Every ``$`` anchor as the very end of the text: in Java it also matches before a last newline.
+
+    A dollar that is escaped, or stands in brackets or between \\Q and \\E, is a character.
+    """
+    out: list[str] = []
+    at, depth, quoted = 0, 0, False
+    while at < len(pattern):
+        two = pattern[at : at + 2]
+        if quoted:
+            quoted = two != "\\E"
+            step = pattern[at] if quoted else two
+        elif pattern[at] == "\\":
+            quoted = two == "\\Q"
+            step = two
+        else:
+            step = pattern[at]
+            depth = max(0, depth + (step == "[") - (step == "]"))
+        out.append("\\z" if step == "$" and not depth and not quoted else step)
+        at += len(step)
+    return "".join(out)
 
 
 def contains_pattern(value: Column, pattern: str) -> Column:

@@ -32,7 +32,11 @@ def _quoted(separator: str) -> str:
 
 
 def split_steps(journey: Column, separator: str = STEP_SEPARATOR, max_steps: int | None = None) -> Column:
-    """Journey text to its steps; beyond ``max_steps`` they are cut without a sign."""
+    """Journey text to its steps; beyond ``max_steps`` they are cut without a sign.
+
+    A missing journey is an empty one, which has one step without a name. CSV files don't tell the two apart.
+    """
+    journey = F.coalesce(journey, F.lit(""))
     if max_steps is None:
         return F.split(journey, _quoted(separator))
     if max_steps < 1:
@@ -49,6 +53,7 @@ def with_end_step(
     journey: Column, conversion_label: str = "Conversion", separator: str = STEP_SEPARATOR
 ) -> Column:
     """Append the end step unless the text, less white space at its end, ends with the label."""
+    journey = F.coalesce(journey, F.lit(""))
     converted = F.endswith(F.regexp_replace(journey, r"\s+\z", ""), F.lit(conversion_label))
     return F.when(converted, journey).otherwise(F.concat(journey, F.lit(separator + END_STEP)))
 

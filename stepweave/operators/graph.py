@@ -30,11 +30,11 @@ def add_journey_end(
 
 def with_steps(
     df: DataFrame,
-    max_steps: int = 10,
+    max_steps: int | None = None,
     separator: str = STEP_SEPARATOR,
     journey_col: str = "journey",
 ) -> DataFrame:
-    """Attach ``steps``, the first ``max_steps`` steps as an array."""
+    """Attach ``steps``, all steps or the first ``max_steps`` as an array. A missing journey is an empty one."""
     return df.withColumn("steps", split_steps(F.col(journey_col), separator, max_steps))
 
 

@@ -1,7 +1,7 @@
 """Positions and running sums over a whole table by descending count, without a one-task window.
 
 The order is: count descending, then the MD5 of the first tie column, then the tie columns, which
-together identify a row. Any order among
+together identify a row; a missing value has the MD5 of the empty text and comes before it. Any order among
 equal counts is as good as another; this one cuts a run of equal counts, however long, into even
 buckets by the first digits of the MD5.
 
@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-BUCKET_DIGITS = 2
+BUCKET_DIGITS = 3
 
 
-def _bucket(tie_col: str) -> Column:
-    return F.substring(F.md5(F.col(tie_col).cast("binary")), 1, BUCKET_DIGITS)
+def _hash(tie_col: str) -> Column:
+    return F.md5(F.coalesce(F.col(tie_col).cast("string"), F.lit("")).cast("binary"))
 
 
 def require_counts(df: DataFrame, count_col: str) -> None:
@@ -57,45 +57,42 @@ def _with_running(sizes: DataFrame) -> DataFrame:
 
 
 def with_running(
-    df: DataFrame, count_col: str, tie_cols: Sequence[str], min_count: int | None = None
+    df: DataFrame,
+    count_col: str,
+    tie_cols: Sequence[str],
+    min_count: int | None = None,
+    bucket_digits: int = BUCKET_DIGITS,
 ) -> DataFrame:
     """Attach ``position`` (from 0), ``running`` (sum up to the row) and ``total`` (of all rows).
 
     Rows below ``min_count`` come last in the order, so they are left out without touching the
-    others; they still count in the total.
+    others; they still count in the total. A run of equal counts is cut into 16 ** ``bucket_digits`` buckets.
     """
     require_counts(df, count_col)
+    bucket = F.substring(_hash(tie_cols[0]), 1, bucket_digits)
     buckets = (
         df.where(F.col(count_col).isNotNull())
-        .groupBy(F.col(count_col).cast("bigint").alias("c"), _bucket(tie_cols[0]).alias("b"))
+        .groupBy(F.col(count_col).cast("bigint").alias("c"), bucket.alias("b"))
         .agg(F.count("*").alias("n"))
     )
-    # At most 16 ** BUCKET_DIGITS buckets in a row.
-    sizes = buckets.groupBy("c").agg(
-        F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("b", "n"))).alias("parts")
-    )
-    bases = _with_running(sizes)
+    # A partition of this window holds the buckets of one count.
+    earlier = W.partitionBy("c").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    parts = buckets.select("c", "b", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
+    bases = _with_running(buckets.groupBy("c").agg(F.sum("n").alias("n")))
     if min_count is not None:
         bases = bases.where(F.col("c") >= min_count)
         df = df.where(F.col(count_col) >= min_count)
-    before = F.aggregate(
-        F.slice("parts", 1, F.col("i")), F.lit(0).cast("bigint"), lambda acc, part: acc + part["n"]
-    )
-    bases = bases.select(
+    bases = bases.join(parts, "c").select(
         F.col("c").alias("__c"),
+        F.col("b").alias("__b"),
         (F.col("n_to") - F.col("n")).alias("__n_above"),
         (F.col("sum_to") - F.col("c") * F.col("n")).alias("__sum_above"),
         "total",
-        "parts",
-        F.posexplode("parts").alias("i", "part"),
-    ).select(
-        "__c", F.col("part.b").alias("__b"), "__n_above", "__sum_above", "total", before.alias("__before")
+        "__before",
     )
 
-    rows = df.withColumn("__count", F.col(count_col).cast("bigint")).withColumn("__bucket", _bucket(tie_cols[0]))
-    inside = W.partitionBy("__count", "__bucket").orderBy(
-        F.md5(F.col(tie_cols[0]).cast("binary")), *tie_cols
-    )
+    rows = df.withColumn("__count", F.col(count_col).cast("bigint")).withColumn("__bucket", bucket)
+    inside = W.partitionBy("__count", "__bucket").orderBy(_hash(tie_cols[0]), *tie_cols)
     ahead = F.col("__before") + F.row_number().over(inside)
     return (
         rows.join(bases, (F.col("__count") == F.col("__c")) & (F.col("__bucket") == F.col("__b")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -14,16 +15,16 @@ from stepweave.sources.tables import cut_lineage, pick_conversion
 
 @dataclass(frozen=True)
 class FlowSettings:
-    """Which journeys a flow chart shows: their kind, lengths, number, and steps drawn.
+    """Which journeys a flow chart shows: their kind, lengths, number, and steps drawn; all unless set.
 
-    The length is taken before the end step is added and does not count it.
+    The length is taken before the end step is added and does not count it. A missing journey is an empty one.
     """
 
     converted: bool | None = None
-    min_length: int | None = 1
-    max_length: int | None = 6
-    top: int | None = 10
-    max_steps: int = 10
+    min_length: int | None = None
+    max_length: int | None = None
+    top: int | None = None
+    max_steps: int | None = None
     node_opacity: float = 0.9
     link_opacity: float = 0.3
     conversion_label: str = "Conversion"
@@ -31,9 +32,9 @@ class FlowSettings:
 
 
 # The three charts of the notebooks.
-APP_CONVERTERS = FlowSettings(converted=True)
-APP_NON_CONVERTERS = FlowSettings(converted=False, top=100)
-WEB_NON_CONVERTERS = FlowSettings(converted=False, min_length=6, max_length=9, max_steps=5)
+APP_CONVERTERS = FlowSettings(converted=True, min_length=1, max_length=6, top=10, max_steps=10)
+APP_NON_CONVERTERS = dataclasses.replace(APP_CONVERTERS, converted=False, top=100)
+WEB_NON_CONVERTERS = FlowSettings(converted=False, min_length=6, max_length=9, top=10, max_steps=5)
 
 
 def profile_journeys(
@@ -70,15 +71,20 @@ def flow_journeys(journeys: DataFrame, settings: FlowSettings) -> DataFrame:
 
 
 def flow_tables(journeys: DataFrame, settings: FlowSettings = FlowSettings()) -> tuple[DataFrame, DataFrame]:
-    """(edges, nodes) of a flow chart.
+    """(edges, nodes) of a flow chart of journeys."""
+    return flow_of_steps(flow_journeys(journeys, settings), settings)
 
-    Runs one job: the journeys are read once and summed to a table of transitions, of the order
-    of the number of labels squared, which is stored in the shared folder; both results come from it.
+
+def flow_of_steps(stepped: DataFrame, settings: FlowSettings = FlowSettings()) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) of a flow chart of any table with ``steps`` and ``counts``, also ``steps_of_columns``.
+
+    The journeys are read once and summed to a table of transitions, of the order of the number of
+    labels squared. It and the ordered nodes are stored in the shared folder, where the
+    cluster's retention removes them; the results are read from there.
     """
-    stepped = flow_journeys(journeys, settings)
     moves = cut_lineage(graph.transitions(stepped))
     weights = moves.groupBy(F.col("target").alias("value")).agg(F.sum("counts").alias("counts"))
-    indexed = graph.color_nodes(graph.index_nodes(weights), settings.node_opacity)
+    indexed = cut_lineage(graph.color_nodes(graph.index_nodes(weights), settings.node_opacity))
     edge_weights = moves.where(F.col("source").isNotNull())
     linked = graph.link_color(graph.index_edges(edge_weights, indexed), settings.link_opacity)
     return linked, indexed

@@ -21,10 +21,12 @@ from stepweave.rulesets import website_qc_rules, website_rules
 from stepweave.sources import (
     cut_lineage,
     read_categories,
+    read_events,
     read_journeys,
     read_journeys_csv,
     shared_folder,
     write_csv,
+    write_events,
     write_snapshot,
 )
 from workload import fixtures as fx
@@ -298,6 +300,35 @@ def parse_steps(spark, d):
     return graph.parse_steps(web_journeys(WEB_ALL)(spark, d), max_steps=10)
 
 
+def uneven_table(spark, d):
+    """The web journeys and an empty one, which CSV reads back as missing, in the middle of the counts."""
+    table = web_journeys(WEB_ALL)(spark, d)
+    empty = table.agg(
+        F.lit("").alias("journey"), F.lit(False).alias("conversion_flg"), (F.sum("counts") % 7 + 5).alias("counts")
+    )
+    folder = shared_folder(spark)
+    write_csv(table.union(empty), folder)
+    return read_journeys_csv(spark, folder)
+
+
+def long_tail_null_journey(spark, d):
+    kept, _ = longtail.long_tail(uneven_table(spark, d), min_share=MIN_SHARE, min_count=MIN_COUNT, tie_cols=TIES)
+    return _rounded_shares(kept)
+
+
+def sankey_of_columns(spark, d):
+    """From step columns, wide enough for every journey, to the edges of a flow of all of them."""
+    wide = graph.parse_steps(web_table(spark, d), max_steps=64)
+    return reports.flow_of_steps(graph.steps_of_columns(wide))[0]
+
+
+def events_by_day(spark, d):
+    folder = shared_folder(spark)
+    write_events(fx.web_events(spark, d), folder)
+    events = read_events(spark, folder, "2024-01-23", "2024-01-30")
+    return plans.web_journeys(events, RULES, WEB)
+
+
 def step_pairs(spark, d):
     pairs = graph.step_pairs(graph.with_steps(web_journeys(WEB_ALL)(spark, d)))
     return pairs.groupBy("source", "target").agg(
@@ -315,7 +346,7 @@ def flow(journeys: Query, settings: reports.FlowSettings, which: int) -> Query:
 
 def snapshot_roundtrip(spark, d):
     folder = shared_folder(spark)
-    journeys = web_journeys(dataclasses.replace(WEB, converted=None))(spark, d)
+    journeys = web_journeys(WEB_ALL)(spark, d)
     write_snapshot(journeys, folder, "2024-01-24")
     write_snapshot(journeys, folder, fx.AS_OF)
     write_snapshot(journeys, folder, fx.AS_OF)
@@ -412,6 +443,16 @@ def build() -> dict[str, Query]:
         "sankey_nodes_app_nonconverters": flow(app_all, reports.APP_NON_CONVERTERS, 1),
         "sankey_edges_web_nonconverters": flow(web_journeys(WEB_ALL), reports.WEB_NON_CONVERTERS, 0),
         "sankey_nodes_web_nonconverters": flow(web_journeys(WEB_ALL), reports.WEB_NON_CONVERTERS, 1),
+        "sankey_edges_all": flow(uneven_table, reports.FlowSettings(), 0),
+        "sankey_nodes_all": flow(uneven_table, reports.FlowSettings(), 1),
+        "sankey_of_columns": sankey_of_columns,
+        "long_tail_null_journey": long_tail_null_journey,
+        "events_by_day": events_by_day,
+        "web_journeys_any_platform": web_journeys(
+            replace(WEB_ALL, sessions=replace(WEB_ALL.sessions, platforms=None))
+        ),
+        "web_journeys_first_visit_all": web_journeys(replace(WEB_ALL, first_visit_scope="all")),
+        "web_journeys_strict_params": web_journeys(replace(WEB_ALL, strict_params=True)),
         "snapshot_roundtrip": snapshot_roundtrip,
         "csv_roundtrip": csv_roundtrip,
         "category_csv": category_csv,
