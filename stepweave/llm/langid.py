@@ -156,14 +156,14 @@ def _automaton(lang: str, stream: np.ndarray) -> Automaton:
 
 
 def _table(automaton: Automaton, n_symbols: int) -> np.ndarray:
-    """Next state for (state, symbol); negative where a phrase ends before the symbol.
+    """Next state for (state, symbol); ~state where the symbol begins a phrase.
 
-    There the symbol begins the next phrase: ~state of the start's own next state, or of the start
-    itself for a symbol that the sample lacks.
+    So it does at the start, and where no match goes on. A symbol that the sample lacks is a phrase of its own.
     """
     moves = np.full((automaton.states, n_symbols), -1, np.int32)
     moves[automaton.source, automaton.symbol] = automaton.target
     root = np.where(moves[0] >= 0, moves[0], 0)
+    moves[0] = -1
     return np.where(moves >= 0, moves, ~root[None, :]).astype(np.int32).reshape(-1)
 
 
@@ -251,15 +251,15 @@ def _phrases(texts: tx.Texts, tables: list[np.ndarray], model: LanguageModel) ->
     out = np.zeros((n, len(tables)), np.int64)
     for k, table in enumerate(tables):
         state = np.zeros(len(start), np.int32)
-        count = (length > 0).astype(np.int64)
+        count = np.zeros(len(start), np.int64)
         for step in range(WINDOW):
             m = running[step]
             if m == 0:
                 break
             at = table[state[:m] * model.n_symbols + symbols[start[:m] + step]]
-            ended = at < 0
-            count[:m] += ended
-            state[:m] = np.where(ended, ~at, at)
+            begins = at < 0
+            count[:m] += begins
+            state[:m] = np.where(begins, ~at, at)
         out[:, k] = np.bincount(doc, count, n)
     return out
 
