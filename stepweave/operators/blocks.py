@@ -135,7 +135,8 @@ def link_blocks(blocks: DataFrame, config: JourneyConfig, cutoff: DataFrame | No
     linked = [F.last("__last", ignorenulls=True).over(before).alias("__carried")]
     for flag in ("has_first_visit", "has_other_hit"):
         if flag in blocks.columns:
-            linked.append(F.bool_or(flag).over(whole).alias(flag))
+            # Hits without a key are nobody's first visit: they never meet the lookup.
+            linked.append(F.when(F.col("key").isNotNull(), F.bool_or(flag).over(whole)).alias(flag))
     if config.sessions.platforms is not None:
         earliest = [F.min(name).over(whole) for name in _platform_slots(config.sessions.platforms)]
         linked.append(F.greatest(*earliest).alias("cutoff"))

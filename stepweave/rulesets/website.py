@@ -82,7 +82,8 @@ QC_PAGES = (
     ("on", "PV: Cross-Sell", "/en/order/cross-sell-pre-checkout"),
 )
 
-# Add-to-cart rules by the address at the time, all disabled, as (label, pattern).
+# Add-to-cart rules by the address at the time, and one page view among them, all disabled, as
+# (label, pattern).
 CART_ADDITIONS = (
     ("A2C: Appetizers", "/en/menu/appetizers"),
     (
@@ -90,6 +91,7 @@ CART_ADDITIONS = (
         "/en/menu/chicken|/en/menu/pasta|/en/menu/salads|/en/menu/from-the-grill|/en/menu/burgers"
         "|/en/menu/sandwiches-and-more",
     ),
+    ("PV: Menu", "/en/menu$"),
     ("A2C: Al-A-Carte", "/en/menu/ala-carte"),
     ("A2C: 2-For ...", "en/menu/2-for"),
     ("A2C: Dessert", "/en/menu/dessert"),
@@ -111,10 +113,11 @@ def _page_rules(pages, home_urls: Sequence[str], more_entrees: Sequence[str]) ->
 
 def _event_rules() -> list[Rule]:
     off = [Rule("A2C", match="any", event=ADD_TO_CART, enabled=False)]
-    off += [
-        Rule(label, pattern, event=ADD_TO_CART, field=CART_FIELD, enabled=False)
-        for label, pattern in CART_ADDITIONS
-    ]
+    for label, pattern in CART_ADDITIONS:
+        if label.startswith("A2C"):
+            off.append(Rule(label, pattern, event=ADD_TO_CART, field=CART_FIELD, enabled=False))
+        else:
+            off.append(Rule(label, pattern, event=PAGE_VIEW, enabled=False))
     off.append(Rule("logged_in", "Logged in", field=LOGIN_FIELD, enabled=False))
     return [*off, Rule("Purchase", match="any", event=PURCHASE)]
 

@@ -244,3 +244,24 @@ def test_qc_counts_other_and_flagged_hits(spark):
     assert [r.p_count for r in ordered] == sorted((r.p_count for r in ordered), reverse=True)
     assert {r.content_group: r.record_count for r in qc.qc_group_counts(hits).collect()}["Other"] == 2
     assert dataclasses.asdict(Rule("a", "b"))["enabled"]
+
+
+def test_missing_journeys_stay(spark):
+    """A missing journey counts and is drawn as an empty one."""
+    rows = [(None, False, 40), ("A > B", False, 10), ("", False, 7), ("A", False, 3)]
+    table = spark.createDataFrame(rows, "journey string, conversion_flg boolean, counts long")
+    kept, report = longtail.long_tail(table, min_share=0.9, min_count=4)
+    assert [(r.journey, r.counts) for r in kept.orderBy(F.desc("counts")).collect()] == [(None, 40), ("A > B", 10), ("", 7)]
+    assert report.first().coverage == pytest.approx(57 / 60)
+    running = longtail.running_share(table).orderBy(F.desc("counts")).collect()
+    assert [round(r.count_percent_cum * 60) for r in running] == [40, 50, 57, 60]
+    edges, nodes = flow_tables(table)
+    assert {r.value: r.counts for r in nodes.collect()} == {"": 47, "A": 13, "B": 10, "Journey End": 60}
+    assert {(r.source, r.target): r.counts for r in edges.collect()}[("", "Journey End")] == 47
+
+
+def test_flow_is_uncut_by_default(spark):
+    long = " > ".join(f"s{i}" for i in range(30))
+    table = spark.createDataFrame([(long, False, 1)] + [(f"x{i}", True, 1) for i in range(20)], "journey string, conversion_flg boolean, counts long")
+    _, nodes = flow_tables(table)
+    assert nodes.count() == 30 + 20 + 1

@@ -108,3 +108,14 @@ def test_lineage_is_cut_in_the_shared_folder(spark):
     assert stored.count() == 3
     assert "Scan parquet" in stored._jdf.queryExecution().executedPlan().toString() or stored.inputFiles()
     assert shared_folder(spark) != shared_folder(spark)
+
+
+def test_every_dollar_is_the_very_end(spark):
+    from stepweave.functions.params import at_very_end, contains_pattern
+
+    assert at_very_end("a$") == "a\\z" and at_very_end("/menu$|/zz") == "/menu\\z|/zz"
+    assert at_very_end("(/menu$)") == "(/menu\\z)" and at_very_end("a\\\\$") == "a\\\\\\z"
+    assert at_very_end("a\\$") == "a\\$" and at_very_end("[$]$") == "[$]\\z" and at_very_end("\\Q$\\E$") == "\\Q$\\E\\z"
+    urls = spark.createDataFrame([("x/menu\n",), ("x/menu",)], "u string")
+    for pattern in ("/menu$|/zz", "(/menu$)", "/menu$"):
+        assert [r.u for r in urls.where(contains_pattern(F.col("u"), pattern)).collect()] == ["x/menu"]
