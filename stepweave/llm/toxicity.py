@@ -30,7 +30,8 @@ KINDS = len(PREFIXES) + 1  # the word itself, then its beginnings
 
 @dataclass(frozen=True)
 class Training:
-    """``documents`` of each label, the ones with the smallest hashes, reach the driver to fit weights.
+    """At most ``sample`` documents of each label, those with the smallest hashes, are learned from: Spark counts their
+    terms, and the first ``documents`` of each reach the driver to fit weights.
 
     A term marks tokens if its documents are toxic ``ratio`` times as often as clean, after smoothing, and if
     chance would have given so many toxic ones with a probability below exp(-``evidence``). At most ``terms``
@@ -38,6 +39,7 @@ class Training:
     enough that the many clean tokens of a very long document don't add up.
     """
 
+    sample: int = 3000
     documents: int = 600
     ratio: float = 10.0
     evidence: float = 20.0
@@ -92,10 +94,21 @@ def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def fit(labelled: DataFrame, config: Training = Training()) -> Crf:
     """Learn from rows (id, text, toxic); rows without text or label are left out.
 
-    Document frequencies of terms cover all rows. Only marking terms and the sample reach the driver.
+    A label's sample is found with its count, a threshold on a hash, and a limit on what is below, so no table is put in order.
     """
     rows = labelled.select("id", "text", F.col("toxic").cast("int").alias("toxic"))
-    rows = stored(rows.where("text is not null and toxic in (0, 1)"), "labelled")
+    rows = rows.where("text is not null and toxic in (0, 1)")
+    h = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40))
+    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    few = [
+        # Twice the rows wanted, so that hardly ever fewer are found; a small label is taken whole.
+        rows.where((F.col("toxic") == label) & (h < int(min(1.0, 2 * config.sample / max(sizes.get(label, 0), 1)) * (1 << 40))))
+        .select(h.alias("h"), "text", "toxic")
+        .orderBy("h", "text")
+        .limit(config.sample)
+        for label in (0, 1)
+    ]
+    rows = stored(few[0].union(few[1]), "sample")
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     counted = rows.select("text", "toxic").mapInArrow(_document_terms, "term long, toxic long, clean long")
@@ -106,15 +119,8 @@ def fit(labelled: DataFrame, config: Training = Training()) -> Crf:
     marking = marking.where(_surprise(F.col("toxic"), F.col("clean"), share) >= config.evidence)
     terms = marking.orderBy(F.desc("toxic"), "term").limit(config.terms).select("term").collect()
     marks = np.sort(np.array([r["term"] for r in terms], np.int64).view(np.uint64))
-    h = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40))
-    few = [
-        rows.where((F.col("toxic") == label) & (h < int(min(1.0, 2 * config.documents / max(n, 1)) * (1 << 40))))
-        .select(h.alias("h"), "text", "toxic")
-        .orderBy("h", "text")
-        .limit(config.documents)
-        for label, n in ((1, n_toxic), (0, n_clean))
-    ]
-    sample = sorted(few[0].union(few[1]).collect(), key=lambda r: (r["h"], r["text"]))
+    first = [rows.where(F.col("toxic") == label).orderBy("h", "text").limit(config.documents) for label in (0, 1)]
+    sample = sorted(first[0].union(first[1]).collect(), key=lambda r: (r["h"], r["text"]))
     texts = pa.array([r["text"] for r in sample], pa.string())
     toxic = np.array([r["toxic"] for r in sample], np.int64)
     return _train(texts, toxic, marks, config)
@@ -303,8 +309,11 @@ def score_documents(
 ) -> DataFrame:
     """Learn from labelled documents outside a fold and score all: doc_id, held_out, score, predicted, spans."""
     held = split_part("doc_id", parts) == fold
-    known = labels.where(~held & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    learned = docs.where(~held).select("doc_id", "text").join(known, "doc_id")
+    known = labels.where(~held & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    few = [known.where(F.col("toxic") == label).orderBy(*order).limit(config.sample) for label in (0, 1)]
+    # Twice ``sample`` ids at most, so the texts of the others need not move.
+    learned = docs.where(~held).select("doc_id", "text").join(F.broadcast(few[0].union(few[1])), "doc_id")
     model = fit(learned.select(F.col("doc_id").alias("id"), "text", "toxic"), config)
     return tag(docs, model, config.threshold).select(
         "doc_id", held.alias("held_out"), "score", "predicted", "spans"
