@@ -19,16 +19,16 @@ from __future__ import annotations
 
 import numpy as np
 
-LANES = 2048  # blocks coded in step: bounds memory at about 0.2 MB each
+LANES = 768  # blocks coded in step: bounds memory at about 0.2 MB each
 DIGITS = 4
 SLOTS = 4096  # of predictions, a block and order
 STEP = 24  # added to a count that occurred
 LIMIT = 4096  # a row of counts is halved beyond
 CONFIDENCE = 5  # 0: no prediction, or one that failed
 
-_MASK = np.uint64((1 << 48) - 1)
-_TOP = np.uint64(1 << 32)
-_BOTTOM = np.uint64(1 << 26)
+_MASK = (1 << 48) - 1
+_TOP = 1 << 32
+_BOTTOM = 1 << 26
 _LEVEL = (0, 1, 17, 273)  # where the nodes of a digit begin
 _NODES = 4369
 _UPTO = np.arange(16)[None, :] >= np.arange(16)[:, None]  # row d: the sums that digit d is part of
@@ -119,12 +119,17 @@ class Model:
         return found
 
 
+def _unit(width: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Width of one count. Division of floats is fast; one more count keeps its rounding within the width."""
+    return (width / (total + 1)).astype(np.int64)
+
+
 def _renew(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lanes that can shift out a word; where the width has become too small it is cut first."""
     settled = (low ^ (low + width)) < _TOP
     tight = ~settled & (width < _BOTTOM)
     if tight.any():
-        width = np.where(tight, (~low + np.uint64(1)) & (_BOTTOM - np.uint64(1)), width)
+        width = np.where(tight, -low & (_BOTTOM - 1), width)
         settled |= tight
     return np.flatnonzero(settled), low, width
 
@@ -160,38 +165,39 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     sizes = np.array([len(b) for b in blocks], np.int64)
     n = len(blocks)
     steps = int(sizes[0]) if n else 0
-    ids = np.zeros((steps, n), np.int64)
+    ids = np.zeros((steps, n), np.int32)
     for i, block in enumerate(blocks):
         ids[: len(block), i] = block
     model = Model(n)
-    low, width = np.zeros(n, np.uint64), np.full(n, _MASK, np.uint64)
-    room = DIGITS * 2 * steps + 8
-    words = np.zeros((n, room), np.uint16)
+    low, width = np.zeros(n, np.int64), np.full(n, _MASK, np.int64)
+    words = np.zeros((n, steps + 64), np.uint16)
     used = np.zeros(n, np.int64)
     for step, m in enumerate(_running(sizes)):
         model.begin(m)
-        now = ids[step, :m]
+        if used.max() + 4 * DIGITS > words.shape[1]:
+            words = np.concatenate((words, np.zeros_like(words)), axis=1)
+        now = ids[step, :m].astype(np.int64)
         for d in range(DIGITS):
             model.digit(d)
             digit = (now >> (4 * (DIGITS - 1 - d))) & 15
             start, share = model.interval(digit)
-            unit = width[:m] // model.all.astype(np.uint64)
-            l, w = low[:m] + unit * start.astype(np.uint64), unit * share.astype(np.uint64)
+            unit = _unit(width[:m], model.all)
+            l, w = low[:m] + unit * start, unit * share
             while True:
                 lanes, l, w = _renew(l, w)
                 if not len(lanes):
                     break
-                words[lanes, used[lanes]] = ((l[lanes] >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16)
+                words[lanes, used[lanes]] = (l[lanes] >> 32) & 0xFFFF
                 used[lanes] += 1
-                l[lanes] = (l[lanes] << np.uint64(16)) & _MASK
-                w[lanes] = w[lanes] << np.uint64(16)
+                l[lanes] = (l[lanes] << 16) & _MASK
+                w[lanes] = w[lanes] << 16
             low[:m], width[:m] = l, w
             model.learn(digit)
         model.end()
     for k in range(3):
-        words[np.arange(n), used] = ((low >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16)
+        words[np.arange(n), used] = (low >> 32) & 0xFFFF
         used += 1
-        low = (low << np.uint64(16)) & _MASK
+        low = (low << 16) & _MASK
     return [words[i, : used[i]].astype("<u2").tobytes() for i in range(n)]
 
 
@@ -199,33 +205,35 @@ def _decode(data: list[bytes], counts: list[int]) -> list[np.ndarray]:
     sizes = np.array(counts, np.int64)
     n = len(data)
     steps = int(sizes[0]) if n else 0
-    words = np.zeros((n, max(map(len, data), default=0) // 2 + 4), np.uint64)
+    words = np.zeros((n, max(map(len, data), default=0) // 2 + 4), np.int64)
     for i, raw in enumerate(data):
         words[i, : len(raw) // 2] = np.frombuffer(raw, "<u2")
-    code = np.zeros(n, np.uint64)
+    code = np.zeros(n, np.int64)
     for k in range(3):
-        code = (code << np.uint64(16)) | words[:, k]
+        code = (code << 16) | words[:, k]
     used = np.full(n, 3, np.int64)
     model = Model(n)
-    low, width = np.zeros(n, np.uint64), np.full(n, _MASK, np.uint64)
+    low, width = np.zeros(n, np.int64), np.full(n, _MASK, np.int64)
     out = np.zeros((steps, n), np.uint32)
     for step, m in enumerate(_running(sizes)):
         model.begin(m)
         for d in range(DIGITS):
             model.digit(d)
-            unit = width[:m] // model.all.astype(np.uint64)
-            value = ((code[:m] - low[:m]) & _MASK) // unit
-            digit = model.find(np.minimum(value.astype(np.int32), model.all - 1))
+            unit = _unit(width[:m], model.all)
+            ahead = (code[:m] - low[:m]) & _MASK
+            value = (ahead / unit).astype(np.int64)
+            value -= value * unit > ahead  # the float quotient may be one too many
+            digit = model.find(value)
             start, share = model.interval(digit)
-            l, w = low[:m] + unit * start.astype(np.uint64), unit * share.astype(np.uint64)
+            l, w = low[:m] + unit * start, unit * share
             while True:
                 lanes, l, w = _renew(l, w)
                 if not len(lanes):
                     break
-                code[lanes] = ((code[lanes] << np.uint64(16)) & _MASK) | words[lanes, used[lanes]]
+                code[lanes] = ((code[lanes] << 16) & _MASK) | words[lanes, used[lanes]]
                 used[lanes] += 1
-                l[lanes] = (l[lanes] << np.uint64(16)) & _MASK
-                w[lanes] = w[lanes] << np.uint64(16)
+                l[lanes] = (l[lanes] << 16) & _MASK
+                w[lanes] = w[lanes] << 16
             low[:m], width[:m] = l, w
             model.learn(digit)
         out[step, :m] = model.end()

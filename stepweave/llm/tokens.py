@@ -28,7 +28,8 @@ BLOCK = (
     "format string, part int, block int, first long, n_ids int, docs array<long>, lengths array<int>, "
     "continues boolean, crc long, data binary"
 )
-WORDS_KEPT = 400_000  # of a task's memory of words and their ids
+WORDS_KEPT = 150_000  # words, and their ids, that a Python worker remembers from task to task
+_models: dict[str, tuple] = {}
 GAPS = str.maketrans("\t\n\r\x0b\x0c", "     ")
 
 
@@ -46,8 +47,9 @@ def _tokenizer(path: str) -> Callable[[list[str]], list[np.ndarray]]:
     word is encoded once and remembered; only ASCII white space is used to part them here."""
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(path)
-    known: dict[str, np.ndarray] = {}
+    if path not in _models:
+        _models[path] = (Tokenizer.from_file(path), {})
+    model, known = _models[path]
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         if len(known) > WORDS_KEPT:
@@ -56,10 +58,12 @@ def _tokenizer(path: str) -> Callable[[list[str]], list[np.ndarray]]:
         new = list({w for words in split for w in words if w not in known})
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
-            for word, found in zip(some, model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, np.uint32)
-        none = np.zeros(0, np.uint32)
-        return [np.concatenate([none, *map(known.__getitem__, words)]) for words in split]
+            found = [e.ids for e in model.encode_batch_fast(some, add_special_tokens=False)]
+            flat = np.fromiter((i for ids in found for i in ids), np.uint32).tobytes()
+            end = 0
+            for word, ids in zip(some, found, strict=True):
+                known[word] = flat[end : (end := end + 4 * len(ids))]
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32) for words in split]
 
     return encode
 
