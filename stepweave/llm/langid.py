@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -184,35 +185,43 @@ def predict(
     and null ids give a row each; long texts are parsed whole.
     """
     text = F.col(text_col).cast("string")
+    others = [c for c in keep if c != text_col]
     rows = docs.select(
         F.col(id_col).alias("id"),
-        *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)],
-        F.when(text.rlike(r"\p{L}"), F.lower(text)).alias("text"),
+        *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(others)],
+        text.alias("text"),
+        F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("has_letter"),
     )
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(
-        f"{n} {rows.schema[n].dataType.simpleString()}" for n in rows.columns if n != "text"
-    )
+    names = [n for n in rows.columns[:-1] if n != "text" or text_col in keep]
+    fields = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
     found = rows.mapInArrow(
-        lambda batches: _predict(batches, shared.value), f"{fields}, lang_pred string, score double, phrases array<int>"
+        lambda batches: _predict(batches, shared.value, names),
+        f"{fields}, lang_pred string, score double, phrases array<int>",
     )
+    kept = ["text" if c == text_col else f"keep_{others.index(c)}" for c in keep]
     return found.select(
         F.col("id").alias(id_col),
-        *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)],
+        *[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)],
         *[F.col(c).alias(f"{prefix}{c}") for c in ("lang_pred", "score", "phrases")],
     )
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterator[pa.RecordBatch]:
+LOWERED_ROWS = 500  # whose lower-case texts are held at a time
+
+
+def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, kept: list[str]) -> Iterator[pa.RecordBatch]:
     tables = [_table(a, model.n_symbols) for a in model.automata]
     bits = np.array([np.log2(max(a.length, 2)) for a in model.automata])
     names = np.array([a.lang for a in model.automata] + [UND], object)
     for batch in batches:
         text = batch.column("text")
         phrases = np.zeros((batch.num_rows, len(tables)), np.int64)
-        for texts in tx.slices(text):
-            phrases[texts.first : texts.first + len(texts)] = _phrases(texts, tables, model)
-        none = text.is_null().to_numpy(zero_copy_only=False) | (len(tables) == 0)
+        for at in range(0, batch.num_rows if tables else 0, LOWERED_ROWS):
+            for texts in tx.slices(pc.utf8_lower(text.slice(at, LOWERED_ROWS))):
+                first = at + texts.first
+                phrases[first : first + len(texts)] = _phrases(texts, tables, model)
+        none = ~batch.column("has_letter").to_numpy(zero_copy_only=False) | (len(tables) == 0)
         cost = phrases * bits
         if len(tables):
             best = np.where(none, len(tables), cost.argmin(axis=1))
@@ -220,14 +229,13 @@ def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterato
             score = np.where(none, 0.0, 1 / odds.sum(axis=1))
         else:
             best, score = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows)
-        columns = [batch.column(c) for c in batch.schema.names if c != "text"]
+        columns = [batch.column(c) for c in kept]
         lists = pa.ListArray.from_arrays(
             pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(tables)),
             pa.array(phrases.astype(np.int32).reshape(-1)),
         )
         columns += [pa.array(names[best].tolist(), pa.string()), pa.array(score), lists]
-        columns_named = [c for c in batch.schema.names if c != "text"] + ["lang_pred", "score", "phrases"]
-        yield pa.RecordBatch.from_arrays(columns, columns_named)
+        yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score", "phrases"])
 
 
 def _phrases(texts: tx.Texts, tables: list[np.ndarray], model: LanguageModel) -> np.ndarray:
