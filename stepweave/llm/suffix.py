@@ -4,9 +4,10 @@ A window is any string of ``length`` bytes. It is a repeat if it also starts in
 id. Windows are dealt out so that equal ones meet: the smallest hash of a window's k-grams is its anchor, and
 neighbouring windows of one anchor form a run whose bytes, its context, travel together.
 
-1. Anchors of all documents are counted by a short hash, which tells the ones that a single document holds. A
+1. A window reaches ``(length - gram) / 2`` bytes beyond its anchor to the left or to the right. So for each run
+   the anchor so extended to both sides is counted by a short hash, which tells what a single document holds. A
    filter of fixed size of the others goes to every task; it saves work and decides nothing.
-2. Contexts of anchors that pass are shuffled by anchor, equal contexts as one with their smallest id.
+2. Contexts of runs that pass are shuffled by anchor, equal contexts of a slice as one with their smallest id.
 3. Each task joins its contexts to one text and builds its Burrows-Wheeler transform. Starting with the intervals of
    single bytes, all intervals are extended backward by one byte, breadth first, level by level. A boundary that
    appears at level l is a common prefix of l - 1 bytes, so common prefixes come out by increasing value; an interval
@@ -14,7 +15,8 @@ neighbouring windows of one anchor form a run whose bytes, its context, travel t
 4. The smallest id of each set goes back to the runs that have the context, and each document unites its
    repeats.
 
-A passage that very many documents share is one context in step 3, and a join that Spark can split in step 4.
+A passage that very many documents share is a row for every 4 MB of text in step 3, and a join that Spark can split
+in step 4. Contexts are told apart by 96 bits of hashes.
 """
 
 from __future__ import annotations
@@ -29,9 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.llm import text as tx
-from stepweave.llm.shared import stored
 
 BITMAP_BITS = 32_768
+SPAN_BITS = 16
+SEPARATOR = 255  # a byte that UTF-8 never has
 
 
 @dataclass(frozen=True)
@@ -42,9 +45,9 @@ class Repeats:
     """
 
     length: int = 50
-    gram: int = 24
+    gram: int = 16
     run: int = 128
-    bucket_bytes: int = 24_000_000
+    bucket_bytes: int = 6_000_000
     filter_bits: int = 27
 
 
@@ -55,6 +58,10 @@ class Runs:
     size: np.ndarray  # windows
     anchor: np.ndarray
     context: np.ndarray
+    left: np.ndarray  # hashes of the extended anchors; 0 where the run has no such window
+    right: np.ndarray
+    free: np.ndarray  # runs that hold their anchor more than once are not filtered
+    more: tuple[np.ndarray, np.ndarray]  # documents and hashes of the extended anchors of those
 
 
 def runs(texts: tx.Texts, config: Repeats) -> Runs:
@@ -62,7 +69,7 @@ def runs(texts: tx.Texts, config: Repeats) -> Runs:
     n, length, gram = len(texts.data), config.length, config.gram
     none = np.zeros(0, np.int64)
     if n < length:
-        return Runs(none, none, none, none.view(np.uint64), none.view(np.uint64))
+        return Runs(none, none, none, *[none.view(np.uint64)] * 4, none > 0, (none, none.view(np.uint64)))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(tx._BYTE_VALUES[texts.data] * tx._power_table(tx._BASE, n), out=sums[1:])
     inverse = tx._power_table(tx._BASE_INVERSE, n + 1)
@@ -89,7 +96,7 @@ def runs(texts: tx.Texts, config: Repeats) -> Runs:
     first[texts.offsets[fits]] = True
     start = np.flatnonzero(first)
     if not len(start):
-        return Runs(none, none, none, none.view(np.uint64), none.view(np.uint64))
+        return Runs(none, none, none, *[none.view(np.uint64)] * 4, none > 0, (none, none.view(np.uint64)))
     doc = np.searchsorted(texts.offsets, start, "right") - 1
     end = np.minimum(np.append(start[1:], n), texts.offsets[doc + 1] - length + 1)
     parts = -(-(end - start) // config.run)
@@ -100,7 +107,39 @@ def runs(texts: tx.Texts, config: Repeats) -> Runs:
         end = np.minimum(start + config.run, last)
     stop = end + length - 1
     context = tx.mix((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64))
-    return Runs(doc, start, end - start, least[start], context)
+    anchor = least[start]
+    first = _place(grams, anchor, start, 1, width)
+    free = first != _place(grams, anchor, end + width - 2, -1, width)
+    reach = -(-(length - gram) // 2)
+
+    def side(at: np.ndarray, run: np.ndarray, right: bool) -> np.ndarray:
+        has = (stop[run] - at >= gram + reach) if right else (at - start[run] >= reach)
+        a, b = (at[has], at[has] + gram + reach) if right else (at[has] - reach, at[has] + gram)
+        out = np.zeros(len(at), np.uint64)
+        out[has] = tx.mix((sums[b] - sums[a]) * inverse[a] + np.uint64(1 + right)) | np.uint64(1)
+        return out
+
+    every = np.arange(len(start))
+    left, right = (np.where(free, np.uint64(0), side(first, every, x)) for x in (False, True))
+    several, found = np.flatnonzero(free), [(none, none)]
+    for step in range(int((end - start)[several].max(initial=0)) + width - 1):
+        several = several[start[several] + step <= end[several] + width - 2]
+        here = several[grams[start[several] + step] == anchor[several]]
+        found.append((here, start[here] + step))
+    run, at = (np.concatenate(x) for x in zip(*found, strict=True))
+    more = np.tile(doc[run], 2), np.concatenate([side(at, run, x) for x in (False, True)])
+    return Runs(doc, start, end - start, anchor, context, left, right, free, more)
+
+
+def _place(grams: np.ndarray, anchor: np.ndarray, at: np.ndarray, step: int, width: int) -> np.ndarray:
+    """The first place of each run's anchor from its first window on, or from its last one back."""
+    place, left = at.copy(), np.arange(len(at))
+    for _ in range(width):
+        left = left[grams[place[left]] != anchor[left]]
+        if not len(left):
+            break
+        place[left] += step
+    return place
 
 
 def _short(anchor: np.ndarray) -> np.ndarray:
@@ -113,11 +152,13 @@ def _bits(values: np.ndarray, bucket: np.ndarray, config: Repeats) -> np.ndarray
 
 
 def _count(batches: Iterator[pa.RecordBatch], buckets: int, config: Repeats) -> Iterator[pa.RecordBatch]:
-    """Short hashes of anchors by bucket, each at most twice a slice: once for each document."""
+    """Short hashes of extended anchors by bucket, each at most twice a slice: once for each document."""
     for batch in batches:
-        for texts in tx.slices(batch.column("text"), 8 * tx.SLICE_BYTES):
-            found = [(texts.first + r.doc, r.anchor) for r in _in_parts(texts, config)]
-            doc, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
+        for texts in tx.slices(batch.column("text"), 2 * tx.SLICE_BYTES):
+            runs_found = list(_in_parts(texts, config))
+            doc = np.concatenate([x for r in runs_found for x in (r.doc, r.doc, r.more[0])])
+            anchor = np.concatenate([x for r in runs_found for x in (r.left, r.right, r.more[1])])
+            doc, anchor = doc[anchor > 0], anchor[anchor > 0]
             order = np.lexsort((doc, anchor))
             doc, anchor = doc[order], anchor[order]
             fresh = np.ones(len(doc), bool)
@@ -143,10 +184,16 @@ def _in_parts(texts: tx.Texts, config: Repeats) -> Iterator[Runs]:
         end = min(max(end, at + 1), len(texts))
         own = texts.offsets[at : end + 1]
         piece = runs(tx.Texts(0, texts.data[own[0] : own[-1]], own - own[0]), config)
-        yield Runs(piece.doc + at, piece.start + own[0], piece.size, piece.anchor, piece.context)
+        piece.doc, piece.start, piece.more = piece.doc + at, piece.start + own[0], (piece.more[0] + at, piece.more[1])
+        yield piece
         at = end
 
 
+def _passes(value: np.ndarray, buckets: int, bloom: np.ndarray, config: Repeats) -> np.ndarray:
+    bit = _bits(_short(value), (value % np.uint64(buckets)).astype(np.int64), config)
+    return ((bloom[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0) & (value > 0)
+
+
 def _repeated(key: tuple, table: pa.Table, config: Repeats) -> pa.Table:
     """Filter bits of the short hashes that a bucket holds twice."""
     packed = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("packed")]
@@ -157,50 +204,43 @@ def _repeated(key: tuple, table: pa.Table, config: Repeats) -> pa.Table:
 
 
 def _candidates(
-    batches: Iterator[pa.RecordBatch], buckets: int, bloom: np.ndarray, config: Repeats
+    batches: Iterator[pa.RecordBatch], buckets: int, bloom: np.ndarray, config: Repeats, contexts: bool
 ) -> Iterator[pa.RecordBatch]:
-    """Runs whose anchor passes the filter. The first run of a context in a batch carries its bytes."""
-    names = ["bucket", "anchor", "context", "doc", "at", "bytes"]
+    """What passes the filter, of a slice: each context once, with the smallest and the largest id that has it,
+    or else the place of each run."""
     for batch in batches:
         ids = batch.column("id").to_numpy()
-        for texts in tx.slices(batch.column("text"), 8 * tx.SLICE_BYTES):
+        for texts in tx.slices(batch.column("text"), 2 * tx.SLICE_BYTES):
+            found = []
             for r in _in_parts(texts, config):
                 bucket = (r.anchor % np.uint64(buckets)).astype(np.int64)
-                bit = _bits(_short(r.anchor), bucket, config)
-                ok = np.flatnonzero((bloom[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
-                if not len(ok):
-                    continue
-                order = np.lexsort((ids[texts.first + r.doc[ok]], r.context[ok]))
-                ok = ok[order]
-                context = r.context[ok]
-                first = np.ones(len(ok), bool)
-                first[1:] = context[1:] != context[:-1]
-                size = r.size[ok] + config.length - 1
-                carried = np.where(first, size, 0)
-                offsets = np.concatenate(([0], np.cumsum(carried)))
-                at = np.repeat(r.start[ok], carried) + tx.within(carried)
-                raw = texts.data[at]
-                binary = pa.Array.from_buffers(
-                    pa.binary(),
-                    len(ok),
-                    [
-                        pa.py_buffer(np.packbits(first, bitorder="little").tobytes()),
-                        pa.py_buffer(offsets.astype(np.int32).tobytes()),
-                        pa.py_buffer(raw.tobytes()),
-                    ],
-                )
-                doc = r.doc[ok]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(bucket[ok]),
-                        pa.array(r.anchor[ok].view(np.int64)),
-                        pa.array(context.view(np.int64)),
-                        pa.array(ids[texts.first + doc]),
-                        pa.array((r.start[ok] - texts.offsets[doc]).astype(np.int64)),
-                        binary,
-                    ],
-                    names,
-                )
+                sides = [_passes(x, buckets, bloom, config) for x in (r.left, r.right)]
+                ok = np.flatnonzero(sides[0] | sides[1] | r.free)
+                found.append((bucket[ok], _short(r.anchor[ok]), r.context[ok], r.doc[ok], r.start[ok], r.size[ok]))
+            bucket, short, context, doc, start, size = (np.concatenate(x) for x in zip(*found, strict=True))
+            if not len(bucket):
+                continue
+            own = ids[texts.first + doc]
+            if not contexts:
+                names, columns = ["short", "context", "doc", "at"], [own, start - texts.offsets[doc]]
+                columns = [short.view(np.int32), context.view(np.int64), *columns]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+                continue
+            order = np.lexsort((own, context, short))
+            short, context, own = short[order], context[order], own[order]
+            opens = np.ones(len(order) + 1, bool)
+            opens[1:-1] = (context[1:] != context[:-1]) | (short[1:] != short[:-1])
+            first, last = np.flatnonzero(opens[:-1]), np.flatnonzero(opens[1:])
+            rows = order[first]
+            length = size[rows] + config.length - 1
+            raw = texts.data[np.repeat(start[rows], length) + tx.within(length)]
+            offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+            buffers = [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())]
+            columns = [bucket[rows], short[first].view(np.int32), context[first].view(np.int64), own[first], own[last]]
+            yield pa.RecordBatch.from_arrays(
+                [*map(pa.array, columns), pa.Array.from_buffers(pa.binary(), len(rows), buffers)],
+                ["bucket", "short", "context", "least", "most", "bytes"],
+            )
 
 
 def sorted_suffixes(data: np.ndarray, length: int) -> np.ndarray:
@@ -223,10 +263,12 @@ def sorted_suffixes(data: np.ndarray, length: int) -> np.ndarray:
         known += step
 
 
-def equal_windows(data: np.ndarray, closed: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def equal_windows(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of windows that occur more than once, and the number of the set of equal ones of each.
 
-    ``closed`` places (separators) are part of no window. Places come ordered by set.
+    Separators are part of no window. Places come ordered by set. Suffixes are only sorted as far as
+    windows reach, so the transform may lead to another suffix than its own, but only to one
+    of the same window.
     """
     suffixes = sorted_suffixes(data, length)
     transform = data[suffixes - 1]
@@ -234,10 +276,10 @@ def equal_windows(data: np.ndarray, closed: np.ndarray, length: int) -> tuple[np
     shorter = np.argsort(transform, kind="stable").astype(np.int32)
     first = data[suffixes]
     interval = np.full(len(data), -1, np.int32)
-    active = np.flatnonzero(~closed[suffixes])
+    active = np.flatnonzero(first != SEPARATOR)
     interval[active] = 0
-    for _ in range(length):
-        to = interval[shorter[active]] if _ else np.zeros(len(active), np.int32)
+    for level in range(length):
+        to = interval[shorter[active]] if level else np.zeros(len(active), np.int32)
         ok = to >= 0
         live, to = active[ok], to[ok]
         interval[active] = -1
@@ -259,7 +301,7 @@ def _classes(key: tuple, table: pa.Table, config: Repeats) -> pa.Table:
 
     Contexts come several times, once for each task that saw them; one carries the smallest id.
     """
-    anchor = table.column("anchor").to_numpy()
+    anchor = table.column("short").to_numpy()
     context = table.column("context").to_numpy()
     least, most = table.column("least").to_numpy(), table.column("most").to_numpy()
     order = np.lexsort((least, context, anchor))
@@ -273,7 +315,9 @@ def _classes(key: tuple, table: pa.Table, config: Repeats) -> pa.Table:
     sizes = np.diff(np.append(group, len(anchor)))
     shared = np.repeat(np.minimum.reduceat(least, group) < np.maximum.reduceat(top, group), sizes)
     rows, anchor, context, least, top = (x[shared] for x in (rows, anchor, context, least, top))
-    schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("least", pa.int64())])
+    schema = pa.schema(
+        [("short", pa.int32()), ("context", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("least", pa.int64())]
+    )
     if not len(rows):
         return schema.empty_table()
     column = table.column("bytes").combine_chunks().take(pa.array(rows))
@@ -284,13 +328,13 @@ def _classes(key: tuple, table: pa.Table, config: Repeats) -> pa.Table:
     raw = np.frombuffer(column.buffers()[2], np.uint8)
     size = np.diff(offsets)
     start = offsets[:-1] - offsets[0] + np.arange(len(rows))  # a separator after each
-    data = np.zeros(int(size.sum()) + len(rows), np.uint8)
-    closed = np.zeros(len(data), bool)
-    closed[start + size] = True
-    data[~closed] = raw[offsets[0] : offsets[-1]]
+    data = np.full(int(size.sum()) + len(rows), SEPARATOR, np.uint8)
+    inside = np.ones(len(data), bool)
+    inside[start + size] = False
+    data[inside] = raw[offsets[0] : offsets[-1]]
     owner = np.repeat(np.arange(len(rows), dtype=np.int32), size + 1)
     lowest = least[owner]
-    place, number = equal_windows(data, closed, config.length)
+    place, number = equal_windows(data, config.length)
     if len(place):
         at = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
         smallest = np.minimum.reduceat(lowest[place], at)
@@ -312,7 +356,8 @@ def _classes(key: tuple, table: pa.Table, config: Repeats) -> pa.Table:
 
 
 def repeats(docs: DataFrame, config: Repeats = Repeats(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Byte intervals to remove from each document that has any: id, intervals (array of a, b; unordered, may overlap).
+    """Intervals to remove from each document that has any: id, intervals. They are unordered, may overlap, and hold
+    the first byte and, in the last 16 bits, the length.
 
     Rows of a null id take no part. An id stands for one text; repeated rows of it don't make it a repeat.
     """
@@ -333,22 +378,22 @@ def repeats(docs: DataFrame, config: Repeats = Repeats(), id_col: str = "doc_id"
         bloom[row["k"] * (BITMAP_BITS // 8) :][: len(part)] = part
     shared = spark.sparkContext.broadcast(bloom)
 
-    found = rows.mapInArrow(
-        lambda batches: _candidates(batches, buckets, shared.value, config),
-        "bucket long, anchor long, context long, doc long, at long, bytes binary",
-    )
-    found = stored(found, "runs")
-    # Within a task's rows equal contexts stand together, so the first step of the aggregate meets most of them.
-    contexts = found.groupBy("bucket", "anchor", "context").agg(
-        F.min("doc").alias("least"), F.max("doc").alias("most"), F.max("bytes").alias("bytes")
+    # The texts are read once for the contexts and once for the places, so that neither has to be stored.
+    contexts = rows.mapInArrow(
+        lambda batches: _candidates(batches, buckets, shared.value, config, True),
+        "bucket long, short int, context long, least long, most long, bytes binary",
     )
     classes = contexts.groupBy("bucket").applyInArrow(
-        lambda k, t: _classes(k, t, config), "anchor long, context long, a int, b int, least long"
+        lambda k, t: _classes(k, t, config), "short int, context long, a int, b int, least long"
+    )
+    places = rows.mapInArrow(
+        lambda batches: _candidates(batches, buckets, shared.value, config, False),
+        "short int, context long, doc long, at long",
     )
-    classes = stored(classes, "classes")
-    spans = found.select("anchor", "context", "doc", "at").join(classes, ["anchor", "context"]).where("least < doc")
-    spans = spans.select("doc", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
-    return spans.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("intervals")).withColumnRenamed("doc", "id")
+    spans = places.join(classes, ["short", "context"]).where("least < doc")
+    # A span is never longer than a run and a window.
+    packed = F.shiftleft(F.col("at") + F.col("a"), SPAN_BITS) + (F.col("b") - F.col("a"))
+    return spans.groupBy("doc").agg(F.collect_set(packed).alias("intervals")).withColumnRenamed("doc", "id")
 
 
 def remove_repeats(
@@ -387,10 +432,9 @@ def _removed(batches: Iterator[pa.RecordBatch], with_bytes: bool) -> Iterator[pa
             raw = text.as_buffer().to_pybytes()
             merged: list[list[int]] = []
             if column[i].is_valid:
-                rows = column[i].values
-                a, b = rows.field("a").to_numpy(), rows.field("b").to_numpy()
-                order = np.argsort(a, kind="stable")
-                a, reach = a[order], np.maximum.accumulate(b[order])
+                packed = np.sort(column[i].values.to_numpy())
+                a = packed >> SPAN_BITS
+                reach = np.maximum.accumulate(a + (packed & ((1 << SPAN_BITS) - 1)))
                 opens = np.flatnonzero(np.concatenate(([True], a[1:] > reach[:-1])))
                 ends = np.append(opens[1:], len(a)) - 1
                 merged = np.stack([a[opens], reach[ends]], axis=1).tolist()
