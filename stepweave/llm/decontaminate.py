@@ -52,7 +52,7 @@ def contaminated(
 ) -> DataFrame:
     """One row per document and benchmark item that overlap: their best overlap.
 
-    id, item, n_words (of the overlap), n_equal (words that agree), item_words, start_word and
+    id, item, n_words (of the longest span that meets the rule; its ends may differ), n_equal (words that agree), item_words, start_word and
     start_byte, end_byte in the document. Words are runs of letters and digits, without case. Null or empty
     texts on either side, and items of fewer words than a seed's span, overlap with nothing. Rows of a null id
     take no part. Repeated rows give one result; of equal overlaps the first place counts. Other
@@ -212,21 +212,23 @@ def _segments(batches: Iterator[pa.RecordBatch], config: Seeds, bloom: np.ndarra
             )
 
 
-def best_overlap(equal: np.ndarray, percent: int) -> tuple[int, int]:
-    """Of aligned words, the span to report: all from first to last equal one if enough of them agree,
-    else the span of the highest score, where a different word costs what makes ``percent`` break even."""
-    hits = np.flatnonzero(equal)
-    if not len(hits):
+def best_overlap(equal: np.ndarray, percent: int, min_words: int = 1) -> tuple[int, int]:
+    """Of aligned words, the longest span of at least ``min_words`` of which ``percent`` agree, (0, 0) if none does.
+
+    Of equally long ones the one with most equal words, then the first. It is the longest interval whose
+    score is not negative, where a different word costs what makes ``percent`` break even."""
+    if not len(equal):
+        return 0, 0
+    score = np.concatenate(([0], np.where(equal, 100 - percent, -percent).cumsum()))
+    lowest = np.minimum.accumulate(score)
+    # For each end, the first start whose score is not higher: the lows fall, and it is where they get there.
+    start = np.searchsorted(-lowest, -score, "left")
+    length = np.arange(len(score)) - start
+    if length.max() < max(min_words, 1):
         return 0, 0
-    a, b = int(hits[0]), int(hits[-1]) + 1
-    if 100 * len(hits) >= percent * (b - a):
-        return a, b
-    gain = np.where(equal, 100 - percent, -percent).cumsum()
-    before = np.concatenate(([0], gain[:-1]))
-    lowest = np.minimum.accumulate(before)
-    end = int((gain - lowest).argmax())
-    start = int(np.flatnonzero(before[: end + 1] == lowest[end])[-1])
-    return start, end + 1
+    ends = np.flatnonzero(length == length.max())
+    end = int(ends[(score[ends] - score[start[ends]]).argmax()])
+    return int(start[end]), end
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch], config: Seeds) -> Iterator[pa.RecordBatch]:
@@ -242,8 +244,8 @@ def _overlaps(batches: Iterator[pa.RecordBatch], config: Seeds) -> Iterator[pa.R
             low, high = max(0, at - diagonal), min(len(own), at + len(words) - diagonal)
             shift = diagonal - at
             equal = words[low + shift : high + shift] == own[low:high]
-            a, b = best_overlap(equal, config.percent)
-            if b - a >= min(config.min_words, len(own)):
+            a, b = best_overlap(equal, config.percent, min(config.min_words, len(own)))
+            if b > a:
                 first, last = low + shift + a, low + shift + b - 1
                 out.append(
                     (doc, item, b - a, int(equal[a:b].sum()), len(own), at + first, int(starts[first]), int(ends[last]))

@@ -136,6 +136,29 @@ def test_leaks_are_found_with_substitutions(spark):
     assert decontaminate.contaminated(df, bench.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_best_overlap_equals_a_loop_over_all_spans(percent):
+    rng = np.random.default_rng(percent)
+    rows = [rng.random(n) < p for n in (0, 1, 5, 13, 14, 40) for p in (0.0, 0.3, 0.7, 0.85, 1.0) for _ in range(12)]
+    for equal in rows:
+        for least in (1, 13):
+            spans = [(a, b) for a in range(len(equal)) for b in range(a + least, len(equal) + 1)]
+            good = [(a, b) for a, b in spans if 100 * equal[a:b].sum() >= percent * (b - a)]
+            best = max(good, key=lambda s: (s[1] - s[0], equal[s[0] : s[1]].sum(), -s[0]), default=(0, 0))
+            assert decontaminate.best_overlap(equal, percent, least) == best
+
+
+def test_an_equal_word_far_away_hides_no_overlap(spark):
+    item = [f"w{i}" for i in range(40)]
+    words = item[:17] + [f"x{i}" for i in range(23)]
+    words[12], words[30] = "else", item[30]
+    df = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    (found,) = decontaminate.contaminated(df, bench).collect()
+    # 16 equal words and the first ones of what follows, as far as 80 percent agree
+    assert (found.start_word, found.n_words, found.n_equal) == (0, 20, 16)
+
+
 @pytest.mark.parametrize("lanes", [3, 1024])
 def test_coder_gives_back_what_it_got(monkeypatch, lanes):
     monkeypatch.setattr(coder, "LANES", lanes)
