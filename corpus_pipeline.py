@@ -37,9 +37,12 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Select documents to the target weights: 90 percent of the words, each document at most once."""
+    """Select documents to the target weights: 90 percent of the words, each document at most once.
+
+    Rows of a null id all stay, beside those selected."""
     found = mixing.mix(docs, PIPELINE_MIX, source_domain())
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    taken = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    return taken.union(docs.where("doc_id is null"))
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Stages of the pipeline against plain Python on the smallest tables."""
 
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -48,3 +50,14 @@ def test_stages_pass_empty_and_odd_tables(spark, rows):
         docs = stage(spark, docs, SF_DIR)
         docs = spark.createDataFrame(docs.collect(), docs.schema)
     assert docs.count() <= len(rows)
+
+
+def test_the_mix_keeps_rows_without_an_id(spark):
+    rng = random.Random(4)
+    rows = [(i, t.sentence(rng, "en", 20), "en", "src1", 1) for i in range(40)]
+    lost = [(None, t.sentence(rng, "en", 30), "en", "src1", 2), (None, t.sentence(rng, "de", 500), "de", "src2", 3)]
+    docs = spark.createDataFrame(rows + lost, t.DOCS)
+    found = [tuple(r) for r in corpus_pipeline.target_mix(spark, docs, SF_DIR).collect()]
+    assert sorted((r for r in found if r[0] is None), key=lambda r: r[4]) == lost
+    kept = [r for r in found if r[0] is not None]
+    assert kept and len(kept) == len(set(kept)) and set(kept) <= set(rows)
