@@ -8,10 +8,16 @@ diagonal of the hit, to see how much of them is the same.
 Few of the documents' seeds are ever shuffled: a Bloom filter of the benchmark's seeds, whose size is
 a parameter and does not follow the data, goes to every task; only what passes is joined. It saves work and
 decides nothing. A document with hits takes the words around them along, so its text is read once.
+
+Items of fewer words than an overlap needs count as a whole: all their words are laid over as many of the
+document. They have masks of their own, as long as the item: it is cut into a few blocks more than words
+may differ, and each mask leaves out as many blocks, so whatever words differ, one mask passes them over
+and nothing is missed. Only lengths that the benchmark holds are searched for.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +43,11 @@ class Seeds:
     def span(self) -> int:
         return max(map(len, self.masks))
 
+    @property
+    def whole(self) -> int:
+        """Items of fewer words are compared as a whole."""
+        return max(self.min_words, self.span)
+
 
 BITMAP_BITS = 32_768  # of one bitmap of Spark's bitmap functions
 
@@ -54,8 +65,7 @@ def contaminated(
 
     id, item, n_words (of the longest span that meets the rule; its ends may differ), n_equal (words that agree), item_words, start_word and
     start_byte, end_byte in the document. Words are runs of letters and digits, without case. Null or empty
-    texts on either side, and items of fewer words than a seed's span, overlap with nothing. Rows of a null id
-    take no part. Repeated rows give one result; of equal overlaps the first place counts. Other
+    texts on either side overlap with nothing. Rows of a null id take no part. Repeated rows give one result; of equal overlaps the first place counts. Other
     columns are ignored. Texts are searched whole.
     """
     spark = docs.sparkSession
@@ -66,8 +76,13 @@ def contaminated(
         lambda batches: _item_seeds(batches, config), "item long, seed long, at int, words array<long>"
     )
     seeds = stored(seeds, "seeds")
+    short = items.mapInArrow(
+        lambda batches: _short_items(batches, config), "item long, seed long, item_words array<long>"
+    )
+    short = stored(short, "short")
+    lengths = sorted(r[0] for r in short.select(F.size("item_words")).distinct().collect())  # fewer than config.whole
     size = 1 << config.filter_bits
-    bits = seeds.select(F.explode(F.array(*[F.pmod(F.shiftrightunsigned("seed", k), F.lit(size)) for k in (0, 32)])).alias("bit"))
+    bits = seeds.select("seed").union(short.select("seed")).select(F.explode(F.array(*[F.pmod(F.shiftrightunsigned("seed", k), F.lit(size)) for k in (0, 32)])).alias("bit"))
     # At most size / 32768 rows of 4 KB.
     maps = bits.groupBy(F.floor(F.col("bit") / BITMAP_BITS).alias("k")).agg(
         F.bitmap_construct_agg(F.pmod(F.col("bit"), F.lit(BITMAP_BITS))).alias("map")
@@ -97,6 +112,16 @@ def contaminated(
         lambda batches: _overlaps(batches, config),
         "id long, item long, n_words int, n_equal int, item_words int, start_word int, start_byte int, end_byte int",
     )
+    if lengths:
+        places = rows.where("id is not null and text is not null").mapInArrow(
+            lambda batches: _short_places(batches, config, lengths, shared.value[0]),
+            "id long, seed long, start_word int, start_byte int, end_byte int, words array<long>",
+        )
+        places = places.join(short, "seed").where("size(words) = size(item_words)")
+        same = F.size(F.filter(F.zip_with("words", "item_words", lambda a, b: a == b), lambda x: x)).alias("n_equal")
+        n = F.size("item_words")
+        places = places.select("id", "item", n.alias("n_words"), same, n.alias("item_words"), "start_word", "start_byte", "end_byte")
+        found = found.union(places.where(F.col("n_equal") * 100 >= F.col("n_words") * config.percent))
     order = F.struct("n_equal", (-F.col("start_word")).alias("back"), "n_words", "item_words", "start_byte", "end_byte")
     best = found.groupBy("id", "item").agg(F.max(order).alias("b"))
     return best.select(
@@ -142,7 +167,7 @@ def _item_seeds(batches: Iterator[pa.RecordBatch], config: Seeds) -> Iterator[pa
             doc = found.doc[place]
             order = np.argsort(doc, kind="stable")
             seed, place, doc = seed[order], place[order], doc[order]
-            enough = np.diff(found.bounds)[doc] >= config.span
+            enough = np.diff(found.bounds)[doc] >= config.whole
             seed, place, doc = seed[enough], place[enough], doc[enough]
             first = np.ones(len(doc), bool)
             first[1:] = doc[1:] != doc[:-1]
@@ -160,6 +185,70 @@ def _item_seeds(batches: Iterator[pa.RecordBatch], config: Seeds) -> Iterator[pa
             )
 
 
+def _whole_seeds(found: tx.Words, n: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each mask of items of n words: hash at each word where n words fit, and those words' indices."""
+    fits = np.flatnonzero(found.doc[: max(len(found.doc) - n + 1, 0)] == found.doc[n - 1 :])
+    differ = n * (100 - percent) // 100
+    cuts = np.linspace(0, n, min(n, differ + 4) + 1).astype(int)
+    factors = tx.mix(np.arange(n, dtype=np.uint64) + np.uint64(1_000_000 * n)) | np.uint64(1)
+    blocks = [sum((found.hash[fits + k] * factors[k] for k in range(a, b)), np.zeros(len(fits), np.uint64)) for a, b in itertools.pairwise(cuts)]
+    for number, kept in enumerate(itertools.combinations(range(len(blocks)), len(blocks) - differ)):
+        total = sum((blocks[k] for k in kept), np.full(len(fits), number + 1, np.uint64))
+        yield tx.mix(total), fits
+
+
+def _short_items(batches: Iterator[pa.RecordBatch], config: Seeds) -> Iterator[pa.RecordBatch]:
+    """Seeds of the items that are compared as a whole, with all their words."""
+    for batch in batches:
+        for texts in tx.slices(batch.column("text")):
+            found = tx.words(texts, tx.ALNUM)
+            sizes = np.diff(found.bounds)
+            ids = batch.column("item").slice(texts.first, len(texts)).to_numpy()
+            hashes = found.hash.view(np.int64)
+            for n in range(1, config.whole):
+                if not (sizes == n).any():
+                    continue
+                for seed, place in _whole_seeds(found, n, config.percent):
+                    own = sizes[found.doc[place]] == n
+                    seed, place = seed[own], place[own]
+                    words = _lists([hashes[p : p + n] for p in place], pa.int64())
+                    columns = [pa.array(ids[found.doc[place]]), pa.array(seed.view(np.int64)), words]
+                    yield pa.RecordBatch.from_arrays(columns, ["item", "seed", "item_words"])
+
+
+def _short_places(
+    batches: Iterator[pa.RecordBatch], config: Seeds, lengths: list[int], bloom: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    """Where a short item may stand; of the same words in a document the first place."""
+    names = ["id", "seed", "start_word", "start_byte", "end_byte", "words"]
+    for batch in batches:
+        for texts in tx.slices(batch.column("text")):
+            found = tx.words(texts, tx.ALNUM)
+            ids = batch.column("id").slice(texts.first, len(texts)).to_numpy()
+            hashes = found.hash.view(np.int64)
+            for n in lengths:
+                for seed, place in _whole_seeds(found, n, config.percent):
+                    ok = _passes(seed, bloom, config)
+                    seed, place = seed[ok], place[ok]
+                    if not len(seed):
+                        continue
+                    doc = found.doc[place]
+                    windows = np.column_stack([doc, *(hashes[place + k] for k in range(n))])
+                    first = np.unique(windows, axis=0, return_index=True)[1]
+                    seed, place, doc = seed[first], place[first], doc[first]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(ids[doc]),
+                            pa.array(seed.view(np.int64)),
+                            pa.array((place - found.bounds[doc]).astype(np.int32)),
+                            pa.array((found.start[place] - texts.offsets[doc]).astype(np.int32)),
+                            pa.array((found.end[place + n - 1] - texts.offsets[doc]).astype(np.int32)),
+                            _lists([hashes[p : p + n] for p in place], pa.int64()),
+                        ],
+                        names,
+                    )
+
+
 def _passes(seed: np.ndarray, bloom: np.ndarray, config: Seeds) -> np.ndarray:
     bits = np.uint64((1 << config.filter_bits) - 1)
     out = np.ones(len(seed), bool)

@@ -159,6 +159,32 @@ def test_an_equal_word_far_away_hides_no_overlap(spark):
     assert (found.start_word, found.n_words, found.n_equal) == (0, 20, 16)
 
 
+def test_short_items_are_found_wherever_they_differ(spark):
+    rng = random.Random(8)
+    items, docs, expected = [], [], set()
+    for n in range(1, 13):
+        words = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        for copy in range(8):
+            differ = min(copy % 4, n)
+            at = rng.sample(range(n), differ) if copy < 4 else [0, n - 1, 1][:differ]
+            own = [f"x{k}" if k in at else w for k, w in enumerate(words)]
+            docs.append((len(docs), " ".join(["before", *own, "after"] if copy % 2 else own)))
+            equal = sum(a == b for a, b in zip(own, words, strict=True))
+            if 100 * equal >= 80 * n:
+                expected.add((docs[-1][0], n, n, equal, copy % 2))
+    docs += [(500, "i3w0 i3w1"), (501, "i5w0 i5w1 i5w2 i5w3 x " * 2 + items[4][1]), (None, items[3][1]), docs[0]]
+    expected.add((501, 5, 5, 5, 10))
+    items += [(40, None), (41, ""), (42, "- -"), items[2]]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(df, bench).collect()
+    assert len(found) == len(expected)
+    assert {(r.doc_id, r.item_id, r.n_words, r.n_equal, r.start_word) for r in found} == expected
+    texts = dict(docs)
+    assert all(len(texts[r.doc_id][r.start_byte : r.end_byte].split(" ")) == r.n_words == r.item_words for r in found)
+
+
 @pytest.mark.parametrize("lanes", [3, 1024])
 def test_coder_gives_back_what_it_got(monkeypatch, lanes):
     monkeypatch.setattr(coder, "LANES", lanes)
