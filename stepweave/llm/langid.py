@@ -30,17 +30,19 @@ UND = "und"
 class LanguageSample:
     """Bounds of what is learned from: only these rows and symbols reach the driver.
 
-    ``symbols`` per language, from at most ``rows`` texts of it, ``row_chars`` characters of each,
-    and at most ``languages`` languages, the most frequent ones.
+    ``symbols`` per language, from at most ``rows`` texts of it, ``row_chars`` characters of each.
+    Every language is learned.
     """
 
     symbols: int = 40_000
     rows: int = 400
     row_chars: int = 2_000
-    languages: int = 200
 
 
 WINDOW = 512
+TOGETHER = 50  # languages whose rows are on the driver at a time
+TABLE_BYTES = 256 << 20  # of the automata's tables that a task holds at a time, or one table
+CELLS = 4_000_000  # rows times languages worked on at a time
 
 
 @dataclass(frozen=True)
@@ -81,22 +83,26 @@ def fit(
         F.col(text_col).cast("string").alias("text"),
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 40)).alias("h"),
     ).where("lang is not null and text rlike '\\\\p{L}'")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(config.languages).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return LanguageModel(np.zeros(256, np.uint8), 2, ())
     # Twice the rows wanted, so that hardly ever fewer are found; small languages are taken whole.
     share = {r["lang"]: min(1.0, 2 * config.rows / r["count"]) for r in counts}
-    below = F.lit(False)
-    for lang, part in share.items():
-        below = below | ((F.col("lang") == F.lit(lang)) & (F.col("h") < F.lit(int(part * (1 << 40)))))
-    few = rows.where(below).select("lang", "h", F.substring("text", 1, config.row_chars).alias("text"))
-    texts: dict[str, list[str]] = {}
-    for row in sorted(few.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
-        texts.setdefault(row["lang"], []).append(row["text"])
-    streams = {k: _lower(" ".join(v[: config.rows])) for k, v in sorted(texts.items())}
     used = np.zeros(256, bool)
-    for data in streams.values():
-        used |= np.bincount(data, minlength=256) > 0
+    streams: dict[str, np.ndarray] = {}
+    langs = list(share)
+    for at in range(0, len(langs), TOGETHER):
+        below = F.lit(False)
+        for lang in langs[at : at + TOGETHER]:
+            below = below | ((F.col("lang") == F.lit(lang)) & (F.col("h") < F.lit(int(share[lang] * (1 << 40)))))
+        few = rows.where(below).select("lang", "h", F.substring("text", 1, config.row_chars).alias("text"))
+        texts: dict[str, list[str]] = {}
+        for row in sorted(few.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
+            texts.setdefault(row["lang"], []).append(row["text"])
+        for lang, own in texts.items():
+            data = _lower(" ".join(own[: config.rows]))
+            used |= np.bincount(data, minlength=256) > 0
+            streams[lang] = data[_kept(tx.LETTERS[data])][: config.symbols].copy()
     letters = used & (tx.LETTERS > 0)
     symbols = np.zeros(256, np.uint8)
     symbols[letters] = np.arange(1, letters.sum() + 1)
@@ -104,7 +110,7 @@ def fit(
     symbols[(tx.LETTERS > 0) & ~letters] = unknown
     upper = np.arange(65, 91)
     symbols[upper] = symbols[upper + 32]
-    built = tuple(_automaton(k, _squeeze(symbols[v])[: config.symbols]) for k, v in streams.items())
+    built = tuple(_automaton(k, symbols[v]) for k, v in sorted(streams.items()))
     return LanguageModel(symbols, unknown + 1, built)
 
 
@@ -112,11 +118,15 @@ def _lower(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode(), np.uint8)
 
 
-def _squeeze(symbols: np.ndarray) -> np.ndarray:
-    """One separator for each run of them."""
+def _kept(symbols: np.ndarray) -> np.ndarray:
+    """One separator of each run of them, and all else."""
     keep = np.ones(len(symbols), bool)
     keep[1:] = (symbols[1:] != 0) | (symbols[:-1] != 0)
-    return symbols[keep]
+    return keep
+
+
+def _squeeze(symbols: np.ndarray) -> np.ndarray:
+    return symbols[_kept(symbols)]
 
 
 def _automaton(lang: str, stream: np.ndarray) -> Automaton:
@@ -210,28 +220,50 @@ def predict(
 LOWERED_ROWS = 500  # whose lower-case texts are held at a time
 
 
+def _groups(model: LanguageModel) -> list[tuple[Automaton, ...]]:
+    """Automata in order, as many together as have tables of ``TABLE_BYTES``."""
+    groups, held = [], TABLE_BYTES
+    for one in model.automata:
+        need = 4 * one.states * model.n_symbols
+        if held + need > TABLE_BYTES:
+            groups.append(())
+            held = 0
+        groups[-1] += (one,)
+        held += need
+    return groups
+
+
 def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, kept: list[str]) -> Iterator[pa.RecordBatch]:
-    tables = [_table(a, model.n_symbols) for a in model.automata]
+    groups = _groups(model)
+    n_langs = len(model.automata)
+    tables = [_table(a, model.n_symbols) for a in groups[0]] if len(groups) == 1 else []
     bits = np.array([np.log2(max(a.length, 2)) for a in model.automata])
     names = np.array([a.lang for a in model.automata] + [UND], object)
-    for batch in batches:
+    rows = max(1, CELLS // max(n_langs, 1))
+    for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
         text = batch.column("text")
-        phrases = np.zeros((batch.num_rows, len(tables)), np.int64)
-        for at in range(0, batch.num_rows if tables else 0, LOWERED_ROWS):
-            for texts in tx.slices(pc.utf8_lower(text.slice(at, LOWERED_ROWS))):
-                first = at + texts.first
-                phrases[first : first + len(texts)] = _phrases(texts, tables, model)
-        none = ~batch.column("has_letter").to_numpy(zero_copy_only=False) | (len(tables) == 0)
+        phrases = np.zeros((batch.num_rows, n_langs), np.int64)
+        done = 0
+        for group in groups:
+            if len(groups) > 1:
+                tables = []  # the last group's go first
+                tables = [_table(a, model.n_symbols) for a in group]
+            for at in range(0, batch.num_rows, LOWERED_ROWS):
+                for texts in tx.slices(pc.utf8_lower(text.slice(at, LOWERED_ROWS))):
+                    first = at + texts.first
+                    phrases[first : first + len(texts), done : done + len(group)] = _phrases(texts, tables, model)
+            done += len(group)
+        none = ~batch.column("has_letter").to_numpy(zero_copy_only=False) | (n_langs == 0)
         cost = phrases * bits
-        if len(tables):
-            best = np.where(none, len(tables), cost.argmin(axis=1))
+        if n_langs:
+            best = np.where(none, n_langs, cost.argmin(axis=1))
             odds = np.exp2(-0.1 * (cost - cost.min(axis=1, keepdims=True)))
             score = np.where(none, 0.0, 1 / odds.sum(axis=1))
         else:
             best, score = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows)
         columns = [batch.column(c) for c in kept]
         lists = pa.ListArray.from_arrays(
-            pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(tables)),
+            pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * n_langs),
             pa.array(phrases.astype(np.int32).reshape(-1)),
         )
         columns += [pa.array(names[best].tolist(), pa.string()), pa.array(score), lists]

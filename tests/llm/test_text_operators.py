@@ -40,6 +40,28 @@ def test_no_language_is_learned_from_nothing(spark):
     assert langid.predict(docs.limit(0), model).collect() == []
 
 
+def test_every_label_is_learned_and_groups_of_automata_decide_alike(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for i in range(230):
+        own = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(8)]
+        texts = [" ".join(rng.choices(own, k=12)) for _ in range(1 if i == 229 else 2)]
+        rows += [(len(rows) + k, text, f"l{i:03}") for k, text in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert [a.lang for a in model.automata] == [f"l{i:03}" for i in range(230)]
+    found = sorted(langid.predict(docs, model).collect())
+    assert [r.lang_pred for r in found] == [lang for *_, lang in rows]
+    batch = langid.pa.RecordBatch.from_pydict({"text": [r[1] for r in rows], "has_letter": [True] * len(rows)})
+    monkeypatch.setattr(langid, "TABLE_BYTES", 1 << 19)
+    monkeypatch.setattr(langid, "CELLS", 230 * 100)
+    assert 1 < len(langid._groups(model)) < 230
+    parts = list(langid._predict(iter([batch]), model, ["text"]))
+    assert len(parts) > 1
+    again = [x for p in parts for x in zip(p["lang_pred"].to_pylist(), p["phrases"].to_pylist(), strict=True)]
+    assert again == [(r.lang_pred, r.phrases) for r in found]
+
+
 def test_phrases_equal_longest_matches():
     import pyarrow as pa
 
