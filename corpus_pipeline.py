@@ -17,8 +17,12 @@ from stepweave.llm.shared import folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of no language (``und``), and correct ``lang`` of the others to what was found."""
+    """Drop documents of no language (``und``), and correct ``lang`` of the others to what was found.
+
+    Where no language was learned, only texts without a letter have none, and ``lang`` stays as it is."""
     model = langid.fit(docs)
+    if not model.automata:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
     others = [c for c in docs.columns if c != "doc_id"]
     found = langid.predict(docs, model, keep=others, prefix="__").where(F.col("__lang_pred") != langid.UND)
     return found.withColumn("lang", F.col("__lang_pred")).select(*docs.columns)

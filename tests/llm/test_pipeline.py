@@ -61,3 +61,12 @@ def test_the_mix_keeps_rows_without_an_id(spark):
     assert sorted((r for r in found if r[0] is None), key=lambda r: r[4]) == lost
     kept = [r for r in found if r[0] is not None]
     assert kept and len(kept) == len(set(kept)) and set(kept) <= set(rows)
+
+
+def test_documents_stay_where_no_language_was_learned(spark):
+    kept = [(1, "some words", None, "s", 1), (None, "é", None, None, None), (2, "ONE 2", None, "s", 5)]
+    odd = [(3, None, None, "s", 1), (4, "", None, "s", 1), (5, "12 !!", None, "s", 1)]
+    docs = spark.createDataFrame(kept + odd, t.DOCS)
+    found = corpus_pipeline.language(spark, docs, SF_DIR)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, kept)) and found.columns == docs.columns
+    assert corpus_pipeline.language(spark, docs.limit(0), SF_DIR).collect() == []
