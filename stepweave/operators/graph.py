@@ -41,15 +41,17 @@ def with_steps(
 def parse_steps(
     df: DataFrame,
     separator: str = STEP_SEPARATOR,
-    max_steps: int = 10,
+    max_steps: int | None = 10,
     fit_width: bool = False,
     prefix: str = "step_",
 ) -> DataFrame:
     """Attach the columns step_1 ... step_n; missing steps are NULL.
 
     n is ``max_steps``. With ``fit_width`` it is the longest journey's length, if smaller, which
-    takes one job to find.
+    takes one job to find; ``max_steps`` may then be None, and nothing is cut.
     """
+    if max_steps is None and not fit_width:
+        raise ValueError("max_steps is needed without fit_width")
     stepped = with_steps(df, max_steps, separator)
     width = max_steps
     if fit_width:

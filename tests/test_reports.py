@@ -14,6 +14,7 @@ from stepweave.operators.rules import content_group, events_of_rules, shadowed_r
 from stepweave.plans.journeys import qc_hits
 from stepweave.rulesets import website_qc_rules, website_rules
 from tests.model import hit, hits_table
+from workload import queries
 
 SCHEMA = "journey string, conversion_flg boolean, counts bigint"
 
@@ -48,6 +49,16 @@ def test_steps_width_can_fit_the_data(spark):
     assert column(again, "steps") == [["A", "B"], ["C"]]
 
 
+def test_the_flow_of_columns_holds_every_step(spark, monkeypatch):
+    long = " > ".join(f"s{i}" for i in range(100))
+    monkeypatch.setattr(queries, "web_table", lambda spark, d: table(spark, (long, 3), ("s0 > s1", 2)))
+    edges = queries.sankey_of_columns(spark, "")
+    counts = {(r.source, r.target): r.counts for r in edges.collect()}
+    assert len(counts) == 99 and sorted(counts.values()) == [3] * 98 + [5]
+    with pytest.raises(ValueError):
+        graph.parse_steps(table(spark, ("A", 1)), max_steps=None)
+
+
 @pytest.mark.parametrize("names", [("step_1", "step_3"), ("step_2", "step_1"), ("journey",)])
 def test_step_columns_must_be_in_line(spark, names):
     with pytest.raises(ValueError):

@@ -318,7 +318,7 @@ def long_tail_null_journey(spark, d):
 
 def sankey_of_columns(spark, d):
     """From step columns, wide enough for every journey, to the edges of a flow of all of them."""
-    wide = graph.parse_steps(web_table(spark, d), max_steps=64)
+    wide = graph.parse_steps(web_table(spark, d), max_steps=None, fit_width=True)
     return reports.flow_of_steps(graph.steps_of_columns(wide))[0]
 
 
