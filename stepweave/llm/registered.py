@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm import chat, decontaminate, embeddings, langid, lines, minhash, mixing, suffix, tokens, toxicity
+from stepweave.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    embeddings,
+    langid,
+    lines,
+    minhash,
+    mixing,
+    periods,
+    suffix,
+    tokens,
+    toxicity,
+    whitening,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,6 +94,56 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.MinMax(words=2))
 
 
+def byte_bpe() -> bpe.Bpe:
+    import public_tokenizers
+
+    return bpe.Bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = byte_bpe()
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), config), config.path)
+    return found.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """Documents of which about a tenth, by their ids, get an end that repeats a stretch of their words."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n = F.size(words)
+    start = F.pmod(g, n).cast("int")
+    period = (1 + F.floor((n - start) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+    # Whole copies of the stretch, cut to the length of the text.
+    copies = F.ceil((n - start) / period).cast("int")
+    end = F.flatten(F.array_repeat(F.slice(words, start + 1, period), copies))
+    changed = F.concat(F.slice(words, F.lit(1), start), F.slice(end, F.lit(1), n - start))
+    text = F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), F.array_join(changed, " ")).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    return found.select(
+        "doc_id",
+        "n_runs",
+        "start",
+        "length",
+        "period",
+        "exponent_milli",
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def build() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -92,4 +156,7 @@ def build() -> dict[str, Query]:
         "op8_language_id": op8_language_id,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_minhash": op10_minhash,
+        "op11_byte_bpe": op11_byte_bpe,
+        "op12_whitening": op12_whitening,
+        "op13_periodic_runs": op13_periodic_runs,
     }
