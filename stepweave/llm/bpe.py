@@ -40,7 +40,7 @@ class Bpe:
 
 
 REACH = 16
-PIECES_KEPT = 1 << 18  # remembered pre-tokens per worker
+PIECES_KEPT = 1 << 17  # remembered pre-tokens per worker
 LONGEST_KEPT = 64
 OUT_BYTES = 1 << 23
 
@@ -225,7 +225,6 @@ class _Ids(dict):
         return ids
 
 
-@lru_cache(maxsize=2)
 def _ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
