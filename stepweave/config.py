@@ -40,16 +40,11 @@ class Sessions:
     session holding a large share of all hits is spread over many tasks; ``None`` keeps a session
     in one piece (one shuffle less, for data known to have no giant session). ``block_steps``
     bounds the number of steps that one row carries.
-
-    ``platforms`` lists the values the platform column can hold. With the list, the conversion
-    times of all platforms travel with the session in one scan; with ``None`` any value is
-    accepted and the cutoff is found in a scan of its own and joined.
     """
 
     separator: str = "."
     session_param: str = "ga_session_id"
     keep_null_keys: bool = False
-    platforms: tuple[str, ...] | None = ("WEB", "IOS", "ANDROID")
     tie_break: tuple[str, ...] = ("event_id",)
     chunk_seconds: int | None = 600
     block_steps: int = 4096

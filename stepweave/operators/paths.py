@@ -11,27 +11,12 @@ from stepweave.functions.params import sql_text
 from stepweave.functions.text import STEP_SEPARATOR, journey_length
 
 
-def journeys_by_key(linked: DataFrame, separator: str = STEP_SEPARATOR) -> DataFrame:
-    """One journey per key from linked blocks: key, journey, conversion_flg.
-
-    Each block becomes text first, so a key collects its blocks' texts and not its hits.
-    """
-    text = F.array_join(F.col("steps.content_group"), separator)
-    flagged = F.exists("steps", lambda step: step["conversion_flg"])
-    joined = F.expr(f"listagg(__text, {sql_text(separator)}) within group (order by chunk, block)")
-    return (
-        linked.select("key", "chunk", "block", text.alias("__text"), flagged.alias("__flagged"))
-        .groupBy("key")
-        .agg(joined.alias("journey"), F.max("__flagged").alias("conversion_flg"))
-    )
-
-
 def journeys_from_steps(
     steps: DataFrame,
     separator: str = STEP_SEPARATOR,
     order: Sequence[str] = ("event_timestamp", "event_id"),
 ) -> DataFrame:
-    """The same from one row per step, for keys known to be short."""
+    """One journey per key from one row per step, for keys known to be short: key, journey, conversion_flg."""
     by = ", ".join(f"`{column}`" for column in order)
     joined = F.expr(f"listagg(content_group, {sql_text(separator)}) within group (order by {by})")
     return steps.groupBy("key").agg(

@@ -77,7 +77,12 @@ def with_label(hits: DataFrame, label: Column, name: str = "content_group") -> D
     set with every parameter lookup in it, at the scan. A filter does not pass a generator, so
     the label goes through one that yields a single row; it is part of the same generated code.
     """
-    return hits.select("*", F.inline(F.array(F.struct(label.alias(name)))))
+    return with_columns_once(hits, **{name: label})
+
+
+def with_columns_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Attach columns behind a generator of one row, so that whatever uses them does not repeat them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
 def events_of_rules(rules: Iterable[Rule], enable: Sequence[str] = ()) -> set[str] | None:

@@ -195,10 +195,10 @@ def where_grouped(hits: DataFrame) -> DataFrame:
 
 
 def time_chunk(chunk_seconds: int | None) -> Column:
-    """Number of the time chunk of a hit; one chunk for all time if not given."""
+    """Number of the time chunk of a hit; one chunk for all time if not given. Hits without a time come first."""
     if chunk_seconds is None:
         return F.lit(0).cast("bigint")
-    return F.expr(f"{TIME} div {int(chunk_seconds * 1_000_000)}")
+    return F.expr(f"coalesce({TIME} div {int(chunk_seconds * 1_000_000)}, {-(2**63) + 1}L)")
 
 
 def with_previous(

@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 from stepweave.config import Conversion, JourneyConfig, Sessions
 from stepweave.functions.params import contains_pattern, label_if, param_on
 from stepweave.operators import paths, qc, sessions
-from stepweave.operators.blocks import events_that_count, link_blocks, session_blocks
+from stepweave.operators.blocks import (
+    events_that_count,
+    journeys_of_segments,
+    link_blocks,
+    segments,
+    session_blocks,
+)
 from stepweave.operators.rules import (
     Rule,
     content_group,
@@ -149,15 +155,13 @@ def app_hits(
 
 def session_steps(hits: DataFrame, config: JourneyConfig) -> DataFrame:
     """Labelled hits to linked blocks of steps, cut at conversion and without repeats."""
-    cutoff = None
-    if config.sessions.platforms is None:
-        cutoff = sessions.cutoffs(sessions.converters(hits))
-    return link_blocks(session_blocks(hits, config), config, cutoff)
+    return link_blocks(session_blocks(hits, config), config)
 
 
 def journeys(hits: DataFrame, config: JourneyConfig) -> DataFrame:
     """Labelled hits to one journey per key."""
-    return paths.journeys_by_key(session_steps(hits, config), config.step_separator)
+    parts = segments(hits, config, config.step_separator)
+    return journeys_of_segments(parts, config, config.step_separator)
 
 
 def journey_counts(hits: DataFrame, config: JourneyConfig) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import dataclasses
 import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from stepweave.operators import longtail
 from stepweave.operators.sessions import with_previous
@@ -48,9 +50,45 @@ def test_without_chunks_one_shuffle_less(spark, stored):
     assert len(keys) == 2 and keys[0].startswith("journey") and keys[1].startswith("key")
 
 
-def test_level_one_sorts_once(spark, stored):
-    assert web(spark, stored).count("Sort [") == 2
-    assert len(re.findall(r"(?<!\w)Window \[", web(spark, stored))) == 2
+def test_level_one_sorts_once_and_level_two_holds_no_window(spark, stored):
+    plan = web(spark, stored)
+    assert plan.count("Sort [") == 1
+    assert len(re.findall(r"(?<!\w)Window \[", plan)) == 1
+    above = plan[: plan.index("hashpartitioning(key")]
+    assert "Window" not in above and "event_id" not in above
+
+
+def test_any_platform_in_one_scan(spark, stored):
+    events = read_events(spark, stored, "2024-01-01", "2024-12-31")
+    platform = F.concat("platform", F.col("event_id").cast("string"))
+    plan = physical(plans.web_journeys(events.withColumn("platform", platform), q.RULES, q.WEB))
+    assert plan.count("FileScan") == 1 and len(exchanges(plan)) == 3
+    assert "Join" not in plan and "raise_error" not in plan
+
+
+def test_steps_stay_where_they_are(spark, stored):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        check_step_plan(spark, stored)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def check_step_plan(spark, stored):
+    events = read_events(spark, stored, "2024-01-01", "2024-12-31")
+    hits = plans.web_hits(events, q.RULES, q.WEB)
+    steps = plans.session_steps(hits, q.WEB)
+    plan = physical(steps)
+    # Hits for each use of the blocks, alike, so that they are written once; summaries by key, and back.
+    keys = Counter(re.sub(r"#\d+L?", "", e) for e in exchanges(plan))
+    assert keys == {"key, chunk, 8": 3, "key, 8": 1}
+    assert len(re.findall(r"(?<!\w)Window \[", plan)) == 2
+    assert plan.count("lambda x_") and len(re.findall(r"filter\(steps", plan)) == 1
+    steps.collect()
+    final = physical(steps)
+    final = final[: final.index("== Initial Plan ==")]
+    assert final.count("FileScan") == 1 and final.count("ReusedExchange") == 1
 
 
 def test_filters_and_columns_reach_the_scan(spark, stored):

@@ -79,19 +79,27 @@ def test_separator_keeps_keys_apart(spark):
     assert run(spark, rows, settings(separator="")) == {("Home", False): 1}
 
 
-@pytest.mark.parametrize("platforms", [("IOS", "ANDROID"), None])
-def test_latest_platform_cutoff_counts_and_hits_stay_single(spark, platforms):
+def test_latest_platform_cutoff_counts_and_hits_stay_single(spark):
     rows = [view(i, i, page) for i, page in [(1, "/home"), (3, "/menu"), (4, "/home"), (6, "/cart")]]
     rows += [buy(2, 2, platform="IOS"), buy(5, 5, platform="ANDROID")]
     journey = "Home > Purchase > Menu > Home > Purchase"
-    assert run(spark, rows, settings(platforms=platforms)) == {(journey, True): 1}
+    assert run(spark, rows) == {(journey, True): 1}
+    later = [buy(8, 8, platform="IOS"), view(7, 7, "/home"), buy(9, 9, platform="ANDROID")]
+    assert run(spark, rows + later) == {(journey, True): 1}
 
 
-def test_unlisted_platform_fails(spark):
-    rows = [buy(1, 1, platform="FRIDGE")]
-    with pytest.raises(PySparkException, match="not listed"):
-        run(spark, rows, settings(platforms=("WEB",)))
-    assert run(spark, rows, settings(platforms=None)) == {("Purchase", True): 1}
+def test_any_platform_counts(spark):
+    rows = [view(1, 1, "/home", platform="TV"), buy(2, 2, platform="FRIDGE"), view(3, 3, "/menu", platform="TV")]
+    assert run(spark, rows) == {("Home > Purchase", True): 1}
+    rows += [buy(4, 4, platform=None), view(5, 5, "/cart", platform="FRIDGE")]
+    assert run(spark, rows) == {("Home > Purchase > Menu > Purchase", True): 1}
+
+
+def test_cut_within_equal_times(spark):
+    rows = [view(1, 5, "/home"), buy(2, 5, platform="IOS"), view(3, 5, "/menu"), view(4, 6, "/cart")]
+    assert run(spark, rows) == {("Home > Purchase > Menu", True): 1}
+    rows += [buy(5, 6, platform="TV"), view(6, 6, "/home"), view(7, 7, "/menu")]
+    assert run(spark, rows) == {("Home > Purchase > Menu > Cart > Purchase > Home", True): 1}
 
 
 def test_platform_may_be_missing(spark):
@@ -211,7 +219,7 @@ def random_rows(seed, sessions=60):
             common = dict(
                 user=f"u{user}",
                 session=rng.choice([1, 1, 1, 2, None]),
-                platform=rng.choice(["IOS", "ANDROID", "ANDROID", None]),
+                platform=rng.choice(["IOS", "ANDROID", "ANDROID", None, f"P{event_id % 5}"]),
                 stream=rng.choice(["s1", "s2"]),
             )
             ts = rng.randint(0, 12) * 1_000_000
@@ -238,7 +246,7 @@ def random_rows(seed, sessions=60):
         dict(chunk_seconds=1),
         dict(chunk_seconds=3, block_steps=1),
         dict(chunk_seconds=None, block_steps=2),
-        dict(chunk_seconds=2, platforms=None),
+        dict(chunk_seconds=2, block_steps=1),
     ],
 )
 def test_random_hits_equal_the_model(spark, scope, spread):
@@ -248,7 +256,12 @@ def test_random_hits_equal_the_model(spark, scope, spread):
         if streams:
             config = with_streams(config, streams)
         spread_config = settings(config, **spread)
-        assert run(spark, rows, spread_config) == journeys(rows, config, label)
+        expected = journeys(rows, config, label)
+        assert run(spark, rows, spread_config) == expected
+        if streams and len(spread) == 2:
+            # The steps themselves, one by one, give the same.
+            steps = steps_long(plans.session_steps(plans.web_hits(hits_table(spark, rows), RULES, config), spread_config))
+            assert counted(count_journeys(journeys_from_steps(steps))) == expected
 
 
 @pytest.mark.parametrize("events", [("page_view",), ("page_view", "user_engagement")])

@@ -50,6 +50,13 @@ def app_journeys(config=APP) -> Query:
     return lambda spark, d: plans.app_journeys(fx.app_events(spark, d), fx.categories(spark), config)
 
 
+def web_journeys_many_platforms(spark: SparkSession, d: str) -> DataFrame:
+    """With platforms that no setting names, a few hundred of them, and hits without one."""
+    device = F.concat(F.col("platform"), F.lit("-"), F.pmod(F.col("event_id"), F.lit(300)).cast("string"))
+    events = fx.web_events(spark, d).withColumn("platform", F.when(F.pmod(F.col("event_id"), F.lit(7)) > 0, device))
+    return plans.web_journeys(events, RULES, WEB_ALL)
+
+
 def web_hits(spark: SparkSession, d: str) -> DataFrame:
     return plans.web_hits(fx.web_events(spark, d), RULES, WEB_ALL)
 
@@ -448,9 +455,8 @@ def build() -> dict[str, Query]:
         "sankey_of_columns": sankey_of_columns,
         "long_tail_null_journey": long_tail_null_journey,
         "events_by_day": events_by_day,
-        "web_journeys_any_platform": web_journeys(
-            replace(WEB_ALL, sessions=replace(WEB_ALL.sessions, platforms=None))
-        ),
+        "web_journeys_any_platform": web_journeys(WEB_ALL),
+        "web_journeys_many_platforms": web_journeys_many_platforms,
         "web_journeys_first_visit_all": web_journeys(replace(WEB_ALL, first_visit_scope="all")),
         "web_journeys_strict_params": web_journeys(replace(WEB_ALL, strict_params=True)),
         "snapshot_roundtrip": snapshot_roundtrip,
