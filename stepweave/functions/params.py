@@ -48,9 +48,22 @@ def any_param_equals(event: str, value: str, *, params: str = PARAMS) -> Column:
     return F.when((F.col("event_name") == event) & found, F.lit(value))
 
 
+#: A code point that is no character; parts the values of a hit while they are one text.
+NO_CHARACTER = "\uffff"
+
+
 def max_param_matching(event: str, pattern: str, *, params: str = PARAMS) -> Column:
-    """Largest parameter value of the event, under any key, that contains the pattern."""
-    matching = F.filter(_values("string_value", params), lambda v: contains_pattern(v, pattern))
+    """Largest parameter value of the event, under any key, that contains the pattern.
+
+    For an alternation of plain texts the values are searched as one text, which needs no lambda and so
+    stays inside the scan's generated code; only hits of the event are searched.
+    """
+    values, texts = _values("string_value", params), plain_texts(pattern)
+    if texts is None:
+        matching = F.filter(values, lambda v: contains_pattern(v, pattern))
+    else:
+        whole = f"[^{NO_CHARACTER}]*(?:{'|'.join(texts)})[^{NO_CHARACTER}]*"
+        matching = F.regexp_extract_all(F.array_join(values, NO_CHARACTER), F.lit(whole), F.lit(0))
     return F.when(F.col("event_name") == event, F.array_max(matching))
 
 

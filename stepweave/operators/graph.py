@@ -41,23 +41,19 @@ def with_steps(
 def parse_steps(
     df: DataFrame,
     separator: str = STEP_SEPARATOR,
-    max_steps: int | None = 10,
-    fit_width: bool = False,
+    max_steps: int = 10,
     prefix: str = "step_",
+    rest: str | None = None,
 ) -> DataFrame:
-    """Attach the columns step_1 ... step_n; missing steps are NULL.
+    """Attach the columns step_1 ... step_n, n being ``max_steps``; missing steps are NULL.
 
-    n is ``max_steps``. With ``fit_width`` it is the longest journey's length, if smaller, which
-    takes one job to find; ``max_steps`` may then be None, and nothing is cut.
+    Later steps are cut, or, with ``rest``, stay together in an array column of that name. So the table is never wider than asked
+    for, however long a journey is.
     """
-    if max_steps is None and not fit_width:
-        raise ValueError("max_steps is needed without fit_width")
-    stepped = with_steps(df, max_steps, separator)
-    width = max_steps
-    if fit_width:
-        width = stepped.agg(F.max(F.size("steps"))).first()[0] or 1
-    wide = [F.get("steps", i).alias(f"{prefix}{i + 1}") for i in range(width)]
-    return stepped.select(*df.columns, *wide)
+    stepped = with_steps(df, None if rest else max_steps, separator)
+    wide = [F.get("steps", i).alias(f"{prefix}{i + 1}") for i in range(max_steps)]
+    beyond = F.slice("steps", F.lit(max_steps + 1), F.greatest(F.size("steps") - max_steps, F.lit(0)))
+    return stepped.select(*df.columns, *wide, *([beyond.alias(rest)] if rest else []))
 
 
 def step_columns(df: DataFrame, prefix: str = "step_") -> list[str]:
@@ -69,10 +65,10 @@ def step_columns(df: DataFrame, prefix: str = "step_") -> list[str]:
     return found
 
 
-def steps_of_columns(df: DataFrame, prefix: str = "step_") -> DataFrame:
-    """Step columns back to ``steps``; a step after a missing one stays."""
-    columns = step_columns(df, prefix)
-    return df.withColumn("steps", F.array_compact(F.array(*columns)))
+def steps_of_columns(df: DataFrame, prefix: str = "step_", rest: str | None = None) -> DataFrame:
+    """Step columns, and the array of later steps, back to ``steps``; a step after a missing one stays."""
+    columns = F.array(*step_columns(df.drop(rest) if rest else df, prefix))
+    return df.withColumn("steps", F.array_compact(F.concat(columns, rest) if rest else columns))
 
 
 def step_pairs(df: DataFrame, count_col: str = "counts") -> DataFrame:

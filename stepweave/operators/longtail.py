@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.operators.ordering import count_histogram, with_running
+from stepweave.operators.ordering import bucket_sizes, count_histogram, histogram_of_sizes, with_running
+from stepweave.sources.tables import cut_lineage
 
 
 def total(df: DataFrame, count_col: str = "counts") -> DataFrame:
@@ -25,12 +26,13 @@ def running_share(
     count_col: str = "counts",
     min_count: int | None = None,
     tie_cols: Sequence[str] = ("journey",),
+    buckets: DataFrame | None = None,
 ) -> DataFrame:
     """Attach the share and the running share, most frequent first, for counts of at least the minimum.
 
     ``tie_cols`` identify a row; add the conversion flag for a table that holds both kinds.
     """
-    ranked = with_running(df, count_col, tie_cols, min_count)
+    ranked = with_running(df, count_col, tie_cols, min_count, buckets=buckets)
     return (
         ranked.withColumn("count_percent", F.col(count_col).cast("double") / F.col("total"))
         .withColumn("count_percent_cum", F.col("running").cast("double") / F.col("total"))
@@ -60,11 +62,13 @@ def long_tail(
     """Journeys of at least the minimum count with their shares, and a one-row report.
 
     The rows are returned whether or not they reach the share; the report says so in ``ok`` and
-    suggests the largest minimum that would.
+    suggests the largest minimum that would. Both come from one table of how many rows have each count, stored in
+    the shared folder; the rows are read once for it and once to be returned.
     """
-    kept = running_share(df, count_col, min_count, tie_cols)
+    buckets = cut_lineage(bucket_sizes(df, count_col, tie_cols))
+    kept = running_share(df, count_col, min_count, tie_cols, buckets)
     share = F.col("sum_to").cast("double") / F.col("total")
-    report = count_histogram(df, count_col).agg(
+    report = histogram_of_sizes(buckets).agg(
         F.coalesce(F.max(F.when(F.col("c") >= min_count, share)), F.lit(0.0)).alias("coverage"),
         F.max(F.when(share >= min_share, F.col("c"))).alias("suggested_min_count"),
     )

@@ -44,6 +44,24 @@ def count_histogram(df: DataFrame, count_col: str) -> DataFrame:
     return _with_running(sizes)
 
 
+def bucket_sizes(
+    df: DataFrame, count_col: str, tie_cols: Sequence[str], bucket_digits: int = BUCKET_DIGITS
+) -> DataFrame:
+    """Rows of each (count, bucket): c, b, n. All that ``with_running`` and reports need to know of a table."""
+    require_counts(df, count_col)
+    bucket = F.substring(_hash(tie_cols[0]), 1, bucket_digits)
+    return (
+        df.where(F.col(count_col).isNotNull())
+        .groupBy(F.col(count_col).cast("bigint").alias("c"), bucket.alias("b"))
+        .agg(F.count("*").alias("n"))
+    )
+
+
+def histogram_of_sizes(buckets: DataFrame) -> DataFrame:
+    """``count_histogram`` from the sizes of buckets."""
+    return _with_running(buckets.groupBy("c").agg(F.sum("n").alias("n")))
+
+
 def _with_running(sizes: DataFrame) -> DataFrame:
     down = W.orderBy(F.desc("c"))
     upto = down.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -62,23 +80,22 @@ def with_running(
     tie_cols: Sequence[str],
     min_count: int | None = None,
     bucket_digits: int = BUCKET_DIGITS,
+    buckets: DataFrame | None = None,
 ) -> DataFrame:
     """Attach ``position`` (from 0), ``running`` (sum up to the row) and ``total`` (of all rows).
 
     Rows below ``min_count`` come last in the order, so they are left out without touching the
-    others; they still count in the total. A run of equal counts is cut into 16 ** ``bucket_digits`` buckets.
+    others; they still count in the total. A run of equal counts is cut into 16 ** ``bucket_digits`` buckets;
+    ``buckets``, their sizes, may be given where they are known.
     """
     require_counts(df, count_col)
     bucket = F.substring(_hash(tie_cols[0]), 1, bucket_digits)
-    buckets = (
-        df.where(F.col(count_col).isNotNull())
-        .groupBy(F.col(count_col).cast("bigint").alias("c"), bucket.alias("b"))
-        .agg(F.count("*").alias("n"))
-    )
+    if buckets is None:
+        buckets = bucket_sizes(df, count_col, tie_cols, bucket_digits)
     # A partition of this window holds the buckets of one count.
     earlier = W.partitionBy("c").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
     parts = buckets.select("c", "b", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
-    bases = _with_running(buckets.groupBy("c").agg(F.sum("n").alias("n")))
+    bases = histogram_of_sizes(buckets)
     if min_count is not None:
         bases = bases.where(F.col("c") >= min_count)
         df = df.where(F.col(count_col) >= min_count)

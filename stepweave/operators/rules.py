@@ -127,17 +127,60 @@ def map_category(
     categories: DataFrame,
     column: str = "item_category",
     output: str = "category_group",
+    match: str = "equals",
+    priority: Column | None = None,
 ) -> DataFrame:
-    """Attach the content group of an item category by exact equality.
+    """Attach the content group of an item category.
 
-    The join carries no broadcast hint: Spark broadcasts the dimension after checking its size
-    and falls back to a shuffle join, with skew handling, for one too large. A category
+    ``match="equals"``: the text is the category. The join carries no broadcast hint: Spark broadcasts the dimension
+    after checking its size and falls back to a shuffle join, with skew handling, for one too large. A category
     listed twice keeps the label with the most sessions.
+
+    ``match="contains"``: the category stands anywhere in the text, and of several the first rule wins: the
+    least ``priority``, an expression over ``categories``; the most sessions, then the name, if not given. See ``find_categories``.
     """
+    if match not in ("equals", "contains"):
+        raise ValueError(f"match must be equals or contains: {match!r}")
+    live = categories.where(F.col("enabled") & F.col("item_category").isNotNull())
+    if match == "contains":
+        texts = hits.select(F.col(column).alias("__category")).where("__category is not null").distinct()
+        found = find_categories(texts, live, "__category", priority).withColumnRenamed("content_group", output)
+        return hits.join(found, F.col(column) == F.col("__category"), "left").drop("__category")
     best = F.max(F.struct("sessions", "content_group"))
-    unique = (
-        categories.where(F.col("enabled") & F.col("item_category").isNotNull())
-        .groupBy(F.col("item_category").alias("__category"))
-        .agg(best["content_group"].alias(output))
-    )
+    unique = live.groupBy(F.col("item_category").alias("__category")).agg(best["content_group"].alias(output))
     return hits.join(unique, F.col(column) == F.col("__category"), "left").drop("__category")
+
+
+GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The different substrings of a size."""
+    starts = F.sequence(F.lit(1), F.char_length(text) - (size - 1))
+    grams = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
+    return F.when(F.char_length(text) >= size, grams).otherwise(F.array().cast("array<string>"))
+
+
+def find_categories(
+    texts: DataFrame, categories: DataFrame, column: str, priority: Column | None = None
+) -> DataFrame:
+    """The texts that hold a category, with the content group of the first rule among those they hold.
+
+    A text that holds a name holds each of its three-letter grams. Every name is filed under the one of them that the fewest
+    names share (a shorter name under itself), so a text meets only the names filed under one of its own
+    grams, and each is then looked for as a whole. No pair is formed without a shared gram.
+    """
+    if priority is None:
+        priority = F.struct((-F.col("sessions")).alias("sessions"), F.col("item_category").alias("name"))
+    rule = F.struct(priority.alias("priority"), "content_group")
+    names = categories.groupBy(F.col("item_category").alias("name")).agg(F.min(rule).alias("rule"))
+    name = F.col("name")
+    grams = F.when(F.char_length(name) < GRAM, F.array(name)).otherwise(_grams(name, GRAM))
+    filed = names.select("name", "rule", F.explode(grams).alias("gram"))
+    shared = filed.groupBy("gram").agg(F.count("*").alias("n"))
+    fewest = F.min_by("gram", F.struct("n", "gram"))
+    index = filed.join(shared, "gram").groupBy("name").agg(F.first("rule").alias("rule"), fewest.alias("gram"))
+    sizes = [F.array(F.lit("")), *[_grams(F.col(column), size) for size in range(1, GRAM + 1)]]
+    met = texts.select(column, F.explode(F.concat(*sizes)).alias("gram")).join(index, "gram")
+    held = met.where(F.col(column).contains(name))
+    return held.groupBy(column).agg(F.min("rule")["content_group"].alias("content_group"))

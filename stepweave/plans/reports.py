@@ -44,17 +44,22 @@ def profile_journeys(
     count_bins: int = 30,
     separator: str = STEP_SEPARATOR,
 ) -> dict[str, DataFrame]:
-    """Tables of a journey profile: rows with length, numbers, two histograms, shape."""
+    """Tables of a journey profile: rows with length, numbers, two histograms, shape.
+
+    The journeys are read once, for a table of how many have each count and length; it is stored in the shared
+    folder, and the other four tables come from it.
+    """
     if converted is not None:
         journeys = pick_conversion(journeys, converted)
     measured = paths.with_journey_length(journeys, separator)
-    several = paths.where_length(measured, lo=2)
+    joint = cut_lineage(profile.joint_frequencies(measured, ["counts", "journey_length"]))
+    several = paths.where_length(joint, lo=2)
     return {
         "journeys": measured,
-        "numbers": profile.describe_numeric(measured, ["counts", "journey_length"]),
-        "lengths": profile.histogram(measured, "journey_length", length_bins, more_than=0),
-        "counts": profile.histogram(several, "counts", count_bins),
-        "shape": profile.shape(measured),
+        "numbers": profile.describe_joint(joint, ["counts", "journey_length"]),
+        "lengths": profile.histogram(joint, "journey_length", length_bins, more_than=0, weight="n"),
+        "counts": profile.histogram(several, "counts", count_bins, weight="n"),
+        "shape": profile.shape(joint, "n", len(measured.columns)),
     }
 
 
@@ -79,12 +84,12 @@ def flow_of_steps(stepped: DataFrame, settings: FlowSettings = FlowSettings()) -
     """(edges, nodes) of a flow chart of any table with ``steps`` and ``counts``, also ``steps_of_columns``.
 
     The journeys are read once and summed to a table of transitions, of the order of the number of
-    labels squared. It and the ordered nodes are stored in the shared folder, where the
-    cluster's retention removes them; the results are read from there.
+    labels squared. It is stored in the shared folder, where the cluster's retention removes it; edges and nodes
+    are read from there, and the order of the nodes is the same for both.
     """
     moves = cut_lineage(graph.transitions(stepped))
     weights = moves.groupBy(F.col("target").alias("value")).agg(F.sum("counts").alias("counts"))
-    indexed = cut_lineage(graph.color_nodes(graph.index_nodes(weights), settings.node_opacity))
+    indexed = graph.color_nodes(graph.index_nodes(weights), settings.node_opacity)
     edge_weights = moves.where(F.col("source").isNotNull())
     linked = graph.link_color(graph.index_edges(edge_weights, indexed), settings.link_opacity)
     return linked, indexed

@@ -112,6 +112,19 @@ def test_scan_to_first_shuffle_is_one_code_span(spark, stored):
     assert int(re.search(r"maxMethodCodeSize:(\d+)", plan).group(1)) < 8000
 
 
+def test_app_scan_to_first_shuffle_is_generated_code(spark, tmp_path):
+    write_events(fx.app_events(spark, SF_DIR), str(tmp_path))
+    events = read_events(spark, str(tmp_path), "2024-01-01", "2024-12-31")
+    plan = physical(plans.app_journeys(events, fx.categories(spark), q.APP))
+    below = plan[plan.index("hashpartitioning(key") :]
+    assert "lambda" not in below[below.index("FileScan") - 6000 :] and "regexp_extract_all" in below
+    hits = plans.app_hits(events, fx.categories(spark), q.APP)
+    code = spark._jvm.PythonSQLUtils.explainString(hits._jdf.queryExecution(), "codegen")
+    # The hits, and the categories that are broadcast to them.
+    spans = [part for part in code.split("== Subtree") if "FileScan" in part]
+    assert len(spans) == 1 and "Generate inline" in spans[0] and "BroadcastHashJoin" in spans[0]
+
+
 def test_running_share_orders_only_the_table_of_counts_in_one_task(spark):
     df = spark.createDataFrame([("a", 1)], "journey string, counts bigint")
     plan = physical(longtail.running_share(df))

@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepweave import FlowSettings, Rule, flow_tables, long_tail, profile_journeys
+from stepweave.functions import params
 from stepweave.functions.text import PALETTE, check_date, hex_to_rgba, palette_color
 from stepweave.operators import graph, longtail, ordering, profile, qc
-from stepweave.operators.rules import content_group, events_of_rules, shadowed_rules
+from stepweave.operators.rules import content_group, events_of_rules, map_category, shadowed_rules
+from stepweave.plans import reports
 from stepweave.plans.journeys import qc_hits
 from stepweave.rulesets import website_qc_rules, website_rules
 from tests.model import hit, hits_table
@@ -41,22 +43,17 @@ def test_steps_are_cut_without_a_sign(spark):
     assert list(wide.first())[3:] == ["A", "B", "C", "D", "E"]
 
 
-def test_steps_width_can_fit_the_data(spark):
-    wide = graph.parse_steps(table(spark, ("A > B", 1), ("C", 2)), fit_width=True)
-    assert wide.columns[3:] == ["step_1", "step_2"]
-    assert {tuple(r)[3:] for r in wide.collect()} == {("A", "B"), ("C", None)}
-    again = graph.steps_of_columns(wide).orderBy("counts")
-    assert column(again, "steps") == [["A", "B"], ["C"]]
-
-
-def test_the_flow_of_columns_holds_every_step(spark, monkeypatch):
-    long = " > ".join(f"s{i}" for i in range(100))
-    monkeypatch.setattr(queries, "web_table", lambda spark, d: table(spark, (long, 3), ("s0 > s1", 2)))
-    edges = queries.sankey_of_columns(spark, "")
-    counts = {(r.source, r.target): r.counts for r in edges.collect()}
-    assert len(counts) == 99 and sorted(counts.values()) == [3] * 98 + [5]
-    with pytest.raises(ValueError):
-        graph.parse_steps(table(spark, ("A", 1)), max_steps=None)
+def test_later_steps_stay_in_an_array(spark):
+    long = " > ".join(f"s{i}" for i in range(20_000))
+    wide = graph.parse_steps(table(spark, ("A > B", 1), ("C > D > E", 2), (long, 3)), max_steps=2, rest="later")
+    assert wide.columns[3:] == ["step_1", "step_2", "later"]
+    rows = {tuple(r)[2:5]: r.later for r in wide.collect()}
+    assert rows[(1, "A", "B")] == [] and rows[(2, "C", "D")] == ["E"]
+    assert rows[(3, "s0", "s1")][::19_997] == ["s2", "s19999"]
+    again = graph.steps_of_columns(wide, rest="later").orderBy("counts")
+    assert column(again, "steps") == [["A", "B"], ["C", "D", "E"], long.split(" > ")]
+    edges, _ = reports.flow_of_steps(graph.steps_of_columns(wide, rest="later"))
+    assert edges.count() == 20_002
 
 
 @pytest.mark.parametrize("names", [("step_1", "step_3"), ("step_2", "step_1"), ("journey",)])
@@ -276,3 +273,89 @@ def test_flow_is_uncut_by_default(spark):
     table = spark.createDataFrame([(long, False, 1)] + [(f"x{i}", True, 1) for i in range(20)], "journey string, conversion_flg boolean, counts long")
     _, nodes = flow_tables(table)
     assert nodes.count() == 30 + 20 + 1
+
+
+def test_categories_within_texts_equal_a_loop(spark):
+    rng = random.Random(4)
+    some = "aabé字 $("
+    names = {"".join(rng.choices(some, k=rng.choice([0, 1, 2, 3, 4, 6]))) for _ in range(60)} | {"a.b", "(x)"}
+    rules = [(name, i % 7, f"g{i}", i % 9 != 0) for i, name in enumerate(sorted(names))]
+    rules += [(rules[5][0], 99, "twice", True), (None, 1, "none", True), ("off", 1000, "off", False)]
+    texts = ["".join(rng.choices(some, k=rng.randint(0, 12))) for _ in range(150)] + [None, "", "off", "a.b", "acb (x) "]
+    texts += ["the hot text aab"] * 200
+    hits = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, item string").repartition(4)
+    categories = spark.createDataFrame(rules, "item_category string, sessions long, content_group string, enabled boolean")
+
+    def first(text, order):
+        held = [r for r in rules if text is not None and r[0] is not None and r[3] and r[0] in text]
+        return min(held, key=order)[2] if held else None
+
+    found = map_category(hits, categories, "item", match="contains").collect()
+    assert {r.id: r.category_group for r in found} == {i: first(x, lambda r: (-r[1], r[0], r[2])) for i, x in enumerate(texts)}
+    longest = F.struct((-F.char_length("item_category")).alias("n"), F.col("item_category").alias("c"), F.col("sessions").alias("s"))
+    found = map_category(hits, categories, "item", match="contains", priority=longest).collect()
+    assert {r.id: r.category_group for r in found} == {i: first(x, lambda r: (-len(r[0]), r[0], r[1])) for i, x in enumerate(texts)}
+    plan = map_category(hits, categories, "item", match="contains")._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    with pytest.raises(ValueError):
+        map_category(hits, categories, "item", match="regex")
+    assert {r.category_group for r in map_category(hits, categories.limit(0), "item", match="contains").collect()} == {None}
+
+
+def test_numbers_of_any_column(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=3000) * 10.0 ** rng.integers(-20, 20, 3000)
+    rows = [(float(v), int(k), None, float("nan") if i == 7 else float(i)) for i, (v, k) in enumerate(zip(values, rng.integers(0, 4, 3000)))]
+    df = spark.createDataFrame(rows, "spread double, few long, nothing double, odd double").repartition(5)
+    got = {r.column_name: r for r in profile.describe_numeric(df, df.columns).collect()}
+    for name, own in (("spread", values), ("few", np.array([r[1] for r in rows], float))):
+        r = got[name]
+        assert r["count"] == 3000 and (r["min"], r["max"]) == (own.min(), own.max())
+        assert list(r[5:8]) == pytest.approx(np.percentile(own, [25, 50, 75]).tolist(), rel=1e-12)
+        assert (r["mean"], r["std"]) == pytest.approx((own.mean(), own.std(ddof=1)), rel=1e-9)
+    assert got["nothing"][1:] == (0, *[None] * 7)
+    assert got["odd"].q50 == 1500.5 and math.isnan(got["odd"]["max"]) and math.isnan(got["odd"]["mean"])
+    (one,) = profile.describe_numeric(df.limit(1), ["few"]).collect()
+    assert one["count"] == 1 and one["std"] is None and one.q25 == one["min"] == one["max"]
+    assert [tuple(r)[:2] for r in profile.describe_numeric(df.limit(0), ["few", "odd"]).collect()] == [("few", 0), ("odd", 0)]
+
+
+def test_joint_numbers_equal_those_of_the_rows(spark):
+    rng = random.Random(6)
+    rows = [(rng.randint(1, 9) ** 4, rng.choice([None, 1, 2, 5])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "counts long, journey_length int")
+    joint = profile.joint_frequencies(df, df.columns)
+    wanted = [tuple(r) for r in profile.describe_numeric(df, df.columns).collect()]
+    for found, expected in zip(profile.describe_joint(joint, df.columns).collect(), wanted, strict=True):
+        assert found[0] == expected[0] and tuple(found[1:]) == pytest.approx(expected[1:])
+    assert profile.shape(joint, "n", 2).first() == profile.shape(df).first()
+    assert profile.histogram(joint, "counts", 7, weight="n").collect() == profile.histogram(df, "counts", 7).collect()
+    (empty,) = profile.describe_joint(joint.limit(0), ["counts"]).collect()
+    assert tuple(empty)[:3] == ("counts", 0, None)
+
+
+def test_profile_and_long_tail_read_the_journeys_once(spark, tmp_path):
+    path = str(tmp_path / "journeys")
+    table(spark, *[(f"J{i} > x", i % 9 + 1) for i in range(200)]).write.parquet(path)
+    journeys = spark.read.parquet(path)
+    tables = profile_journeys(journeys)
+    for name in ("numbers", "lengths", "counts", "shape"):
+        assert not any(f.startswith(f"file://{path}") for f in tables[name].inputFiles())
+    kept, report = long_tail(journeys, min_share=0.5, min_count=3)
+    assert not any(f.startswith(f"file://{path}") for f in report.inputFiles())
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [journey") == 1 and plan.count("FileScan") == 3
+
+
+def test_largest_value_that_matches(spark):
+    values = [["x", "a Buy b", None, "Buy\n2", ""], [None], [], None, ["buy"], ["Order", "zOrderz", "Buyer"]]
+    entries = [None if v is None else [("k", (x, None)) for x in v] for v in values]
+    schema = "event_name string, event_params array<struct<key:string,value:struct<string_value:string,int_value:long>>>"
+    df = spark.createDataFrame([("e", e) for e in entries] + [("other", entries[0])], schema)
+    plain = params.max_param_matching("e", "Buy|Order")
+    by_regex = params.max_param_matching("e", "(Buy|Order)")
+    found = df.select(plain.alias("a"), by_regex.alias("b")).collect()
+    assert [r.a for r in found] == ["a Buy b", None, None, None, None, "zOrderz", None]
+    assert [r.a for r in found] == [r.b for r in found]

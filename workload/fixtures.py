@@ -94,7 +94,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _pick(values: tuple[str, ...], index: Column) -> Column:
+def pick(values: tuple[str, ...], index: Column) -> Column:
     return F.get(F.expr(f"array({', '.join(sql_text(v) for v in values)})"), index)
 
 
@@ -146,7 +146,7 @@ def web_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("Order: Other")
     )
     texts = {
-        "page_location": F.when(kind.isin("view", "click"), _pick(PAGES, k % len(PAGES))),
+        "page_location": F.when(kind.isin("view", "click"), pick(PAGES, k % len(PAGES))),
         "page_title": title,
         "logged_in": F.when(kind == "error", F.when(k % 3 == 0, "Logged in").otherwise("Guest")),
     }
@@ -173,7 +173,7 @@ def app_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     texts = {
-        "item_category": F.when(kind == "view", _pick(ITEM_CATEGORIES, k % len(ITEM_CATEGORIES))),
+        "item_category": F.when(kind == "view", pick(ITEM_CATEGORIES, k % len(ITEM_CATEGORIES))),
         "item_name": F.when((kind == "click") & (k % 2 == 0), F.concat(F.lit("Item "), k.cast("string"))),
         "firebase_screen_class": screen,
         "previous_class": F.when((kind == "purchase") & (k % 5 == 0), "OldCheckoutActivity"),

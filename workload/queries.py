@@ -162,6 +162,19 @@ def category_map(spark, d):
     return hits.select("event_id", "app_view_itemlist", "category_group", "legacy_group")
 
 
+def category_contains(spark, d):
+    """Item texts that hold one listed name, two, or none."""
+    other = fx.pick(fx.ITEM_CATEGORIES, F.pmod(F.col("event_id"), F.lit(len(fx.ITEM_CATEGORIES))))
+    text = F.concat(F.lit("To go: "), other, F.lit(" & "), F.col("app_view_itemlist"))
+    hits = app_flat(spark, d).withColumn("item_text", text)
+    hits = map_category(hits, fx.categories(spark), "item_text", match="contains")
+    name = F.col("item_category")
+    hits = map_category(hits, fx.categories(spark), "item_text", "last_group", match="contains", priority=F.col("sessions"))
+    shortest = F.struct(F.char_length(name).alias("n"), name.alias("name"))
+    hits = map_category(hits, fx.categories(spark), "item_text", "short_group", match="contains", priority=shortest)
+    return hits.select("event_id", "item_text", "category_group", "last_group", "short_group")
+
+
 def event_fallthrough(spark, d):
     group = content_group_by_event(plans.APP_LABELS_BY_EVENT).alias("event_group")
     return app_flat(spark, d).select("event_id", "event_name", group)
@@ -231,6 +244,14 @@ def describe_numeric(spark, d):
     return numbers.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
 
 
+def describe_values(spark, d):
+    """Of columns with about as many different values as rows."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    odd = F.when(F.col("event_id") % 5 > 0, F.col("value") / (F.col("user_id") + 1))
+    numbers = profile.describe_numeric(events.withColumn("odd", odd), ["value", "event_id", "odd"])
+    return numbers.withColumns({c: F.round(c, 6) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")})
+
+
 def _rounded_bins(bins: DataFrame) -> DataFrame:
     return bins.select(
         F.col("bin").cast("bigint").alias("bin"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "n"
@@ -238,15 +259,20 @@ def _rounded_bins(bins: DataFrame) -> DataFrame:
 
 
 def length_histogram(spark, d):
-    tables = reports.profile_journeys(web_table(spark, d))
+    tables = reports.profile_journeys(web_journeys(WEB_ALL)(spark, d))
     return _rounded_bins(tables["lengths"])
 
 
 def count_histogram(spark, d):
-    tables = reports.profile_journeys(web_table(spark, d))
+    tables = reports.profile_journeys(web_journeys(WEB_ALL)(spark, d))
     return _rounded_bins(tables["counts"])
 
 
+def profile_numbers(spark, d):
+    numbers = reports.profile_journeys(web_journeys(WEB_ALL)(spark, d))["numbers"]
+    return numbers.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+
+
 def shape(spark, d):
     return reports.profile_journeys(web_journeys(WEB_ALL)(spark, d))["shape"]
 
@@ -324,9 +350,9 @@ def long_tail_null_journey(spark, d):
 
 
 def sankey_of_columns(spark, d):
-    """From step columns, wide enough for every journey, to the edges of a flow of all of them."""
-    wide = graph.parse_steps(web_table(spark, d), max_steps=None, fit_width=True)
-    return reports.flow_of_steps(graph.steps_of_columns(wide))[0]
+    """From step columns, and later steps beside them, to the edges of a flow of all of them."""
+    wide = graph.parse_steps(web_journeys(WEB_ALL)(spark, d), max_steps=10, rest="later_steps")
+    return reports.flow_of_steps(graph.steps_of_columns(wide, rest="later_steps"))[0]
 
 
 def events_by_day(spark, d):
@@ -412,6 +438,7 @@ def build() -> dict[str, Query]:
         "content_group_switched_on": content_group_switched_on,
         "url_groups_pages": url_groups_pages,
         "category_map": category_map,
+        "category_contains": category_contains,
         "event_fallthrough": event_fallthrough,
         "event_fallthrough_more": event_fallthrough_more,
         "converters": converters,
@@ -428,6 +455,8 @@ def build() -> dict[str, Query]:
         "sessions_by_group": sessions_by_group,
         "session_total": session_total,
         "describe_numeric": describe_numeric,
+        "describe_values": describe_values,
+        "profile_numbers": profile_numbers,
         "length_histogram": length_histogram,
         "count_histogram": count_histogram,
         "shape": shape,
