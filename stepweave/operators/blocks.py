@@ -74,9 +74,9 @@ def _ordered(hits: DataFrame, config: JourneyConfig) -> DataFrame:
     wanted = [F.col("conversion_ts").isNotNull(), *_flags(config).values()]
     grouped = F.col("content_group").isNotNull()
     # Hits with no group that bear on nothing leave before the shuffle.
-    hits = hits.where(reduce(lambda a, b: a | b, [grouped, *wanted])).withColumn(
-        "chunk", time_chunk(sessions.chunk_seconds)
-    )
+    hits = hits.where(reduce(lambda a, b: a | b, [grouped, *wanted]))
+    if "chunk" not in hits.columns:  # hits stored by key and chunk hold it
+        hits = hits.withColumn("chunk", time_chunk(sessions.chunk_seconds))
     ordered = W.partitionBy("key", "chunk").orderBy(TIME, *sessions.tie_break)
     before = ordered.rowsBetween(W.unboundedPreceding, -1)
     previous = F.last("content_group", ignorenulls=True).over(before)

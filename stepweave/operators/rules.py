@@ -80,6 +80,21 @@ def with_label(hits: DataFrame, label: Column, name: str = "content_group") -> D
     return with_columns_once(hits, **{name: label})
 
 
+def with_label_by_dictionary(
+    hits: DataFrame, label: Column, on: Sequence[str], name: str = "content_group"
+) -> DataFrame:
+    """Attach a label that depends on the columns ``on`` alone, computed once for each combination of their values.
+
+    Worth its second scan where texts repeat: a long rule set then runs on the different texts only, and each hit costs
+    one look-up. The join is plain and null-safe: Spark broadcasts a dictionary of checked size, and otherwise splits
+    the hits of a frequent text.
+    """
+    renamed = {c: f"__on_{c}" for c in on}
+    dictionary = with_label(hits.select(*on).distinct(), label, name).withColumnsRenamed(renamed)
+    same = [F.col(c).eqNullSafe(F.col(other)) for c, other in renamed.items()]
+    return hits.join(dictionary, same, "left").drop(*renamed.values())
+
+
 def with_columns_once(df: DataFrame, **columns: Column) -> DataFrame:
     """Attach columns behind a generator of one row, so that whatever uses them does not repeat them."""
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))

@@ -23,8 +23,10 @@ from stepweave.operators.rules import (
     content_group,
     content_group_by_event,
     events_of_rules,
+    live_rules,
     map_category,
     with_label,
+    with_label_by_dictionary,
 )
 
 # Events, texts and labels of the two products.
@@ -123,10 +125,15 @@ def app_columns(strict: bool = False) -> dict[str, Column]:
     }
 
 
-def label_hits(hits: DataFrame, group: Column) -> DataFrame:
-    """Attach the content group and the conversion flag; rows that are not hits get no group."""
+def label_hits(hits: DataFrame, group: Column, dictionary: Sequence[str] | None = None) -> DataFrame:
+    """Attach the content group and the conversion flag; rows that are not hits get no group.
+
+    ``dictionary`` names the columns that the group depends on: it is then found once for each of their values."""
     flagged = hits.withColumn("conversion_flg", sessions.conversion_flg())
-    return with_label(flagged, F.when(F.col("is_hit"), group))
+    group = F.when(F.col("is_hit"), group)
+    if dictionary is None:
+        return with_label(flagged, group)
+    return with_label_by_dictionary(flagged, group, ["is_hit", *dictionary])
 
 
 def web_hits(
@@ -134,10 +141,12 @@ def web_hits(
     rules: Sequence[Rule],
     config: JourneyConfig = WEB,
     only_events: Sequence[str] | None = None,
+    dictionary: bool = False,
 ) -> DataFrame:
-    """Labelled hits of the website query."""
+    """Labelled hits of the website query; with ``dictionary`` each different address is labelled once."""
     hits = sessions.session_hits(events, config, web_columns(config.strict_params), only_events)
-    return label_hits(hits, content_group(rules))
+    used = ["event_name", *sorted({rule.field for rule in live_rules(rules) if rule.match != "any"})]
+    return label_hits(hits, content_group(rules), used if dictionary else None)
 
 
 def app_hits(
@@ -198,8 +207,11 @@ def qc_hits(
     as_of=None,
     streams: Sequence[str] | None = None,
     device: str | None = None,
+    dictionary: bool = False,
 ) -> DataFrame:
-    """Hits of the check query with their content group; those that match no rule are ``Other``."""
+    """Hits of the check query with their content group; those that match no rule are ``Other``.
+
+    With ``dictionary`` each different combination of event and addresses is labelled once."""
     if days is not None:
         events = events.where(sessions.trailing_days(days, as_of))
     kept = events.where(
@@ -208,7 +220,8 @@ def qc_hits(
         & sessions.where_events(event_names, conversion)
     )
     hits = kept.select("event_name", *[c.alias(name) for name, c in web_columns().items()])
-    return with_label(hits, content_group(rules, default="Other"))
+    group = content_group(rules, default="Other")
+    return with_label_by_dictionary(hits, group, hits.columns) if dictionary else with_label(hits, group)
 
 
 def content_group_qc(events: DataFrame, rules: Sequence[Rule], **settings) -> DataFrame:

@@ -9,6 +9,7 @@ from stepweave.sources.tables import (
     read_journeys_csv,
     read_rules,
     shared_folder,
+    store_hits,
     write_csv,
     write_events,
     write_snapshot,
@@ -23,6 +24,7 @@ __all__ = [
     "read_journeys_csv",
     "read_rules",
     "shared_folder",
+    "store_hits",
     "write_csv",
     "write_events",
     "write_snapshot",

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from stepweave import schema
 from stepweave.functions.text import check_date
 from stepweave.operators.rules import Rule
+from stepweave.operators.sessions import TIME, time_chunk
 
 
 def read_events(
@@ -123,6 +124,28 @@ def read_rules(spark: SparkSession, path: str) -> list[Rule]:
     ]
 
 
+def store_hits(
+    hits: DataFrame,
+    table: str,
+    buckets: int,
+    by: Sequence[str] = ("key", "chunk"),
+    chunk_seconds: int | None = 600,
+) -> None:
+    """Store labelled hits as a table laid out by key, for journey queries that run over them again and again.
+
+    Files are buckets of the columns ``by``, so those queries need no shuffle by them: ``("key", "chunk")`` spares that
+    of the hits and spreads a giant session over buckets; ``("key",)`` spares that of its parts too, and
+    is for hits without such a session. Chunks are those of the settings that the queries use. The table must
+    not exist; its files lie below the session's warehouse.
+    """
+    by = list(by)
+    if not set(by) <= {"key", "chunk"} or "key" not in by:
+        raise ValueError(f"hits are laid out by key, or key and chunk: {by!r}")
+    hits = hits.withColumn("chunk", time_chunk(chunk_seconds))
+    spread = hits.repartition(buckets, *by)  # one file a bucket
+    spread.write.bucketBy(buckets, *by).sortBy("key", "chunk", TIME).saveAsTable(table)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder name below the session's checkpoint folder, which all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stepweave.operators import longtail
 from stepweave.operators.sessions import with_previous
 from stepweave.plans import journeys as plans
-from stepweave.sources import read_categories, read_events, write_events
+from stepweave.sources import read_categories, read_events, store_hits, write_events
 from workload import fixtures as fx
 from workload import queries as q
 
@@ -118,11 +118,20 @@ def test_app_scan_to_first_shuffle_is_generated_code(spark, tmp_path):
     plan = physical(plans.app_journeys(events, fx.categories(spark), q.APP))
     below = plan[plan.index("hashpartitioning(key") :]
     assert "lambda" not in below[below.index("FileScan") - 6000 :] and "regexp_extract_all" in below
-    hits = plans.app_hits(events, fx.categories(spark), q.APP)
-    code = spark._jvm.PythonSQLUtils.explainString(hits._jdf.queryExecution(), "codegen")
-    # The hits, and the categories that are broadcast to them.
-    spans = [part for part in code.split("== Subtree") if "FileScan" in part]
-    assert len(spans) == 1 and "Generate inline" in spans[0] and "BroadcastHashJoin" in spans[0]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        hits = plans.app_hits(events, fx.categories(spark), q.APP)
+        code = spark._jvm.PythonSQLUtils.explainString(hits._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    # From the files over the look-up of categories to the label.
+    (span,) = [part for part in code.split("== Subtree ") if "Generate inline" in part]
+    stage = re.search(r"\*\((\d+)\) Generate", span).group(1)
+    tree = span[: span.index("Generated code")]
+    for operator in ("Project", "BroadcastHashJoin", "Filter", "ColumnarToRow"):
+        assert f"*({stage}) {operator}" in tree
+    assert "lambda" not in tree
+    assert int(re.search(r"maxMethodCodeSize:(\d+)", span).group(1)) < 8000
 
 
 def test_running_share_orders_only_the_table_of_counts_in_one_task(spark):
@@ -152,3 +161,27 @@ def test_small_category_map_is_broadcast_and_a_large_one_is_not(spark, tmp_path)
         "cast(id as string) item_category", "id sessions", "'x' content_group", "true enabled"
     )
     assert "SortMergeJoin" in physical(plans.app_hits(events, large, q.APP))
+
+
+def test_rules_run_below_the_distinct(spark, stored):
+    events = read_events(spark, stored, "2024-01-01", "2024-12-31")
+    plan = physical(plans.web_hits(events, q.RULES, q.WEB, dictionary=True))
+    above, below = plan.split("/en/menu/appetizers")  # once in the plan
+    different = r"HashAggregate\(keys=\[[^\]]*page_location"
+    assert re.search(different, below) and not re.search(different, above) and "Join" in above
+
+
+def test_hits_stored_by_key_need_no_shuffle_by_key(spark, stored):
+    events = read_events(spark, stored, "2024-01-01", "2024-12-31")
+    hits = plans.web_hits(events, q.RULES, q.WEB)
+    plain = Counter({(r.journey, r.conversion_flg): r.counts for r in plans.journey_counts(hits, q.WEB).collect()})
+    for by, keys in ((("key",), 0), (("key", "chunk"), 1)):
+        table = f"hits_{len(by)}"
+        store_hits(hits, table, buckets=4, by=by, chunk_seconds=q.WEB.sessions.chunk_seconds)
+        try:
+            again = plans.journey_counts(spark.table(table), q.WEB)
+            found = [re.sub(r"#\d+L?", "", e) for e in exchanges(physical(again))]
+            assert [e for e in found if not e.startswith("journey")] == ["key, 8"] * keys
+            assert Counter({(r.journey, r.conversion_flg): r.counts for r in again.collect()}) == plain
+        finally:
+            spark.sql(f"drop table {table}")

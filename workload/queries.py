@@ -6,6 +6,7 @@ The trailing-day windows are part of the journey and check queries; all others r
 from __future__ import annotations
 
 import dataclasses
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,7 @@ from stepweave.sources import (
     read_journeys,
     read_journeys_csv,
     shared_folder,
+    store_hits,
     write_csv,
     write_events,
     write_snapshot,
@@ -57,6 +59,18 @@ def web_journeys_many_platforms(spark: SparkSession, d: str) -> DataFrame:
     return plans.web_journeys(events, RULES, WEB_ALL)
 
 
+def web_journeys_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    """Each different address labelled once."""
+    return plans.journey_counts(plans.web_hits(fx.web_events(spark, d), RULES, WEB_ALL, dictionary=True), WEB_ALL)
+
+
+def web_journeys_stored_hits(spark: SparkSession, d: str) -> DataFrame:
+    """From hits that are laid out by key and time chunk."""
+    name = f"hits_{uuid.uuid4().hex}"
+    store_hits(web_hits(spark, d), name, buckets=8, chunk_seconds=WEB_ALL.sessions.chunk_seconds)
+    return plans.journey_counts(spark.table(name), WEB_ALL)
+
+
 def web_hits(spark: SparkSession, d: str) -> DataFrame:
     return plans.web_hits(fx.web_events(spark, d), RULES, WEB_ALL)
 
@@ -486,6 +500,11 @@ def build() -> dict[str, Query]:
         "events_by_day": events_by_day,
         "web_journeys_any_platform": web_journeys(WEB_ALL),
         "web_journeys_many_platforms": web_journeys_many_platforms,
+        "web_journeys_dictionary": web_journeys_dictionary,
+        "web_journeys_stored_hits": web_journeys_stored_hits,
+        "qc_group_counts_dictionary": lambda spark, d: qc.qc_group_counts(
+            plans.qc_hits(fx.web_events(spark, d), QC_RULES, days=None, dictionary=True)
+        ),
         "web_journeys_first_visit_all": web_journeys(replace(WEB_ALL, first_visit_scope="all")),
         "web_journeys_strict_params": web_journeys(replace(WEB_ALL, strict_params=True)),
         "snapshot_roundtrip": snapshot_roundtrip,
