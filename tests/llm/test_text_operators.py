@@ -108,6 +108,16 @@ def test_toxic_documents_are_found(spark):
     assert by_id[903].predicted == 1 and by_id[903].spans[0][:2] == (0, 5) and by_id[None].predicted == 1
 
 
+def test_toxicity_of_empty_tables_and_without_labels(spark):
+    docs = t.frame(spark, t.documents(n=12))
+    known = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    assert toxicity.score_documents(docs.limit(0), known).collect() == []
+    for none in (known.limit(0), known.selectExpr("doc_id", "cast(null as int) as toxic")):
+        found = toxicity.score_documents(docs, none).collect()
+        assert len(found) == docs.count()
+        assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found)
+
+
 def test_marginals_equal_sums_over_all_sequences():
     import itertools
 
