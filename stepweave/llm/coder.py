@@ -1,15 +1,16 @@
 """Adaptive context-mixing range coder for token ids, many blocks in step.
 
-An id is coded as hexadecimal digits, first digit first. The probabilities of a digit mix
+Each id is one interval of a mixed distribution over three predictions and a rest:
 
-* order 0: adaptive counts of the digits that followed the same leading digits in this block,
-* order 1: the id that last followed the previous id,
-* order 2: the id that last followed the previous two ids.
+* order 2: the id that mostly followed the previous two ids in this block,
+* order 1: the id that mostly followed the previous id,
+* order 0: all ids before the last refresh, by their counts; refreshed whenever the block has grown by a quarter,
+* the rest: ids that none of them knows, which are then coded by the plain 16 bits.
 
-The two predicted ids add mass to their own next digit while they agree with the digits coded so far. The
-mass follows an adaptive estimate of how often such a prediction has come true, kept by order,
-digit and the times in a row that the prediction held. A carry-less range coder with 48-bit registers and
-16-bit output words does the rest. All arithmetic is on integers, so every machine decodes alike.
+A prediction carries a count, which rises when it holds and falls when it fails; at zero the id is replaced.
+The weights of the mix adapt to what came true under the same two counts. A range coder with a
+48-bit width and 16-bit output words does the rest; carries are settled at the end of a block. All
+arithmetic is on integers (quotients of floats are exact at these sizes), so every machine decodes alike.
 
 Blocks know nothing of each other: each begins with empty statistics. That lets a NumPy call work
 on one step of hundreds of blocks, which is what makes a sequential coder affordable in Python.
@@ -19,123 +20,75 @@ from __future__ import annotations
 
 import numpy as np
 
-LANES = 768  # blocks coded in step: bounds memory at about 0.2 MB each
-DIGITS = 4
-SLOTS = 4096  # of predictions, a block and order
-STEP = 24  # added to a count that occurred
-LIMIT = 4096  # a row of counts is halved beyond
-CONFIDENCE = 5  # 0: no prediction, or one that failed
-
-_MASK = (1 << 48) - 1
-_TOP = 1 << 32
-_BOTTOM = 1 << 26
-_LEVEL = (0, 1, 17, 273)  # where the nodes of a digit begin
-_NODES = 4369
-_UPTO = np.arange(16)[None, :] >= np.arange(16)[:, None]  # row d: the sums that digit d is part of
-_STEPS = (_UPTO * STEP).astype(np.uint16)
-_ONES = np.arange(1, 17, dtype=np.uint16)
-_REACH = _UPTO.astype(np.int32)
-#: Odds p / (1 - p) times 256, by the upper ten bits of p.
-_ODDS = np.array([(p * 256) // (1024 - p) for p in range(1024)], np.int32)
+LANES = 1024  # blocks coded in step: bounds memory at about 0.1 MB each for blocks of 4,096 ids
+SLOTS = 2048  # of predictions, a block and order
+COUNT = 7  # of a prediction, at most
+RATE = 4  # weights move by a 16th
+LONGEST = 4096  # ids a block, at most: order 0 has at least that many of the 65,536 shares
+LARGEST = 1 << 16  # ids lie below
+
+_LEVELS = COUNT + 1
+_CONTEXTS = _LEVELS * _LEVELS * 2
+_FULL = 1 << 48
+_TIGHT = 1 << 32
+_LOW = _TIGHT - 1
+_LAST = (1 << 16) - LONGEST
+#: Where the shares of order 2, order 1 and the rest end; order 0 has what remains. A column for each outcome.
+_TARGETS = np.array([[_LAST - 128, 64, 64, 64], [_LAST - 64, _LAST - 64, 128, 128], [_LAST, _LAST, _LAST, 192]], np.int32)
+_ORDER2, _ORDER1, _REST, _ORDER0 = range(4)
+
+
+def _refreshes(steps: int) -> list[int]:
+    """Positions at which order 0 counts anew."""
+    found, at = [], 16
+    while at < steps:
+        found.append(at)
+        at += max(at >> 2, 16)
+    return found
 
 
 class Model:
-    """Statistics of some blocks ("lanes"), which take one digit each per step.
-
-    Counts are kept as running sums of a row, so an interval is two look-ups.
-    """
+    """Predictions and weights of some blocks ("lanes"), which take one id each per step."""
 
     def __init__(self, lanes: int) -> None:
-        self.sums = np.empty((lanes * _NODES, 16), np.uint16)
-        self.sums[:] = _ONES
-        self.guesses = np.zeros(2 * lanes * SLOTS, np.int32)  # id * 8 + confidence
-        self.odds = np.full((DIGITS, 2 * lanes * CONFIDENCE), 1 << 15, np.int32)
-        self.odds[:, ::CONFIDENCE] = 0
+        lane = np.arange(lanes)
+        self.guesses = np.zeros(2 * lanes * SLOTS, np.int32)  # id * 8 + count
+        self.slot0 = np.stack([lane, lane + lanes]) * SLOTS
+        self.ends = [np.full(lanes * _CONTEXTS, end, np.int32) for end in (12_000, 24_000, 44_000)]
+        self.row0 = lane * _CONTEXTS
         self.last = np.zeros(lanes, np.int64)
         self.before = np.zeros(lanes, np.int64)
-        lane = np.arange(lanes)
-        self.node0, self.cell0 = lane * _NODES, np.stack([lane, lane + lanes]) * CONFIDENCE
-        self.slot0, self.lane16 = np.stack([lane, lane + lanes]) * SLOTS, lane * 16
 
     def begin(self, m: int) -> None:
-        """Look up the predictions of the first m lanes for their next id."""
+        """Look up what the first m lanes expect next: guesses of order 2 and 1, and where the shares end."""
         last, before = self.last[:m], self.before[:m]
-        self.slot = self.slot0[:, :m].copy()
-        self.slot[0] += (last * 40503 >> 3) & (SLOTS - 1)
-        self.slot[1] += ((last * 0x9E3779B1 + before * 0x85EBCA6B) >> 11) & (SLOTS - 1)
-        found = self.guesses.take(self.slot)
-        self.guess, self.sure = found >> 3, found & 7
-        self.prefix = np.zeros(m, np.int64)
-        self.m = m
-
-    def digit(self, d: int) -> None:
-        """Prepare the distribution of digit d: row of sums, and the mass of each prediction."""
-        m, self.d = self.m, d
-        self.row = self.node0[:m] + (self.prefix + _LEVEL[d])
-        self.here = self.sums.take(self.row, axis=0)
-        self.total = self.here[:, 15].astype(np.int32)
-        self.at = (self.guess >> (4 * (DIGITS - 1 - d))) & 15
-        self.cell = self.cell0[:, :m] + self.sure
-        self.p = self.odds[d].take(self.cell)
-        self.mass = (self.total * _ODDS.take(self.p >> 6)) >> 8
-        self.all = self.total + self.mass[0] + self.mass[1]
-
-    def interval(self, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Low end and width of a digit."""
-        flat, at = self.here.reshape(-1), self.lane16[: self.m] + digit
-        low = flat.take(at - 1, mode="wrap").astype(np.int32) * (digit > 0)
-        width = flat.take(at).astype(np.int32) - low
-        for guess, mass in zip(self.at, self.mass, strict=True):
-            low += mass * (guess < digit)
-            width += mass * (guess == digit)
-        return low, width
-
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """The digit whose interval holds the value."""
-        sums = self.here.astype(np.int32)
-        for guess, mass in zip(self.at, self.mass, strict=True):
-            sums += _REACH.take(guess, axis=0) * mass[:, None]
-        return (sums > value[:, None]).argmax(axis=1)
-
-    def learn(self, digit: np.ndarray) -> None:
-        """Update with the digits that occurred."""
-        here = self.here
-        here += _STEPS.take(digit, axis=0)
-        over = np.flatnonzero(self.total > LIMIT)
-        if len(over):
-            here[over] = (here[over] >> 1) + _ONES
-        self.sums[self.row] = here
-        hit = self.at == digit
-        self.odds[self.d][self.cell] = self.p + ((((hit * np.int32(65_000)) - self.p) >> 4) * (self.sure > 0))
-        self.sure *= hit
-        self.prefix = self.prefix * 16 + digit
-
-    def end(self) -> np.ndarray:
-        """Close the id: remember it as a prediction; returns it."""
-        m, found = self.m, self.prefix
-        self.guesses[self.slot] = (found << 3) + np.minimum(self.sure + 1, CONFIDENCE - 1)
+        slot = np.empty((2, m), np.int64)
+        slot[0] = ((last * 0x9E3779B1 + before * 0x85EBCA6B) >> 11) & (SLOTS - 1)
+        slot[1] = (last * 40503 >> 4) & (SLOTS - 1)
+        slot += self.slot0[:, :m]
+        found = self.guesses.take(slot)
+        self.m, self.slot, self.guess, self.count = m, slot, found >> 3, found & COUNT
+        context = (self.count[0] * _LEVELS + self.count[1]) * 2 + (self.guess[0] == self.guess[1])
+        self.row = self.row0[:m] + context
+        self.share = [end.take(self.row) for end in self.ends]
+
+    def learn(self, ids: np.ndarray, outcome: np.ndarray) -> None:
+        """Update with the ids that came, and by which prediction."""
+        m, count = self.m, self.count
+        for end, old, target in zip(self.ends, self.share, _TARGETS, strict=True):
+            end[self.row] = old + ((target.take(outcome) - old) >> RATE)
+        hit = self.guess == ids
+        count = np.where(hit, np.minimum(count + 1, COUNT), count - 1)
+        fresh = count <= 0
+        self.guesses[self.slot] = np.where(fresh, (ids << 3) + 1, (self.guess << 3) + count)
         self.before[:m] = self.last[:m]
-        self.last[:m] = found
-        return found
-
-
-def _unit(width: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """Width of one count. Division of floats is fast; one more count keeps its rounding within the width."""
-    return (width / (total + 1)).astype(np.int64)
-
-
-def _renew(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lanes that can shift out a word; where the width has become too small it is cut first."""
-    settled = (low ^ (low + width)) < _TOP
-    tight = ~settled & (width < _BOTTOM)
-    if tight.any():
-        width = np.where(tight, -low & (_BOTTOM - 1), width)
-        settled |= tight
-    return np.flatnonzero(settled), low, width
+        self.last[:m] = ids
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """Code each block of ids below 65536 on its own."""
+    """Code each block, of up to ``LONGEST`` ids below ``LARGEST``, on its own."""
+    if any(len(b) > LONGEST for b in blocks):
+        raise ValueError(f"a block holds at most {LONGEST} ids")
     out: list[bytes] = [b""] * len(blocks)
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     for first in range(0, len(order), LANES):
@@ -161,80 +114,151 @@ def _running(sizes: np.ndarray) -> np.ndarray:
     return np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), "left")
 
 
+def _counted(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each id of a block, its count at the last refresh and that of all smaller ids."""
+    below, own = np.zeros(len(block), np.int32), np.zeros(len(block), np.int32)
+    order = np.argsort(block.astype(np.uint16), kind="stable")
+    rank = np.zeros(len(block), np.int64)
+    rank[order[1:]] = np.cumsum(block[order[1:]] != block[order[:-1]])
+    kinds = int(rank.max(initial=-1)) + 1
+    bounds = [*_refreshes(len(block)), len(block)]
+    counts = np.zeros(kinds, np.int64)
+    seen = 0
+    for at, end in zip(bounds, bounds[1:]):
+        counts += np.bincount(rank[seen:at], minlength=kinds)
+        now = rank[at:end]
+        own[at:end] = counts[now]
+        below[at:end] = (np.cumsum(counts) - counts)[now]
+        seen = at
+    return below, own
+
+
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     sizes = np.array([len(b) for b in blocks], np.int64)
     n = len(blocks)
     steps = int(sizes[0]) if n else 0
-    ids = np.zeros((steps, n), np.int32)
+    ids, below, own = (np.zeros((steps, n), np.int32) for _ in range(3))
     for i, block in enumerate(blocks):
         ids[: len(block), i] = block
+        below[: len(block), i], own[: len(block), i] = _counted(block)
     model = Model(n)
-    low, width = np.zeros(n, np.int64), np.full(n, _MASK, np.int64)
-    words = np.zeros((n, steps + 64), np.uint16)
-    used = np.zeros(n, np.int64)
+    low, width = np.zeros(n, np.int64), np.full(n, _FULL, np.int64)
+    words = np.zeros((n, 2 * steps + 4), np.uint32)  # with carries
+    flat, used = words.reshape(-1), np.arange(n) * words.shape[1]
+    refreshes, total = set(_refreshes(steps)), 1
+
+    def narrow(lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
+        unit = width[lanes] >> 16
+        low[lanes] += unit * start
+        width[lanes] = unit * size
+        tight = np.flatnonzero(width < _TIGHT)
+        if len(tight):
+            some = low[tight]
+            at = used[tight]
+            flat[at] = some >> 32
+            used[tight] = at + 1
+            low[tight] = (some & _LOW) << 16
+            width[tight] <<= 16
+
     for step, m in enumerate(_running(sizes)):
+        if step in refreshes:
+            total = step
         model.begin(m)
-        if used.max() + 4 * DIGITS > words.shape[1]:
-            words = np.concatenate((words, np.zeros_like(words)), axis=1)
-        now = ids[step, :m].astype(np.int64)
-        for d in range(DIGITS):
-            model.digit(d)
-            digit = (now >> (4 * (DIGITS - 1 - d))) & 15
-            start, share = model.interval(digit)
-            unit = _unit(width[:m], model.all)
-            l, w = low[:m] + unit * start, unit * share
-            while True:
-                lanes, l, w = _renew(l, w)
-                if not len(lanes):
-                    break
-                words[lanes, used[lanes]] = (l[lanes] >> 32) & 0xFFFF
-                used[lanes] += 1
-                l[lanes] = (l[lanes] << 16) & _MASK
-                w[lanes] = w[lanes] << 16
-            low[:m], width[:m] = l, w
-            model.learn(digit)
-        model.end()
-    for k in range(3):
-        words[np.arange(n), used] = (low >> 32) & 0xFFFF
+        now, a, c = ids[step, :m], below[step, :m], own[step, :m]
+        end2, end1, rest = model.share
+        by2, by1 = model.guess == now
+        outcome = np.where(by2, _ORDER2, np.where(by1, _ORDER1, np.where(c > 0, _ORDER0, _REST)))
+        left = (1 << 16) - rest
+        low0 = rest + a * left // total
+        high0 = rest + (a + c) * left // total
+        start = np.where(by2, 0, np.where(by1, end2, np.where(c > 0, low0, end1)))
+        end = np.where(by2, end2, np.where(by1, end1, np.where(c > 0, high0, rest)))
+        narrow(slice(0, m), start, end - start)
+        plain = np.flatnonzero(outcome == _REST)
+        if len(plain):
+            narrow(plain, now[plain], np.int64(1))
+        model.learn(now, outcome)
+    for _ in range(3):
+        flat[used] = low >> 32
         used += 1
-        low = (low << 16) & _MASK
+        low = (low & _LOW) << 16
+    while True:  # a carry seldom goes further than a word or two
+        carry = words >> 16
+        if not carry.any():
+            break
+        words &= 0xFFFF
+        words[:, :-1] += carry[:, 1:]
+    used -= np.arange(n) * words.shape[1]
     return [words[i, : used[i]].astype("<u2").tobytes() for i in range(n)]
 
 
+def _table(seen: np.ndarray) -> np.ndarray:
+    """Order 0 of each lane from its ids so far: sorted, and packed with where the equal ones begin and end."""
+    rows = np.sort(seen.astype(np.uint16), axis=1, kind="stable")
+    m, t = rows.shape
+    new = np.ones((m, t + 1), bool)
+    new[:, 1:-1] = rows[:, 1:] != rows[:, :-1]
+    begins = np.flatnonzero(new[:, :-1])
+    sizes = np.diff(np.append(begins, m * t))
+    kinds = rows.reshape(-1)[begins].astype(np.int64)
+    starts = begins % t
+    return np.repeat((kinds << 32) + (starts << 16) + starts + sizes, sizes)
+
+
 def _decode(data: list[bytes], counts: list[int]) -> list[np.ndarray]:
     sizes = np.array(counts, np.int64)
     n = len(data)
     steps = int(sizes[0]) if n else 0
-    words = np.zeros((n, max(map(len, data), default=0) // 2 + 4), np.int64)
+    words = np.zeros((n, max(map(len, data), default=0) // 2 + 4), np.uint16)
     for i, raw in enumerate(data):
         words[i, : len(raw) // 2] = np.frombuffer(raw, "<u2")
-    code = np.zeros(n, np.int64)
+    ahead = np.zeros(n, np.int64)  # of the low end
     for k in range(3):
-        code = (code << 16) | words[:, k]
-    used = np.full(n, 3, np.int64)
+        ahead = (ahead << 16) | words[:, k]
+    flat, used = words.reshape(-1), np.arange(n) * words.shape[1] + 3
     model = Model(n)
-    low, width = np.zeros(n, np.int64), np.full(n, _MASK, np.int64)
-    out = np.zeros((steps, n), np.uint32)
+    width = np.full(n, _FULL, np.int64)
+    out = np.zeros((steps, n), np.int32)
+    refreshes, total = set(_refreshes(steps)), 1
+    table = np.ones(n, np.int64)
+
+    def narrow(lanes: np.ndarray | slice, unit: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        ahead[lanes] -= unit * start
+        width[lanes] = unit * size
+        tight = np.flatnonzero(width < _TIGHT)
+        if len(tight):
+            at = used[tight]
+            ahead[tight] = (ahead[tight] << 16) | flat.take(at, mode="clip")
+            used[tight] = at + 1
+            width[tight] <<= 16
+
     for step, m in enumerate(_running(sizes)):
+        if step in refreshes:
+            total = step
+            table = _table(np.ascontiguousarray(out[:step, :m].T))
+            first = np.arange(m) * step
+        elif not step:
+            first = np.arange(m)
         model.begin(m)
-        for d in range(DIGITS):
-            model.digit(d)
-            unit = _unit(width[:m], model.all)
-            ahead = (code[:m] - low[:m]) & _MASK
-            value = (ahead / unit).astype(np.int64)
-            value -= value * unit > ahead  # the float quotient may be one too many
-            digit = model.find(value)
-            start, share = model.interval(digit)
-            l, w = low[:m] + unit * start, unit * share
-            while True:
-                lanes, l, w = _renew(l, w)
-                if not len(lanes):
-                    break
-                code[lanes] = ((code[lanes] << 16) & _MASK) | words[lanes, used[lanes]]
-                used[lanes] += 1
-                l[lanes] = (l[lanes] << 16) & _MASK
-                w[lanes] = w[lanes] << 16
-            low[:m], width[:m] = l, w
-            model.learn(digit)
-        out[step, :m] = model.end()
-    return [out[:c, i].copy() for i, c in enumerate(counts)]
+        end2, end1, rest = model.share
+        unit = width[:m] >> 16
+        value = (ahead[:m] / unit).astype(np.int32)
+        left = (1 << 16) - rest
+        place = ((value - rest + 1) * total - 1) // left
+        entry = table.take(first[:m] + place, mode="clip")
+        by2, by1, known = value < end2, value < end1, value >= rest
+        low0 = rest + ((entry >> 16) & 0xFFFF) * left // total
+        high0 = rest + (entry & 0xFFFF) * left // total
+        start = np.where(by2, 0, np.where(by1, end2, np.where(known, low0, end1)))
+        end = np.where(by2, end2, np.where(by1, end1, np.where(known, high0, rest)))
+        outcome = np.where(by2, _ORDER2, np.where(by1, _ORDER1, np.where(known, _ORDER0, _REST)))
+        now = np.where(by2, model.guess[0], np.where(by1, model.guess[1], entry >> 32)).astype(np.int32)
+        narrow(slice(0, m), unit, start, end - start)
+        plain = np.flatnonzero(outcome == _REST)
+        if len(plain):
+            unit = width[plain] >> 16
+            now[plain] = value = (ahead[plain] / unit).astype(np.int32)
+            narrow(plain, unit, value, np.int64(1))
+        model.learn(now, outcome)
+        out[step, :m] = now
+    return [out[:c, i].astype(np.uint32) for i, c in enumerate(counts)]

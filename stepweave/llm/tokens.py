@@ -2,13 +2,14 @@
 
 Documents are put in order of their ids by a range shuffle. Each task encodes its range, cuts the stream
 of ids into blocks of a fixed number of ids and writes one row per block: a header in columns, the
-coded ids and their crc32. A block begins with empty statistics and holds the list of its documents, so any
+coded ids, a crc32 of header and coded ids, and one of the ids. A block begins with empty statistics and holds the list of its documents, so any
 block can be read alone; a long document spans blocks. The rows stand in Parquet files, so that any store
 that Spark writes to will do.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -23,10 +24,10 @@ from pyspark.sql import Window as W
 from stepweave.llm import coder
 from stepweave.llm.shared import folder
 
-FORMAT = "ids-cm-1"
+FORMAT = "ids-cm-2"
 BLOCK = (
     "format string, part int, block int, first long, n_ids int, docs array<long>, lengths array<int>, "
-    "continues boolean, crc long, data binary"
+    "continues boolean, crc long, data binary, head_crc long"
 )
 WORDS_KEPT = 150_000  # words, and their ids, that a Python worker remembers from task to task
 _models: dict[str, tuple] = {}
@@ -35,7 +36,7 @@ GAPS = str.maketrans("\t\n\r\x0b\x0c", "     ")
 
 @dataclass(frozen=True)
 class Output:
-    """``block`` ids a block; ``end_id`` follows each document; ids are below 65536."""
+    """``block`` ids a block, 4,096 at most; ``end_id`` follows each document; ids are below 65536."""
 
     tokenizer: str
     end_id: int = 2
@@ -74,6 +75,8 @@ def write(docs: DataFrame, path: str, config: Output, id_col: str = "doc_id", te
     Null and empty texts are an end id alone. Repeated rows are written each. Null ids come first. Other columns are
     ignored. An empty table gives a folder without blocks.
     """
+    if not 0 < config.block <= coder.LONGEST:
+        raise ValueError(f"a block holds 1 to {coder.LONGEST} ids")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
     rows = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie", "text")
@@ -81,6 +84,13 @@ def write(docs: DataFrame, path: str, config: Output, id_col: str = "doc_id", te
     blocks.write.parquet(path)
 
 
+def _head_crc(part: int, block: int, first: int, n_ids: int, docs: list, lengths: list, continues: bool, crc: int, data: bytes) -> int:
+    """Of all that a block holds, so that an altered id or length of a document is noticed as well."""
+    head = struct.pack("<iiqi?q", part, block, first, n_ids, continues, crc)
+    known = np.array([0 if d is None else d for d in docs], "<i8").tobytes() + bytes(d is None for d in docs)
+    return zlib.crc32(data, zlib.crc32(head + known + np.array(lengths, "<i4").tobytes()))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], config: Output) -> Iterator[pa.RecordBatch]:
     encode = _tokenizer(config.tokenizer)
     part, block, first = TaskContext.get().partitionId(), 0, 0
@@ -92,7 +102,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], config: Output) -> Iterator[pa.Re
     def cut(last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal waiting, held, block, first
         stream = np.concatenate([w[1] for w in waiting]) if waiting else np.zeros(0, np.uint32)
-        if len(stream) and int(stream.max()) >= 1 << (4 * coder.DIGITS):
+        if len(stream) and int(stream.max()) >= coder.LARGEST:
             raise ValueError("an id does not fit into 16 bits")
         whole = len(stream) if last else len(stream) // config.block * config.block
         bounds = np.concatenate(([0], np.cumsum([len(w[1]) for w in waiting]))).astype(np.int64)
@@ -104,16 +114,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], config: Output) -> Iterator[pa.Re
             low, high = int(np.searchsorted(bounds, a, "right")) - 1, int(np.searchsorted(bounds, b, "left"))
             lengths = np.minimum(bounds[low + 1 : high + 1], b) - np.maximum(bounds[low:high], a)
             continues = bool(bounds[low] < a or waiting[low][2])
-            rows.append(
-                (FORMAT, part, block, first, len(ids), [w[0] for w in waiting[low:high]], lengths.tolist(), continues)
-                + (zlib.crc32(ids.astype("<u4").tobytes()), data)
-            )
+            head = (part, block, first, len(ids), [w[0] for w in waiting[low:high]], lengths.tolist(), continues)
+            body = (zlib.crc32(ids.astype("<u4").tobytes()), data)
+            rows.append((FORMAT, *head, *body, _head_crc(*head, *body)))
             block += 1
             first += len(ids)
         if rows:
             names = [f.split()[0] for f in BLOCK.split(", ")]
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-            kinds += [pa.list_(pa.int32()), pa.bool_(), pa.int64(), pa.binary()]
+            kinds += [pa.list_(pa.int32()), pa.bool_(), pa.int64(), pa.binary(), pa.int64()]
             for at in range(0, len(rows), 1000):
                 columns = zip(*rows[at : at + 1000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -154,6 +163,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], all_ids: bool) -> Iterator[pa.Rec
             some = batch.slice(at, coder.LANES).to_pydict()
             if any(f != FORMAT for f in some["format"]):
                 raise ValueError("not a block of this format")
+            fields = ("part", "block", "first", "n_ids", "docs", "lengths", "continues", "crc", "data")
+            for *block, head_crc in zip(*(some[f] for f in fields), some["head_crc"], strict=True):
+                if _head_crc(*block) != head_crc:
+                    raise ValueError(f"block {block[1]} of part {block[0]} is damaged")
             rows = []
             for k, ids in enumerate(coder.decode(some["data"], some["n_ids"])):
                 raw = ids.astype("<u4").tobytes()
@@ -187,10 +200,9 @@ def digest(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     joined = cut.groupBy("part", "begins").agg(
         F.first("id").alias("id"),
         F.sum("n_ids").alias("n_ids"),
-        F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("ids"),  # one document
+        F.expr("listagg(ids) within group (order by at)").alias("ids"),  # one document
     )
-    raw = F.aggregate("ids", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"]))
-    cut = joined.select("part", "id", F.col("begins").alias("at"), "n_ids", F.crc32(raw).alias("crc"))
+    cut = joined.select("part", "id", F.col("begins").alias("at"), "n_ids", F.crc32("ids").alias("crc"))
     return whole.union(cut).join(parts, "part").select(
         F.col("id").alias(id_col),
         (F.col("offset") + F.col("at")).alias("start"),

@@ -265,10 +265,37 @@ def test_null_ids_come_first_and_empty_tables_pass(spark):
     assert tokens.encode_documents(spark.createDataFrame([], t.DOCS), config).collect() == []
 
 
-def test_damaged_blocks_are_noticed(spark):
+def test_coder_settles_carries_and_odd_blocks():
+    rng = np.random.default_rng(5)
+    blocks = [rng.integers(0, k + 1, 4 * k).astype(np.uint32) for k in range(1, 120)]
+    blocks += [rng.integers(0, 65_536, 4096).astype(np.uint32), np.zeros(4096, np.uint32), np.arange(4096, dtype=np.uint32)]
+    blocks += [np.tile(rng.permutation(65_536)[:1500], 3)[:4096].astype(np.uint32)]
+    data = coder.encode(blocks)
+    assert all((a == b).all() for a, b in zip(blocks, coder.decode(data, [len(x) for x in blocks]), strict=True))
+    assert len(data[-3]) < 100 and len(data[-4]) < 2.05 * 4096  # little for what is sure, little more than 16 bits for noise
+    with pytest.raises(ValueError, match="at most"):
+        coder.encode([np.zeros(4097, np.uint32)])
+
+
+DAMAGE = {
+    "crc": "crc + 1",
+    "docs": "transform(docs, d -> d + 100)",
+    "lengths": "reverse(lengths)",
+    "first": "first + 1",
+    "n_ids": "n_ids - 1",
+    "continues": "not continues",
+    "data": "unhex(concat('00', substring(hex(data), 3)))",
+    "head_crc": "head_crc + 1",
+}
+
+
+@pytest.mark.parametrize("column", DAMAGE)
+def test_damaged_blocks_are_noticed(spark, column):
     path, bad = folder(spark, "ids"), folder(spark, "ids")
-    tokens.write(spark.createDataFrame([(1, "some words")], "doc_id long, text string"), path, tokens.Output(tokenizer_path()))
-    spark.read.parquet(path).withColumn("crc", F.col("crc") + 1).write.parquet(bad)
+    rows = spark.createDataFrame([(1, "some words"), (2, "a few more words")], "doc_id long, text string")
+    tokens.write(rows.coalesce(1), path, tokens.Output(tokenizer_path()))
+    assert tokens.digest(spark, path).count() == 2
+    spark.read.parquet(path).withColumn(column, F.expr(DAMAGE[column])).write.parquet(bad)
     with pytest.raises(Exception, match="damaged"):
         tokens.digest(spark, bad).collect()
 
