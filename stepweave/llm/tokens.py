@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from stepweave.llm import coder
-from stepweave.llm.shared import folder
+from stepweave.llm.shared import folder, stored
 
 FORMAT = "ids-cm-2"
 BLOCK = (
@@ -192,7 +192,8 @@ def digest(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("size"))  # a row per file part
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    pieces = blocks.mapInArrow(lambda batches: _pieces(batches, False), PIECE)
+    # Stored, since both branches below read it: blocks are decoded once.
+    pieces = stored(blocks.mapInArrow(lambda batches: _pieces(batches, False), PIECE), "pieces")
     # A document is named by the place of its first id; pieces that continue one are given that place.
     whole = pieces.where("not partial").select("part", "id", "at", "n_ids", "crc")
     heads = blocks.select("part", "block", "first", "n_ids", "docs", "lengths", "continues")
