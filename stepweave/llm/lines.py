@@ -32,6 +32,7 @@ class Spread:
 
 
 KEY = ["h1", "h2"]
+AROUND = " \t\r"  # not part of a line that is compared
 
 
 def _lines(text: Column) -> Column:
@@ -60,7 +61,7 @@ def remove_lines(
 ) -> DataFrame:
     """One row per document: id, n_lines, n_removed, text without the lines that enough sites share.
 
-    Lines end with a newline and are compared without spaces around them; lines of nothing else
+    Lines end with a newline and are compared without spaces, tabs and carriage returns around them; lines of nothing else
     are never removed. Null texts stay null and have no lines; an empty text has one. Rows of a null
     id count for the spread but are kept whole. An id stands for one text; repeated rows give a row each. Other columns are
     ignored.
@@ -68,7 +69,7 @@ def remove_lines(
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(site_col).cast("string").alias("site")
     )
-    line = F.trim("line")
+    line = F.trim("line", F.lit(AROUND))
     lines = rows.select("id", "site", F.posexplode(_lines(F.col("text"))).alias("at", "line")).where(line != "")
     # Two hashes of 64 bits: one would meet another by chance among many billions of lines.
     lines = lines.select("id", "site", "at", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"))

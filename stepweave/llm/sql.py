@@ -90,8 +90,8 @@ with lines as (
   select doc_id, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as place
   from documents
 ),
-gone as (select trim(line) as line from lines where trim(line) <> '' group by 1 having count(distinct source) >= 10),
-flagged as (select l.doc_id, l.line, l.place, g.line is not null as gone from lines l left join gone g on trim(l.line) = g.line)
+gone as (select trim(line, ' \t\r') as line from lines where trim(line, ' \t\r') <> '' group by 1 having count(distinct source) >= 10),
+flagged as (select l.doc_id, l.line, l.place, g.line is not null as gone from lines l left join gone g on trim(l.line, ' \t\r') = g.line)
 select d.doc_id,
   coalesce(len(string_split(d.text, chr(10))), 0)::integer as n_lines,
   coalesce(f.n_removed, 0)::integer as n_removed,

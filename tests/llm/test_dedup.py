@@ -163,17 +163,20 @@ def test_equal_windows_equal_a_dictionary():
 
 def test_lines_equal_counts_of_sites(spark):
     rows = t.documents()
+    ends = ("\r\n", "\n", " \t\r\n")
+    rows += [(200 + i, f"windows and others{ends[i]}text {i}", "en", f"src{i}", 1) for i in range(3)]
     sites: dict[str, set] = {}
     for _, text, _, source, _ in rows:
         for line in (text or "").split("\n"):
             if source is not None:
-                sites.setdefault(line.strip(" "), set()).add(source)
+                sites.setdefault(line.strip(" \t\r"), set()).add(source)
     expected = []
     for i, text, *_ in rows:
         all_lines = [] if text is None else text.split("\n")
-        gone = [bool(x.strip(" ")) and i is not None and len(sites.get(x.strip(" "), ())) >= 3 for x in all_lines]
+        gone = [bool(x.strip(" \t\r")) and i is not None and len(sites.get(x.strip(" \t\r"), ())) >= 3 for x in all_lines]
         kept = None if text is None else "\n".join(x for x, g in zip(all_lines, gone, strict=True) if not g)
         expected.append((i, len(all_lines), sum(gone), kept))
     found = lines.remove_lines(t.frame(spark, rows), lines.Spread(sites=3))
     assert sorted((tuple(r) for r in found.collect()), key=str) == sorted(expected, key=str)
     assert any(r[2] for r in expected)
+    assert all(r[2] == 1 for r in expected if r[0] is not None and 200 <= r[0] < 203)
