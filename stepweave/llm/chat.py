@@ -46,7 +46,8 @@ def rotate(
     Parts are numbered from 0; joined in order they are the whole rendering. ``mask`` holds the spans (start, end)
     in characters of the part's text that the assistant speaks, closing markers included. Messages are ordered by turn,
     then by a hash of speaker and text; null turns come first. Rows that repeat a message in all four columns
-    count once. Null or empty speakers are "unknown", null texts are empty messages, and rows without a
+    count once. Line breaks in speakers are spaces, and ``<|`` is ``< |`` in speakers and texts, so that neither can be
+    taken for a header. Null or empty speakers are "unknown", null texts are empty messages, and rows without a
     conversation form one of their own. A conversation of system messages alone has no participants
     and gives no rows. Other columns are ignored.
     """
@@ -56,7 +57,7 @@ def rotate(
         F.col(conv_col).alias("conv"),
         F.coalesce(F.concat(F.lit("="), F.col(conv_col).cast("string")), F.lit("")).alias("key"),
         F.col(turn_col).cast("long").alias("turn"),
-        _plain(F.when(given == "", F.lit(UNKNOWN)).otherwise(given)).alias("speaker"),
+        _plain(F.translate(F.when(given == "", F.lit(UNKNOWN)).otherwise(given), "\r\n", "  ")).alias("speaker"),
         _plain(text).alias("text"),
     ).distinct()
     rows = rows.withColumn("tie", F.md5(F.concat(F.col("speaker"), F.lit(":"), F.col("text")).cast("binary")))

@@ -104,7 +104,7 @@ from documents d left join (
 
 OP7_CHAT_ROTATION = """
 with messages as (
-  select distinct conv_id, turn, replace(case when coalesce(role, '') = '' then 'unknown' else role end, '<|', '< |') as speaker,
+  select distinct conv_id, turn, replace(translate(case when coalesce(role, '') = '' then 'unknown' else role end, chr(13) || chr(10), '  '), '<|', '< |') as speaker,
     replace(coalesce(text, ''), '<|', '< |') as body
   from conversations
 ),
