@@ -5,9 +5,16 @@ zeros are ignored, so a substituted word does not hide a copy. Hashes of the ben
 documents are joined, and around every hit the two texts are laid over each other, word by word on the
 diagonal of the hit, to see how much of them is the same.
 
+The masks are chosen so that no overlap of the rule is missed. A span of 26 words or more of which 80
+percent agree falls into two of 13 or more, and one of these agrees as much; so every overlap holds one of
+13 to 25 words, and however few words differ in that, one of the masks passes them over (``missed`` counts
+the ways in which none does; for rules other than the default, look there before trusting the masks).
+
 Few of the documents' seeds are ever shuffled: a Bloom filter of the benchmark's seeds, whose size is
 a parameter and does not follow the data, goes to every task; only what passes is joined. It saves work and
-decides nothing. A document with hits takes the words around them along, so its text is read once.
+decides nothing. A document with hits takes the words around them along, so its text is read once. The
+join tells which stretch meets which item; each two are brought together once, and all diagonals on which
+they share a seed are looked at there.
 
 Items of fewer words than an overlap needs count as a whole: all their words are laid over as many of the
 document. They have masks of their own, as long as the item: it is cut into a few blocks more than words
@@ -34,7 +41,14 @@ from stepweave.llm.shared import stored
 class Seeds:
     """``masks`` of the seeds; an overlap has ``min_words`` words (all, of a shorter item) of which ``percent`` agree."""
 
-    masks: tuple[str, ...] = ("1101011011", "1110010111", "1011101101")
+    masks: tuple[str, ...] = (
+        "11011111",
+        "11010100111",
+        "1110010010011",
+        "11100011011",
+        "111010010101",
+        "10001110111",
+    )
     min_words: int = 13
     percent: int = 80
     filter_bits: int = 25
@@ -52,6 +66,20 @@ class Seeds:
 BITMAP_BITS = 32_768  # of one bitmap of Spark's bitmap functions
 
 
+def missed(config: Seeds, n_words: int) -> int:
+    """Ways to place as many different words as the rule allows in ``n_words`` so that every mask meets one.
+
+    Overlaps of the rule are all found if this is 0 from ``min_words`` to twice as many less one: longer ones
+    hold one of those. Ways with fewer different words are found where these are."""
+    differ = n_words * (100 - config.percent) // 100
+    places = np.array(list(itertools.combinations(range(n_words), differ)), np.int64)
+    ways = (np.int64(1) << places).sum(axis=1, dtype=np.int64)
+    for mask in config.masks:
+        for shift in range(n_words - len(mask) + 1):
+            ways = ways[(ways & (int(mask[::-1], 2) << shift)) != 0]
+    return len(ways)
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -73,16 +101,19 @@ def contaminated(
         F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")
     ).where("item is not null and text is not null")
     seeds = items.mapInArrow(
-        lambda batches: _item_seeds(batches, config), "item long, seed long, at int, words array<long>"
+        lambda batches: _item_seeds(batches, config),
+        "item long, item_words array<long>, item_seeds array<long>, item_places array<int>",
     )
-    seeds = stored(seeds, "seeds")
+    # Rows of one id may hold several texts.
+    seeds = stored(seeds.withColumn("item_body", F.xxhash64("item_words")), "seeds")
     short = items.mapInArrow(
         lambda batches: _short_items(batches, config), "item long, seed long, item_words array<long>"
     )
     short = stored(short, "short")
     lengths = sorted(r[0] for r in short.select(F.size("item_words")).distinct().collect())  # fewer than config.whole
     size = 1 << config.filter_bits
-    bits = seeds.select("seed").union(short.select("seed")).select(F.explode(F.array(*[F.pmod(F.shiftrightunsigned("seed", k), F.lit(size)) for k in (0, 32)])).alias("bit"))
+    every = seeds.select(F.explode("item_seeds").alias("seed")).union(short.select("seed"))
+    bits = every.select(F.explode(F.array(*[F.pmod(F.shiftrightunsigned("seed", k), F.lit(size)) for k in (0, 32)])).alias("bit"))
     # At most size / 32768 rows of 4 KB.
     maps = bits.groupBy(F.floor(F.col("bit") / BITMAP_BITS).alias("k")).agg(
         F.bitmap_construct_agg(F.pmod(F.col("bit"), F.lit(BITMAP_BITS))).alias("map")
@@ -91,7 +122,7 @@ def contaminated(
     for row in maps.toLocalIterator():
         part = np.frombuffer(row["map"], np.uint8)
         bloom[row["k"] * (BITMAP_BITS // 8) :][: len(part)] = part
-    longest = seeds.agg(F.max(F.size("words"))).head()[0] or 0
+    longest = seeds.agg(F.max(F.size("item_words"))).head()[0] or 0
     shared = spark.sparkContext.broadcast((bloom, longest))
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -99,15 +130,16 @@ def contaminated(
         lambda batches: _segments(batches, config, *shared.value),
         "id long, at int, words array<long>, starts array<int>, ends array<int>, seeds array<long>, places array<int>",
     )
-    segments = stored(segments, "segments")
-    hits = segments.select("id", "at", F.explode(F.arrays_zip("seeds", "places")).alias("h"))
-    hits = hits.select("id", "at", F.col("h.seeds").alias("seed"), F.col("h.places").alias("place"))
-    heads = seeds.select("item", "seed", F.col("at").alias("item_at"))
-    lines = hits.join(heads, "seed").select("id", "at", "item", (F.col("place") - F.col("item_at")).alias("diagonal"))
-    lines = stored(lines.distinct(), "lines")
-    whole = seeds.where("size(words) > 0").select("item", F.col("words").alias("item_words")).dropDuplicates(["item"])
-    laid = lines.join(segments.select("id", "at", "words", "starts", "ends").dropDuplicates(["id", "at"]), ["id", "at"])
-    laid = laid.join(whole, "item").select("id", "item", "at", "diagonal", "words", "starts", "ends", "item_words")
+    segments = stored(segments.withColumn("body", F.xxhash64("words", "starts")), "segments")
+    hits = segments.select("id", "at", "body", F.explode(F.array_distinct("seeds")).alias("seed"))
+    heads = seeds.select("item", "item_body", F.explode(F.array_distinct("item_seeds")).alias("seed"))
+    pairs = hits.join(heads, "seed").select("id", "at", "body", "item", "item_body").distinct()
+    pairs = stored(pairs, "pairs")
+    laid = pairs.join(segments.dropDuplicates(["id", "at", "body"]), ["id", "at", "body"])
+    laid = laid.join(seeds.dropDuplicates(["item", "item_body"]), ["item", "item_body"])
+    laid = laid.select(
+        "id", "item", "at", "words", "starts", "ends", "seeds", "places", "item_words", "item_seeds", "item_places"
+    )
     found = laid.mapInArrow(
         lambda batches: _overlaps(batches, config),
         "id long, item long, n_words int, n_equal int, item_words int, start_word int, start_byte int, end_byte int",
@@ -156,32 +188,34 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat).cast(kind))
 
 
+def _all_seeds(found: tx.Words, config: Seeds) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds of all masks in order of their words, and those words' indices."""
+    parts = [_seed_hashes(found, mask, k) for k, mask in enumerate(config.masks)]
+    seed, place = (np.concatenate([p[side] for p in parts]) for side in (0, 1))
+    order = np.argsort(place, kind="stable")
+    return seed[order], place[order]
+
+
 def _item_seeds(batches: Iterator[pa.RecordBatch], config: Seeds) -> Iterator[pa.RecordBatch]:
-    """Seeds of the items; an item's words stand in its first row."""
+    """A row per item that is not compared as a whole: its words, its seeds and where they begin."""
     for batch in batches:
         for texts in tx.slices(batch.column("text")):
             found = tx.words(texts, tx.ALNUM)
-            parts = [_seed_hashes(found, mask, k) for k, mask in enumerate(config.masks)]
-            seed = np.concatenate([p[0] for p in parts])
-            place = np.concatenate([p[1] for p in parts])
+            seed, place = _all_seeds(found, config)
             doc = found.doc[place]
-            order = np.argsort(doc, kind="stable")
-            seed, place, doc = seed[order], place[order], doc[order]
-            enough = np.diff(found.bounds)[doc] >= config.whole
-            seed, place, doc = seed[enough], place[enough], doc[enough]
-            first = np.ones(len(doc), bool)
-            first[1:] = doc[1:] != doc[:-1]
+            long = np.flatnonzero(np.diff(found.bounds) >= config.whole)
+            spans = list(zip(np.searchsorted(doc, long), np.searchsorted(doc, long, "right"), strict=True))
+            bounds = list(zip(found.bounds[long], found.bounds[long + 1], strict=True))
             hashes = found.hash.view(np.int64)
-            words = [hashes[found.bounds[d] : found.bounds[d + 1]] if f else hashes[:0] for d, f in zip(doc, first, strict=True)]
             ids = batch.column("item").slice(texts.first, len(texts)).to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids[doc]),
-                    pa.array(seed.view(np.int64)),
-                    pa.array((place - found.bounds[doc]).astype(np.int32)),
-                    _lists(words, pa.int64()),
+                    pa.array(ids[long]),
+                    _lists([hashes[a:b] for a, b in bounds], pa.int64()),
+                    _lists([seed[i:j].view(np.int64) for i, j in spans], pa.int64()),
+                    _lists([place[i:j] - a for (i, j), (a, _) in zip(spans, bounds, strict=True)], pa.int32()),
                 ],
-                ["item", "seed", "at", "words"],
+                ["item", "item_words", "item_seeds", "item_places"],
             )
 
 
@@ -264,17 +298,11 @@ def _segments(batches: Iterator[pa.RecordBatch], config: Seeds, bloom: np.ndarra
     for batch in batches:
         for texts in tx.slices(batch.column("text")):
             found = tx.words(texts, tx.ALNUM)
-            seeds, places = [], []
-            for k, mask in enumerate(config.masks):
-                seed, place = _seed_hashes(found, mask, k)
-                ok = _passes(seed, bloom, config)
-                seeds.append(seed[ok])
-                places.append(place[ok])
-            seed, place = np.concatenate(seeds), np.concatenate(places)
+            seed, place = _all_seeds(found, config)
+            ok = _passes(seed, bloom, config)
+            seed, place = seed[ok], place[ok]
             if not len(seed):
                 continue
-            order = np.argsort(place, kind="stable")
-            seed, place = seed[order], place[order]
             doc = found.doc[place]
             low = np.maximum(place - longest, found.bounds[doc])
             high = np.minimum(place + config.span + longest, found.bounds[doc + 1])
@@ -320,24 +348,55 @@ def best_overlap(equal: np.ndarray, percent: int, min_words: int = 1) -> tuple[i
     return int(start[end]), end
 
 
+def _diagonals(seeds: np.ndarray, places: np.ndarray, item_seeds: np.ndarray, item_places: np.ndarray) -> np.ndarray:
+    """Different distances of a seed's place from its place in the item, over all shared seeds, ascending."""
+    order = np.argsort(seeds, kind="stable")
+    seeds, places = seeds[order], places[order]
+    low, high = np.searchsorted(seeds, item_seeds), np.searchsorted(seeds, item_seeds, "right")
+    shared = np.flatnonzero(low < high)
+    if not len(shared):
+        return np.zeros(0, np.int64)
+    shift = int(item_places.max()) - int(places.min())
+    # A flag per distance: repeated words share seeds in far more ways than there are distances.
+    flags = np.zeros(int(places.max()) + shift + 1, bool)
+    for k in shared:
+        flags[places[low[k] : high[k]] - item_places[k] + shift] = True
+    return np.flatnonzero(flags) - shift
+
+
+def _best(words: np.ndarray, at: int, item: np.ndarray, diagonals: np.ndarray, config: Seeds) -> tuple[int, ...] | None:
+    """Over all diagonals the overlap with most equal words, then the first: n_equal, -first, n_words."""
+    least = min(config.min_words, len(item))
+    best: tuple[int, ...] | None = None
+    for diagonal in diagonals:
+        shift = int(diagonal) - at
+        low, high = max(0, -shift), min(len(item), len(words) - shift)
+        equal = words[low + shift : high + shift] == item[low:high]
+        total = int(np.count_nonzero(equal))
+        if total * 100 < least * config.percent or best and total < best[0]:
+            continue
+        a, b = best_overlap(equal, config.percent, least)
+        if b > a:
+            one = (int(np.count_nonzero(equal[a:b])), -(low + shift + a), b - a)
+            best = max(best or one, one)
+    return best
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch], config: Seeds) -> Iterator[pa.RecordBatch]:
+    """Of each stretch and item brought together, their best overlap."""
     names = ["id", "item", "n_words", "n_equal", "item_words", "start_word", "start_byte", "end_byte"]
     kinds = [pa.int64(), pa.int64()] + [pa.int32()] * 6
+    lists = ("words", "starts", "ends", "item_words", "seeds", "places", "item_seeds", "item_places")
     for batch in batches:
         out = []
-        cols = [batch.column(c) for c in ("id", "item", "at", "diagonal")]
-        lists = [batch.column(c) for c in ("words", "starts", "ends", "item_words")]
+        cols = [batch.column(c) for c in ("id", "item", "at")]
+        values = [batch.column(c) for c in lists]
         for row in range(batch.num_rows):
-            doc, item, at, diagonal = (c[row].as_py() for c in cols)
-            words, starts, ends, own = (c[row].values.to_numpy(zero_copy_only=False) for c in lists)
-            low, high = max(0, at - diagonal), min(len(own), at + len(words) - diagonal)
-            shift = diagonal - at
-            equal = words[low + shift : high + shift] == own[low:high]
-            a, b = best_overlap(equal, config.percent, min(config.min_words, len(own)))
-            if b > a:
-                first, last = low + shift + a, low + shift + b - 1
-                out.append(
-                    (doc, item, b - a, int(equal[a:b].sum()), len(own), at + first, int(starts[first]), int(ends[last]))
-                )
+            doc, item, at = (c[row].as_py() for c in cols)
+            words, starts, ends, own, *seeds = (c[row].values.to_numpy(zero_copy_only=False) for c in values)
+            best = _best(words, at, own, _diagonals(*seeds), config)
+            if best:
+                equal, first, n = best[0], -best[1], best[2]
+                out.append((doc, item, n, equal, len(own), at + first, int(starts[first]), int(ends[first + n - 1])))
         columns = list(zip(*out, strict=True)) if out else [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)

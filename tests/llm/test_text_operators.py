@@ -191,6 +191,71 @@ def test_an_equal_word_far_away_hides_no_overlap(spark):
     assert (found.start_word, found.n_words, found.n_equal) == (0, 20, 16)
 
 
+def test_masks_miss_no_overlap_of_the_rule():
+    config = decontaminate.Seeds()
+    assert config.whole == config.min_words == 13
+    assert [decontaminate.missed(config, n) for n in range(13, 26)] == [0] * 13
+    assert decontaminate.missed(decontaminate.Seeds(masks=("1101011011", "1110010111", "1011101101")), 15) == 61
+
+
+def _overlap_by_force(words, item):
+    """Longest span that meets the rule on each diagonal; of these the one with most equal words, then the first."""
+    best = None
+    for diagonal in range(-len(item) + 1, len(words)):
+        low, high = max(0, -diagonal), min(len(item), len(words) - diagonal)
+        equal = [words[k + diagonal] == item[k] for k in range(low, high)]
+        upto = np.concatenate(([0], np.cumsum(equal, dtype=int)))
+        spans = [(a, b) for a in range(len(equal)) for b in range(a + 13, len(equal) + 1)]
+        good = [(b - a, int(upto[b] - upto[a]), -a) for a, b in spans if 100 * (upto[b] - upto[a]) >= 80 * (b - a)]
+        if good:
+            n, same, back = max(good)
+            best = max(best or (0,), (same, -(diagonal + low - back), n))
+    return best
+
+
+def test_long_items_equal_all_spans_of_all_diagonals(spark):
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(60)]
+    items = [(i, [rng.choice(vocabulary) for _ in range(rng.randint(13, 45))]) for i in range(12)]
+    items.append((12, ["same"] * 30))
+    docs = []
+    for i in range(160):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 50))]
+        if i % 8:
+            item = items[i % len(items)][1]
+            n = rng.randint(13, min(25, len(item)))
+            start = rng.randint(0, len(item) - n)
+            passage = list(item[start : start + n])
+            for k in rng.sample(range(n), min(n, n // 5 + (i % 3 == 0))):  # as many as the rule allows, or one more
+                passage[k] = f"x{k}"
+            at = rng.randint(0, len(words))
+            words[at:at] = passage
+        docs.append((i, words))
+    docs.append((7, list(items[3][1])))  # another text of the same id
+    docs.append((300, ["same"] * 700))
+    items.append((2, list(items[5][1])))  # another text of the same item
+    expected = {}
+    for i, words in docs:
+        for j, item in items:
+            best = _overlap_by_force(words, item) if i != 300 or j == 12 else None
+            if best:
+                one = (*best, len(item))
+                expected[i, j] = max(expected.get((i, j), one), one)
+    assert len(expected) > 80
+    df = t.frame(spark, [(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    bench = t.frame(spark, [(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    found = decontaminate.contaminated(df, bench).collect()
+    assert len(found) == len(expected)
+    assert {(r.doc_id, r.item_id): (r.n_equal, -r.start_word, r.n_words, r.item_words) for r in found} == expected
+
+
+def test_a_document_of_one_word_takes_one_row_per_item(spark):
+    df = spark.createDataFrame([(1, "so " * 16_000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, "so " * 60), (6, "so " * 59 + "what")], "item_id long, text string")
+    found = {r.item_id: (r.start_word, r.n_words, r.n_equal) for r in decontaminate.contaminated(df, bench).collect()}
+    assert found == {5: (0, 60, 60), 6: (0, 60, 59)}
+
+
 def test_short_items_are_found_wherever_they_differ(spark):
     rng = random.Random(8)
     items, docs, expected = [], [], set()
