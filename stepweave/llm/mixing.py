@@ -106,8 +106,8 @@ def mix(
 
     Null domains, languages and sources are nodes named by an empty text. Tokens are words; null and empty
     texts have none and are taken where they fall within the prefix. Rows of a repeated id stand
-    next to each other, ordered by text; rows equal in both are interchangeable, each counts. Null
-    ids are ordered as empty ones. An empty table gives no rows. Other columns are ignored.
+    next to each other, ordered by text; rows equal in both are interchangeable, each counts. A row of
+    a null id stands where its text's digest puts it. An empty table gives no rows. Other columns are ignored.
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(
@@ -128,7 +128,8 @@ def mix(
     out = ["id", *LEVELS, "epoch", "n_tokens"]
     whole = placed.where("full_epochs > 0").withColumn("epoch", F.explode(F.expr("sequence(0, full_epochs - 1)")))
     part = placed.where(F.col("full_epochs") < config.epochs).withColumn("epoch", F.col("full_epochs"))
-    name = F.concat_ws(":", F.lit(config.seed), F.col("epoch").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("")))
+    named = F.coalesce(F.col("id").cast("string"), F.col("digest"))  # rows without an id spread by their text
+    name = F.concat_ws(":", F.lit(config.seed), F.col("epoch").cast("string"), named)
     part = part.withColumn("order", F.md5(name.cast("binary"))).withColumn("before", F.lit(0).cast("long"))
     taken, edge = [whole.select(*out)], part
     for level in range(2):

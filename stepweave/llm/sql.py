@@ -67,7 +67,7 @@ epochs as (
 ordered as (
   select *, sum(n_tokens) over (
     partition by domain, lang, source, epoch
-    order by md5(concat('{config.seed}:', epoch, ':', coalesce(id::varchar, ''))), digest
+    order by md5(concat('{config.seed}:', epoch, ':', coalesce(id::varchar, digest))), digest
     rows between unbounded preceding and current row) as upto
   from epochs
 ),

@@ -4,12 +4,13 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from stepweave.llm import chat, coder, decontaminate, langid, mixing, tokens, toxicity
+from stepweave.llm import chat, coder, decontaminate, langid, mixing, sql, tokens, toxicity
 from stepweave.llm.registered import tokenizer_path
 from stepweave.llm.shared import folder
 from tests.llm import tables as t
@@ -421,6 +422,21 @@ def test_mixing_takes_prefixes_of_epochs(spark):
     assert mixing.mix(docs.limit(0), config, F.lit("d")).collect() == []
 
 
+def test_rows_without_an_id_spread_by_their_text(spark):
+    rng = random.Random(4)
+    rows = [(None if i % 3 else i, f"t{i} " * rng.randint(1, 9), "en", "s") for i in range(600)]
+    config = mixing.Mix(percent=130, seed="3")
+    docs = t.frame(spark, rows, "doc_id long, text string, lang string, source string")
+    found = mixing.mix(docs, config, F.lit("d")).collect()
+    con = duckdb.connect()
+    con.register("docs", docs.toPandas().astype({"doc_id": "Int64"}))
+    expected = con.sql(f"with {sql.mix_sql(config, 'docs', chr(39) + 'd' + chr(39))} select * from mixed").fetchall()
+    key = lambda r: str(tuple(r))
+    assert sorted(map(tuple, found), key=key) == sorted(expected, key=key) and len(found) > 600
+    texts = {r.n_tokens for r in found if r.doc_id is None and r.epoch == 1}
+    assert len(texts) == 9  # not only those of the smallest digests' range
+
+
 def _turns():
     return [
         (1, 0, "system", "be kind"),
