@@ -188,9 +188,15 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat).cast(kind))
 
 
-def _all_seeds(found: tx.Words, config: Seeds) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds of all masks in order of their words, and those words' indices."""
-    parts = [_seed_hashes(found, mask, k) for k, mask in enumerate(config.masks)]
+def _all_seeds(found: tx.Words, config: Seeds, bloom: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds of all masks, or of these what passes the filter, in order of their words, and those words' indices."""
+    parts = []
+    for k, mask in enumerate(config.masks):
+        seed, place = _seed_hashes(found, mask, k)
+        if bloom is not None:
+            ok = _passes(seed, bloom, config)
+            seed, place = seed[ok], place[ok]
+        parts.append((seed, place))
     seed, place = (np.concatenate([p[side] for p in parts]) for side in (0, 1))
     order = np.argsort(place, kind="stable")
     return seed[order], place[order]
@@ -298,9 +304,7 @@ def _segments(batches: Iterator[pa.RecordBatch], config: Seeds, bloom: np.ndarra
     for batch in batches:
         for texts in tx.slices(batch.column("text")):
             found = tx.words(texts, tx.ALNUM)
-            seed, place = _all_seeds(found, config)
-            ok = _passes(seed, bloom, config)
-            seed, place = seed[ok], place[ok]
+            seed, place = _all_seeds(found, config, bloom)
             if not len(seed):
                 continue
             doc = found.doc[place]
