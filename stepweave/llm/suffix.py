@@ -7,16 +7,17 @@ neighbouring windows of one anchor form a run whose bytes, its context, travel t
 1. A window reaches ``(length - gram) / 2`` bytes beyond its anchor to the left or to the right. So for each run
    the anchor so extended to both sides is counted by a short hash, which tells what a single document holds. A
    filter of fixed size of the others goes to every task; it saves work and decides nothing.
-2. Contexts of runs that pass are shuffled by anchor, equal contexts of a slice as one with their smallest id.
+2. Contexts of runs that pass are shuffled by anchor: those of a slice and bucket compressed together, equal ones
+   once, with the places (ids and bytes) that have them.
 3. Each task joins its contexts to one text and builds its Burrows-Wheeler transform. Starting with the intervals of
    single bytes, all intervals are extended backward by one byte, breadth first, level by level. A boundary that
    appears at level l is a common prefix of l - 1 bytes, so common prefixes come out by increasing value; an interval
    of one suffix is dropped, and the expansion stops at ``length``: what is left are the sets of equal windows.
-4. The smallest id of each set goes back to the runs that have the context, and each document unites its
-   repeats.
+4. The smallest id of each set goes to the places that have the context, and each document unites its repeats.
 
-A passage that very many documents share is a row for every 4 MB of text in step 3, and a join that Spark can split
-in step 4. Contexts are told apart by 96 bits of hashes.
+A passage that very many documents share is one context for every 4 MB of text in step 3. Its places, some five
+bytes each, stay compressed; those of one part after the other become spans. Contexts are told apart by 96 bits of
+hashes.
 """
 
 from __future__ import annotations
@@ -41,13 +42,15 @@ SEPARATOR = 255  # a byte that UTF-8 never has
 class Repeats:
     """Windows of ``length`` bytes, anchors of ``gram``; runs are cut at ``run`` windows.
 
-    ``bucket_bytes`` of documents make one bucket of contexts, a small part of which is left after step 1.
+    ``bucket_bytes`` of documents make one bucket of contexts, a small part of which is left after step 1; contexts
+    of ``sorted_bytes``, or of one anchor, are sorted at a time.
     """
 
     length: int = 50
     gram: int = 16
     run: int = 128
     bucket_bytes: int = 6_000_000
+    sorted_bytes: int = 3_000_000
     filter_bits: int = 27
 
 
@@ -172,7 +175,7 @@ def _count(batches: Iterator[pa.RecordBatch], buckets: int, config: Repeats) ->
             bucket, short = bucket[order], _short(anchor[order])
             at = np.flatnonzero(np.concatenate((bucket[:1] >= 0, bucket[1:] != bucket[:-1])))
             ends = np.append(at[1:], len(bucket))
-            packed = [short[a:b].tobytes() for a, b in zip(at, ends, strict=True)]
+            packed = [_pack(np.diff(short[a:b], prepend=short.dtype.type(0))) for a, b in zip(at, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(packed, pa.binary())], ["bucket", "packed"])
 
 
@@ -196,18 +199,39 @@ def _passes(value: np.ndarray, buckets: int, bloom: np.ndarray, config: Repeats)
 
 def _repeated(key: tuple, table: pa.Table, config: Repeats) -> pa.Table:
     """Filter bits of the short hashes that a bucket holds twice."""
-    packed = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("packed")]
+    packed = [np.cumsum(_unpack(x.as_buffer(), "<u4")[0], dtype=np.uint32) for x in table.column("packed")]
     short = np.sort(np.concatenate(packed))
     twice = np.unique(short[1:][short[1:] == short[:-1]])
     bucket = np.full(len(twice), key[0].as_py(), np.int64)
     return pa.table({"bit": np.unique(_bits(twice, bucket, config))})
 
 
-def _candidates(
-    batches: Iterator[pa.RecordBatch], buckets: int, bloom: np.ndarray, config: Repeats, contexts: bool
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns as compressed planes of their first bytes, second bytes and so on, after their sizes."""
+    planes = [x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in columns]
+    sizes = np.array([sum(map(len, planes)), *map(len, columns)], "<i8")
+    return sizes.tobytes() + pa.compress(b"".join(planes), "zstd", asbytes=True)
+
+
+def _unpack(raw: pa.Buffer, *kinds: str) -> list[np.ndarray]:
+    head = 8 * (len(kinds) + 1)
+    total, *sizes = np.frombuffer(raw[:head], "<i8").tolist()
+    planes, at, columns = np.frombuffer(pa.decompress(raw[head:], total, "zstd"), np.uint8), 0, []
+    for kind, n in zip(map(np.dtype, kinds), sizes, strict=True):
+        end = at + n * kind.itemsize
+        columns.append(np.ascontiguousarray(planes[at:end].reshape(kind.itemsize, n).T).reshape(-1).view(kind))
+        at = end
+    return columns
+
+
+#: Of each context: short hash, hash, windows, places; of each place: id and byte; then the bytes of the contexts.
+PARTS = ("<u4", "<u8", "<u2", "<u4", "<i8", "<i4", "u1")
+
+
+def _contexts(
+    batches: Iterator[pa.RecordBatch], buckets: int, bloom: np.ndarray, config: Repeats
 ) -> Iterator[pa.RecordBatch]:
-    """What passes the filter, of a slice: each context once, with the smallest and the largest id that has it,
-    or else the place of each run."""
+    """What passes the filter, of a slice and bucket: each context once, and its places in the order of ids."""
     for batch in batches:
         ids = batch.column("id").to_numpy()
         for texts in tx.slices(batch.column("text"), 2 * tx.SLICE_BYTES):
@@ -220,27 +244,27 @@ def _candidates(
             bucket, short, context, doc, start, size = (np.concatenate(x) for x in zip(*found, strict=True))
             if not len(bucket):
                 continue
-            own = ids[texts.first + doc]
-            if not contexts:
-                names, columns = ["short", "context", "doc", "at"], [own, start - texts.offsets[doc]]
-                columns = [short.view(np.int32), context.view(np.int64), *columns]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-                continue
-            order = np.lexsort((own, context, short))
-            short, context, own = short[order], context[order], own[order]
-            opens = np.ones(len(order) + 1, bool)
-            opens[1:-1] = (context[1:] != context[:-1]) | (short[1:] != short[:-1])
-            first, last = np.flatnonzero(opens[:-1]), np.flatnonzero(opens[1:])
-            rows = order[first]
-            length = size[rows] + config.length - 1
-            raw = texts.data[np.repeat(start[rows], length) + tx.within(length)]
-            offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
-            buffers = [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())]
-            columns = [bucket[rows], short[first].view(np.int32), context[first].view(np.int64), own[first], own[last]]
-            yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, columns), pa.Array.from_buffers(pa.binary(), len(rows), buffers)],
-                ["bucket", "short", "context", "least", "most", "bytes"],
-            )
+            own, at = ids[texts.first + doc], (start - texts.offsets[doc]).astype("<i4")
+            order = np.lexsort((own, context, (bucket.astype(np.uint64) << np.uint64(32)) | short))
+            bucket, short, context, own, at = (x[order] for x in (bucket, short, context, own, at))
+            opens = np.ones(len(order), bool)
+            opens[1:] = (context[1:] != context[:-1]) | (short[1:] != short[:-1]) | (bucket[1:] != bucket[:-1])
+            first = np.flatnonzero(opens)
+            begin, size = start[order[first]], size[order[first]]
+            length = size + config.length - 1
+            raw = texts.data[np.repeat(begin, length) + tx.within(length)]
+            ends = np.concatenate(([0], np.cumsum(length)))
+            bucket, short, context, places = bucket[first], short[first], context[first], np.diff(first, append=len(order))
+            first = np.append(first, len(order))
+            heads = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            packed = [
+                _pack(
+                    *(short[a:b], context[a:b], size[a:b].astype("<u2"), places[a:b].astype("<u4")),
+                    *(own[first[a] : first[b]], at[first[a] : first[b]], raw[ends[a] : ends[b]]),
+                )
+                for a, b in zip(heads, np.append(heads[1:], len(bucket)), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[heads]), pa.array(packed, pa.binary())], ["bucket", "packed"])
 
 
 def sorted_suffixes(data: np.ndarray, length: int) -> np.ndarray:
@@ -296,42 +320,34 @@ def equal_windows(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     return suffixes[active], interval[active]
 
 
-def _classes(key: tuple, table: pa.Table, config: Repeats) -> pa.Table:
-    """For the contexts of a bucket: the smallest id of each of their windows, as spans of equal ids.
+@dataclass
+class Classes:
+    """For different contexts: the smallest id of each of their windows, as spans of equal ids, by context."""
 
-    Contexts come several times, once for each task that saw them; one carries the smallest id.
-    """
-    anchor = table.column("short").to_numpy()
-    context = table.column("context").to_numpy()
-    least, most = table.column("least").to_numpy(), table.column("most").to_numpy()
-    order = np.lexsort((least, context, anchor))
-    a, c = anchor[order], context[order]
-    head = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1]))))
-    top = np.maximum.reduceat(most[order], head)
-    rows = order[head]
-    anchor, context, least = anchor[rows], context[rows], least[rows]
+    owner: np.ndarray
+    begin: np.ndarray
+    stop: np.ndarray
+    least: np.ndarray
+
+
+def _classes(
+    anchor: np.ndarray, least: np.ndarray, top: np.ndarray, size: np.ndarray, raw: np.ndarray, config: Repeats
+) -> Classes:
+    """Of contexts in the order of their anchors, with their smallest and largest ids and their bytes."""
     # An anchor that only one document holds has no repeats.
     group = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     sizes = np.diff(np.append(group, len(anchor)))
     shared = np.repeat(np.minimum.reduceat(least, group) < np.maximum.reduceat(top, group), sizes)
-    rows, anchor, context, least, top = (x[shared] for x in (rows, anchor, context, least, top))
-    schema = pa.schema(
-        [("short", pa.int32()), ("context", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("least", pa.int64())]
-    )
+    rows = np.flatnonzero(shared)
     if not len(rows):
-        return schema.empty_table()
-    column = table.column("bytes").combine_chunks().take(pa.array(rows))
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset :][: len(rows) + 1]
-    raw = np.frombuffer(column.buffers()[2], np.uint8)
-    size = np.diff(offsets)
-    start = offsets[:-1] - offsets[0] + np.arange(len(rows))  # a separator after each
+        return Classes(*[np.zeros(0, np.int64)] * 4)
+    raw = raw[np.repeat(shared, size)]
+    least, top, size = least[rows], top[rows], size[rows]
+    start = np.cumsum(size + 1) - size - 1  # a separator after each
     data = np.full(int(size.sum()) + len(rows), SEPARATOR, np.uint8)
     inside = np.ones(len(data), bool)
     inside[start + size] = False
-    data[inside] = raw[offsets[0] : offsets[-1]]
+    data[inside] = raw
     owner = np.repeat(np.arange(len(rows), dtype=np.int32), size + 1)
     lowest = least[owner]
     place, number = equal_windows(data, config.length)
@@ -350,9 +366,58 @@ def _classes(key: tuple, table: pa.Table, config: Repeats) -> pa.Table:
     own, low = own[opens], low[opens]
     useful = low < top[own]
     own, low = own[useful], low[useful]
-    begin = (at[opens[useful]] - start[own]).astype(np.int32)
-    stop = (at[end[useful]] - start[own] + config.length).astype(np.int32)
-    return pa.table([anchor[own], context[own], begin, stop, low], schema=schema)
+    begin = at[opens[useful]] - start[own]
+    stop = at[end[useful]] - start[own] + config.length
+    return Classes(rows[own], begin, stop, low)
+
+
+def _spans(batches: Iterator[pa.RecordBatch], config: Repeats) -> Iterator[pa.RecordBatch]:
+    """The intervals of a bucket's places. Contexts come several times, once for each slice that has them."""
+    packed = [x.as_buffer() for batch in batches for x in batch.column("packed")]
+    found = []
+    for x in packed:
+        short, context, size, places, own, _, raw = _unpack(x, *PARTS)
+        first = np.cumsum(places, dtype=np.int64) - places
+        found.append((short, context, size.astype(np.int64), own[first], own[first + places - 1], raw))
+    bounds = np.cumsum([0, *(len(x[0]) for x in found)])
+    short, context, size, least, most, raw = (np.concatenate(x) for x in zip(*found, strict=True))
+    del found
+    order = np.lexsort((least, context, short))
+    s, c = short[order], context[order]
+    new = np.concatenate(([True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])))
+    head = np.flatnonzero(new)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    length = size + config.length - 1
+    begin = (np.cumsum(length) - length)[order[head]]
+    length, short, least, top = length[order[head]], s[head], least[order[head]], np.maximum.reduceat(most[order], head)
+    # Contexts of whole anchors, up to ``sorted_bytes``, are sorted at a time.
+    ends = np.append(np.flatnonzero(short[1:] != short[:-1]) + 1, len(head))
+    reach = np.cumsum(length)[ends - 1]
+    parts, at, done = [], 0, 0
+    while at < len(head):
+        end = int(ends[max(np.searchsorted(reach, done + config.sorted_bytes, "right") - 1, np.searchsorted(ends, at, "right"))])
+        own = slice(at, end)
+        some = raw[np.repeat(begin[own], length[own]) + tx.within(length[own])]
+        part = _classes(short[own], least[own], top[own], length[own], some, config)
+        part.owner += at
+        parts.append(part)
+        at, done = end, int(np.cumsum(length[own])[-1]) + done
+    classes = Classes(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("owner", "begin", "stop", "least")))
+    del raw
+    n_spans = np.bincount(classes.owner, minlength=len(head))
+    first_span = np.cumsum(n_spans) - n_spans
+    for a, b, x in zip(bounds[:-1], bounds[1:], packed, strict=True):
+        places, own, at = _unpack(x, *PARTS)[3:6]
+        each = np.repeat(number[a:b], places)
+        n = n_spans[each]
+        span = np.repeat(first_span[each], n) + tx.within(n)
+        own, at = np.repeat(own, n), np.repeat(at.astype(np.int64), n)
+        ok = classes.least[span] < own
+        own, at, span = own[ok], at[ok], span[ok]
+        # A span is never longer than a run and a window.
+        interval = ((at + classes.begin[span]) << SPAN_BITS) + classes.stop[span] - classes.begin[span]
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(interval)], ["doc", "interval"])
 
 
 def repeats(docs: DataFrame, config: Repeats = Repeats(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -378,22 +443,15 @@ def repeats(docs: DataFrame, config: Repeats = Repeats(), id_col: str = "doc_id"
         bloom[row["k"] * (BITMAP_BITS // 8) :][: len(part)] = part
     shared = spark.sparkContext.broadcast(bloom)
 
-    # The texts are read once for the contexts and once for the places, so that neither has to be stored.
     contexts = rows.mapInArrow(
-        lambda batches: _candidates(batches, buckets, shared.value, config, True),
-        "bucket long, short int, context long, least long, most long, bytes binary",
+        lambda batches: _contexts(batches, buckets, shared.value, config), "bucket long, packed binary"
     )
-    classes = contexts.groupBy("bucket").applyInArrow(
-        lambda k, t: _classes(k, t, config), "short int, context long, a int, b int, least long"
-    )
-    places = rows.mapInArrow(
-        lambda batches: _candidates(batches, buckets, shared.value, config, False),
-        "short int, context long, doc long, at long",
-    )
-    spans = places.join(classes, ["short", "context"]).where("least < doc")
-    # A span is never longer than a run and a window.
-    packed = F.shiftleft(F.col("at") + F.col("a"), SPAN_BITS) + (F.col("b") - F.col("a"))
-    return spans.groupBy("doc").agg(F.collect_set(packed).alias("intervals")).withColumnRenamed("doc", "id")
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _spans(batches, config)
+
+    found = contexts.groupBy("bucket").applyInArrow(spans, "doc long, interval long")
+    return found.groupBy("doc").agg(F.collect_set("interval").alias("intervals")).withColumnRenamed("doc", "id")
 
 
 def remove_repeats(

@@ -5,8 +5,10 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from stepweave.llm import embeddings, lines, minhash, suffix
+from stepweave.llm import text as tx
 from stepweave.llm.components import components
 from tests.llm import tables as t
 
@@ -143,6 +145,34 @@ def test_suffixes_equal_all_windows(spark):
     assert all(r.n_removed == sum(b - a for a, b in r.spans) for r in rows_found)
 
 
+def test_suffixes_of_a_hot_anchor(spark):
+    """One passage in very many differing contexts, sorted in small parts."""
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(70))
+    rows = [(k, "".join(rng.choice("abcd") for _ in range(k % 60)) + passage[k % 9 :] + str(k) * 9) for k in range(300)]
+    rows += [(500, rows[7][1]), (400, rows[7][1]), (None, passage), (501, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = suffix.remove_repeats(docs, suffix.Repeats(bucket_bytes=8_000, sorted_bytes=500)).collect()
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found]
+    assert sorted(got, key=str) == _suffix_expected(rows)
+
+
+def test_suffix_contexts_are_shuffled_small():
+    """Of texts that repeat throughout, what is shuffled takes less than half of what all contexts have."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(2000)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(200)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(400)), "text": texts + texts})
+    config = suffix.Repeats()
+    bloom = np.full((1 << config.filter_bits) // 8, 255, np.uint8)
+    rows = pa.Table.from_batches(suffix._contexts(iter([batch]), 8, bloom, config))
+    shuffled = rows.get_total_buffer_size()
+    runs = suffix.runs(next(tx.slices(batch.column("text").slice(0, 200))), config)
+    assert 2 * shuffled < (runs.size + config.length - 1 + 28).sum()
+    parts = [suffix._unpack(x.as_buffer(), *suffix.PARTS) for x in rows.column("packed")]
+    assert sum(int(p[3].sum()) for p in parts) == 2 * len(runs.doc)
+
+
 def test_equal_windows_equal_a_dictionary():
     rng = np.random.default_rng(1)
     for n, letters, length in ((200, 2, 5), (500, 3, 8), (60, 1, 50), (300, 2, 50)):
