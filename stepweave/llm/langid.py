@@ -82,7 +82,7 @@ def fit(
         F.col(lang_col).cast("string").alias("lang"),
         F.col(text_col).cast("string").alias("text"),
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 40)).alias("h"),
-    ).where("lang is not null and text rlike '\\\\p{L}'")
+    ).where(F.col("lang").isNotNull() & _has_letter(F.col("text")))
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return LanguageModel(np.zeros(256, np.uint8), 2, ())
@@ -114,6 +114,11 @@ def fit(
     return LanguageModel(symbols, unknown + 1, built)
 
 
+def _has_letter(text: Column) -> Column:
+    """Whether there is a letter; hardly any text is made a string of the JVM's beyond its first characters."""
+    return F.substring(text, 1, 64).rlike(r"\p{L}") | text.rlike(r"\p{L}")
+
+
 def _lower(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode(), np.uint8)
 
@@ -200,7 +205,7 @@ def predict(
         F.col(id_col).alias("id"),
         *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(others)],
         text.alias("text"),
-        F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("has_letter"),
+        F.coalesce(_has_letter(text), F.lit(False)).alias("has_letter"),
     )
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [n for n in rows.columns[:-1] if n != "text" or text_col in keep]

@@ -41,6 +41,17 @@ def test_no_language_is_learned_from_nothing(spark):
     assert langid.predict(docs.limit(0), model).collect() == []
 
 
+def test_letters_are_found_anywhere(spark):
+    """The test for letters looks at the first characters, and at all others only where those hold none."""
+    rows = [(k, text, "en") for k, text in enumerate(["7 " * 40 + "word", "\U0001d7d8" * 70 + "\u00e9", "7 " * 90, "", None, "a"])]
+    docs = t.frame(spark, rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.fit(docs)).collect()}
+    assert found == {0: "en", 1: "en", 2: "und", 3: "und", 4: "und", 5: "en"}
+    # Texts are searched as a whole only where their beginning holds no letter.
+    plan = docs.select(langid._has_letter(docs.text))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("substring(text") < plan.rfind("text")
+
+
 def test_every_label_is_learned_and_groups_of_automata_decide_alike(spark, monkeypatch):
     rng = random.Random(9)
     rows = []
