@@ -9,6 +9,7 @@ that Spark writes to will do.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -16,12 +17,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from stepweave.llm import coder
+from stepweave.llm import text as tx
 from stepweave.llm.shared import folder, stored
 
 FORMAT = "ids-cm-2"
@@ -29,9 +32,9 @@ BLOCK = (
     "format string, part int, block int, first long, n_ids int, docs array<long>, lengths array<int>, "
     "continues boolean, crc long, data binary, head_crc long"
 )
-WORDS_KEPT = 150_000  # words, and their ids, that a Python worker remembers from task to task
-_models: dict[str, tuple] = {}
-GAPS = str.maketrans("\t\n\r\x0b\x0c", "     ")
+WORDS_KEPT = 150_000  # words, and their ids, that a Python worker remembers from task to task, twice: new and older ones
+SLICE_BYTES = 4_000_000  # of texts encoded at a time
+_models: dict[str, list] = {}
 
 
 @dataclass(frozen=True)
@@ -43,32 +46,66 @@ class Output:
     block: int = 4096
 
 
-def _tokenizer(path: str) -> Callable[[list[str]], list[np.ndarray]]:
-    """Encodes texts. White space always parts words of these tokenizers' patterns, so each different
-    word is encoded once and remembered; only ASCII white space is used to part them here."""
-    from tokenizers import Tokenizer
-
+def _tokenizer(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """Encodes texts: all their ids, and where those of each text end. White space always parts words of these
+    tokenizers' patterns, so each different word of the texts is encoded once and remembered; only ASCII white space
+    is used to part them here."""
     if path not in _models:
-        _models[path] = (Tokenizer.from_file(path), {})
-    model, known = _models[path]
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        split = [t.translate(GAPS).split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in known})
+        # A task has one core, and other tasks have the others.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        _models[path] = [Tokenizer.from_file(path), {}, {}]
+    held = _models[path]
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        model, known, older = held
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        kinds = coded.dictionary.to_pylist()
+        found = [known.get(w) or older.get(w) for w in kinds]
+        new = [k for k, x in enumerate(found) if x is None]
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
-            found = [e.ids for e in model.encode_batch_fast(some, add_special_tokens=False)]
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32).tobytes()
-            end = 0
-            for word, ids in zip(some, found, strict=True):
-                known[word] = flat[end : (end := end + 4 * len(ids))]
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32) for words in split]
+            for k, x in zip(some, _encoded(model, [kinds[k] for k in some]), strict=True):
+                found[k] = x
+        known.update(zip(kinds, found, strict=True))
+        if len(known) > WORDS_KEPT:
+            held[1:] = {}, known
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        flat = np.frombuffer(b"".join(found), np.uint32)
+        which = coded.indices.to_numpy()
+        each = sizes[which]
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which], each) + tx.within(each)]
+        bounds = words.offsets.to_numpy()
+        return ids, np.append(0, np.cumsum(each))[bounds[1:] - bounds[0]]
 
     return encode
 
 
+def _encoded(model: "Tokenizer", words: list[str]) -> list[bytes]:  # noqa: F821
+    """The ids of each word. Many words are one text, parted by a digit: that is a token by itself in these patterns, and
+    what has it inside, or gives another number of parts, is encoded alone."""
+    mark = model.encode("0", add_special_tokens=False).ids
+    out: list[bytes | None] = [None] * len(words)
+    if len(mark) == 1:
+        plain = [k for k, w in enumerate(words) if "0" not in w]
+        groups = [plain[a : a + 200] for a in range(0, len(plain), 200)]
+        texts = [" 0 ".join([words[k] for k in g]) for g in groups]
+        for group, e in zip(groups, model.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(ids == mark[0])
+            if len(cuts) == len(group) - 1:
+                raw = ids.tobytes()
+                starts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]
+                for k, a, b in zip(group, starts, ends, strict=True):
+                    out[k] = raw[a:b]
+    alone = [k for k, x in enumerate(out) if x is None]
+    for k, e in zip(alone, model.encode_batch_fast([words[k] for k in alone], add_special_tokens=False), strict=True):
+        out[k] = np.array(e.ids, np.uint32).tobytes()
+    return out
+
+
 def write(docs: DataFrame, path: str, config: Output, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the documents in ascending order of id, then of text.
 
@@ -133,16 +170,28 @@ def _blocks(batches: Iterator[pa.RecordBatch], config: Output) -> Iterator[pa.Re
         waiting, held = rest, len(stream) - whole
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            some = batch.slice(at, 256)
-            for doc, ids in zip(some.column("id").to_pylist(), encode(some.column("text").to_pylist()), strict=True):
-                waiting.append((doc, np.concatenate([ids, end]), False))
-                held += len(ids) + 1
+        for doc, texts in _slices(batch.column("id"), batch.column("text")):
+            ids, ends = encode(texts)
+            starts = np.append(0, ends[:-1]).tolist()
+            for one, a, b in zip(doc.to_pylist(), starts, ends.tolist(), strict=True):
+                waiting.append((one, np.concatenate([ids[a:b], end]), False))
+            held += len(ids) + len(ends)
             if held >= enough:
                 yield from cut(last=False)
     yield from cut(last=True)
 
 
+def _slices(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Rows of up to ``SLICE_BYTES`` of texts, or one row."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        done = int(ends[at - 1]) if at else 0
+        n = max(1, int(np.searchsorted(ends, done + SLICE_BYTES, "right")) - at)
+        yield ids.slice(at, n), texts.slice(at, n)
+        at += n
+
+
 PIECE = "part int, block int, place int, id long, at long, n_ids long, crc long, partial boolean, ids binary"
 
 
@@ -179,13 +228,54 @@ def _pieces(batches: Iterator[pa.RecordBatch], all_ids: bool) -> Iterator[pa.Rec
                     # The last document of a full block may go on in the next one.
                     partial = place == len(docs) - 1 or place == 0 and some["continues"][k]
                     first = some["first"][k] + offset
-                    kept = own if all_ids or partial else None
+                    kept = own if all_ids else None
                     rows.append((some["part"][k], some["block"][k], place, doc, first, n, zlib.crc32(own), partial, kept))
                     offset += n
             columns = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
+def _zero_ids() -> list[np.ndarray]:
+    """What 1, 2, 4 and so on ids of zero, appended, make of each of a crc32's bits."""
+    one = np.array([0xEDB88320, *(1 << k for k in range(31))], np.uint32)  # a bit of zero
+    found = []
+    for k in range(5 + 40):
+        if k >= 5:  # an id has 2 ** 5 bits
+            found.append(one)
+        one = _times(one, one)
+    return found
+
+
+def _times(bits: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    out = np.zeros_like(crc)
+    for k in range(32):
+        out ^= ((crc >> np.uint32(k)) & np.uint32(1)) * bits[k]
+    return out
+
+
+def _moved(crc: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What checksums give to one of n more ids; the checksum of a whole is the exclusive or of those of its pieces."""
+    for k, bits in enumerate(_zero_ids()[: int(n.max(initial=0)).bit_length()]):
+        crc = np.where((n >> k) & 1 > 0, _times(bits, crc), crc)
+    return crc
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents from the lengths and checksums of their pieces, in order; every document has one."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists = batch.column("pieces")
+        pieces = lists.flatten()
+        at, n, crc = (pieces.field(k).to_numpy() for k in ("at", "n_ids", "crc"))
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        begin, last, sizes = bounds[:-1], bounds[1:] - 1, np.diff(bounds)
+        after = np.repeat((at + n)[last], sizes) - (at + n)
+        whole = np.bitwise_xor.reduceat(_moved(crc.astype(np.uint32), after), begin).astype(np.int64)
+        columns = [*(batch.column(k) for k in ("part", "id", "at")), pa.array(np.add.reduceat(n, begin)), pa.array(whole)]
+        yield pa.RecordBatch.from_arrays(columns, ["part", "id", "at", "n_ids", "crc"])
+
+
 def digest(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """Per document, from the files: id, start (ids before it), n_tokens, ids_crc32."""
     blocks = spark.read.schema(BLOCK).parquet(path)
@@ -193,17 +283,17 @@ def digest(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
     # Stored, since both branches below read it: blocks are decoded once.
-    pieces = stored(blocks.mapInArrow(lambda batches: _pieces(batches, False), PIECE), "pieces")
-    # A document is named by the place of its first id; pieces that continue one are given that place.
+    pieces = stored(blocks.mapInArrow(lambda batches: _pieces(batches, False), PIECE).drop("ids"), "pieces")
+    # A document is named by the place of its first id; pieces that continue one are given that place. Their
+    # checksums are joined, not their ids.
     whole = pieces.where("not partial").select("part", "id", "at", "n_ids", "crc")
     heads = blocks.select("part", "block", "first", "n_ids", "docs", "lengths", "continues")
     cut = pieces.where("partial").join(_beginnings(heads), ["part", "block", "place"])
     joined = cut.groupBy("part", "begins").agg(
-        F.first("id").alias("id"),
-        F.sum("n_ids").alias("n_ids"),
-        F.expr("listagg(ids) within group (order by at)").alias("ids"),  # one document
+        F.first("id").alias("id"), F.sort_array(F.collect_list(F.struct("at", "n_ids", "crc"))).alias("pieces")
     )
-    cut = joined.select("part", "id", F.col("begins").alias("at"), "n_ids", F.crc32("ids").alias("crc"))
+    joined = joined.select("part", "id", F.col("begins").alias("at"), "pieces")
+    cut = joined.mapInArrow(_joined, "part int, id long, at long, n_ids long, crc long")
     return whole.union(cut).join(parts, "part").select(
         F.col("id").alias(id_col),
         (F.col("offset") + F.col("at")).alias("start"),

@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -334,6 +335,45 @@ def test_token_files_hold_every_document(spark, block):
     assert sum(len(p.ids) for p in pieces) == 4 * sum(r[2] for r in _token_rows(rows))
 
 
+def test_each_word_is_encoded_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenizer_path())
+    texts = ["one 0 two\t10,0 three's 00", "", "  two\n one\x0b\x0cthree's caf\u00e9 e\u0301 0", "\u0301 \u03a3 A\u03a3", "one", "\u2003\x1c"]
+    texts += [" ".join(f"{w}{k}" for k in range(450)) for w in ("a", "b", "a")]
+    given = []
+    encoded = tokens._encoded
+    monkeypatch.setattr(tokens, "_encoded", lambda m, words: given.extend(words) or encoded(m, words))
+    monkeypatch.setattr(tokens, "_models", {})
+    encode = tokens._tokenizer(tokenizer_path())
+    for _ in range(2):
+        ids, ends = encode(pa.array(texts))
+        found = [x.tolist() for x in np.split(ids, ends[:-1])]
+        assert found == [model.encode(x, add_special_tokens=False).ids for x in texts]
+        assert len([w for w in given if w]) == len({w for w in given if w}) > 900
+
+
+def test_checksums_of_pieces_are_joined(spark):
+    """No ids are sent: those of a document that spans blocks give its checksum by theirs."""
+    rng = np.random.default_rng(8)
+    rows, whole = [], []
+    for doc in range(30):
+        parts = [rng.integers(0, 65_536, n).astype("<u4") for n in rng.integers(1, 5000, rng.integers(1, 7))]
+        at = np.cumsum([17, *map(len, parts)])
+        pieces = [{"at": int(a), "n_ids": len(p), "crc": zlib.crc32(p)} for a, p in zip(at, parts)]
+        rows.append({"part": 0, "id": doc, "at": 17, "pieces": pieces})
+        whole.append((doc, int(at[-1]) - 17, zlib.crc32(np.concatenate(parts))))
+    kind = pa.list_(pa.struct([("at", pa.int64()), ("n_ids", pa.int64()), ("crc", pa.int64())]))
+    schema = pa.schema([("part", pa.int32()), ("id", pa.int64()), ("at", pa.int64()), ("pieces", kind)])
+    batch = pa.RecordBatch.from_pylist(rows, schema)
+    found = pa.Table.from_batches(tokens._joined(iter([batch.slice(0, 11), batch.slice(11), batch.slice(0, 0)])))
+    assert [(r["id"], r["n_ids"], r["crc"]) for r in found.to_pylist()] == whole
+    path = folder(spark, "ids")
+    tokens.write(t.frame(spark, t.documents(n=9)), path, tokens.Output(tokenizer_path(), block=7))
+    plan = tokens.digest(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    assert "binary" not in plan and "listagg" not in plan
+
+
 def test_null_ids_come_first_and_empty_tables_pass(spark):
     rows = [(3, "c"), (None, "a"), (1, "b")]
     config = tokens.Output(tokenizer_path())
