@@ -9,6 +9,7 @@ that Spark writes to will do.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -27,12 +28,12 @@ from stepweave.llm import coder
 from stepweave.llm import text as tx
 from stepweave.llm.shared import folder, stored
 
-FORMAT = "ids-cm-2"
+FORMAT = "ids-cm-3"
 BLOCK = (
     "format string, part int, block int, first long, n_ids int, docs array<long>, lengths array<int>, "
     "continues boolean, crc long, data binary, head_crc long"
 )
-WORDS_KEPT = 150_000  # words, and their ids, that a Python worker remembers from task to task, twice: new and older ones
+WORDS_KEPT = 300_000  # words, and their ids, that a Python worker remembers from task to task; beyond, those of the last slice
 SLICE_BYTES = 4_000_000  # of texts encoded at a time
 _models: dict[str, list] = {}
 
@@ -48,41 +49,183 @@ class Output:
 
 def _tokenizer(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """Encodes texts: all their ids, and where those of each text end. White space always parts words of these
-    tokenizers' patterns, so each different word of the texts is encoded once and remembered; only ASCII white space
-    is used to part them here."""
+    tokenizers' patterns, so each different word of the texts is encoded once; only ASCII white space is used to part
+    them here. Where the tokenizer's own rules are those of ``_Plain``, words are parted further and their cases joined."""
     if path not in _models:
         # A task has one core, and other tasks have the others.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _models[path] = [Tokenizer.from_file(path), {}, {}]
+        nothing = pa.array([], pa.string()), pa.array([], pa.list_(pa.uint32()))
+        model = Tokenizer.from_file(path)
+        _models[path] = [model, _Plain.of(path, model), nothing]
     held = _models[path]
 
+    def coded(words: pa.Array) -> pa.ListArray:
+        """The ids of words never seen before."""
+        model, plain, _ = held
+        simple = plain.holds(words) if plain else pa.array(np.zeros(len(words), bool))
+        some, others = words.filter(simple), words.filter(pc.invert(simple))
+        first = plain.encode(some) if plain else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        if first is None:
+            first = _together(_encoded(model, some.to_pylist()))
+        found = [first]
+        for at in range(0, len(others), 10_000):
+            found.append(_together(_encoded(model, others.slice(at, 10_000).to_pylist())))
+        ids, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(ids))
+        simple = simple.to_numpy(zero_copy_only=False)
+        return lists.take(pa.array(np.where(simple, np.cumsum(simple), len(some) + np.cumsum(~simple)) - 1))
+
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        model, known, older = held
-        words = pc.ascii_split_whitespace(texts)
-        coded = words.flatten().dictionary_encode()
-        kinds = coded.dictionary.to_pylist()
-        found = [known.get(w) or older.get(w) for w in kinds]
-        new = [k for k, x in enumerate(found) if x is None]
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for k, x in zip(some, _encoded(model, [kinds[k] for k in some]), strict=True):
-                found[k] = x
-        known.update(zip(kinds, found, strict=True))
-        if len(known) > WORDS_KEPT:
-            held[1:] = {}, known
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
-        flat = np.frombuffer(b"".join(found), np.uint32)
-        which = coded.indices.to_numpy()
-        each = sizes[which]
-        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which], each) + tx.within(each)]
-        bounds = words.offsets.to_numpy()
-        return ids, np.append(0, np.cumsum(each))[bounds[1:] - bounds[0]]
+        _, plain, (words, ids) = held
+        if plain:
+            pieces, bounds = plain.pieces(texts)
+            pieces = pieces.dictionary_encode()
+            kinds = pc.ascii_trim_whitespace(pieces.dictionary)
+            kinds = pc.if_else(plain.holds(kinds), pc.utf8_lower(kinds), kinds).dictionary_encode()
+            which, kinds = kinds.indices.take(pieces.indices), kinds.dictionary
+        else:
+            split = pc.ascii_split_whitespace(texts)
+            pieces, bounds = split.flatten().dictionary_encode(), split.offsets.to_numpy()
+            which, kinds = pieces.indices, pieces.dictionary
+        place = pc.fill_null(pc.index_in(kinds, value_set=words), -1).to_numpy().copy()
+        new = place < 0
+        if new.any():
+            place[new] = len(words) + np.arange(new.sum())
+            fresh = kinds.filter(pa.array(new))
+            words, ids = pa.concat_arrays([words, fresh]), pa.concat_arrays([ids, coded(fresh)])
+        place = pa.array(place)
+        held[2] = (words, ids) if len(words) <= WORDS_KEPT else (kinds, ids.take(place))
+        found = ids.take(place.take(which))
+        return found.flatten().to_numpy(), found.offsets.to_numpy()[bounds[1:] - bounds[0]].astype(np.int64)
 
     return encode
 
 
+def _together(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(words), np.uint32), np.fromiter(map(len, words), np.int64, len(words)) >> 2
+
+
+def _raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Buffer | None]:
+    """Where texts begin and end in their bytes, those bytes, and the buffer that holds them."""
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    return ends, np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), data
+
+
+class _Plain:
+    """Words of letters, or of ASCII marks, under rules that part words where letters meet marks and join their cases.
+
+    The library gets them without the steps that don't change them: each is one word of its merges. Letters are those of
+    ASCII and U+00C0 to U+00FF, which have one byte pair each, stay as they are when composed and have one lower case.
+    Words (between white space) with any other character, an apostrophe, a digit or the first character of an added token
+    are not parted.
+    """
+
+    SPACE, LETTER, MARK, OTHER = range(4)
+    RULES = {
+        "normalizer": {
+            "type": "Sequence",
+            "normalizers": [
+                {"type": "NFC"},
+                {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+                {"type": "Lowercase"},
+            ],
+        },
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {
+                    "type": "Split",
+                    "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                    "behavior": "Removed",
+                    "invert": True,
+                },
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    }
+
+    def __init__(self, model: Tokenizer, added: list[str], suffix: str) -> None:  # noqa: F821
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.table = np.full(256, self.OTHER, np.uint8)
+        self.table[33:127] = self.MARK
+        for c in range(128):
+            if chr(c).isalnum():
+                self.table[c] = self.LETTER if chr(c).isalpha() else self.OTHER
+        # U+00C0 to U+00FF are 0xC3 and a byte from 0x80 to 0xBF, of which two are no letters. Other characters beyond
+        # ASCII have another first byte.
+        self.table[[0xC3, *range(0x80, 0xC0)]] = self.LETTER
+        self.table[["×".encode()[1], "÷".encode()[1]]] = self.OTHER
+        self.table[[9, 10, 11, 12, 13, 32]] = self.SPACE
+        self.table[ord("'")] = self.OTHER
+        for token in added:
+            self.table[token.encode()[0]] = self.OTHER
+        self.model = Tokenizer(model.model)  # the same merges, not held twice
+        steps = [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        self.model.pre_tokenizer = pre_tokenizers.Sequence(steps)
+        vocabulary = model.get_vocab()
+        self.last = np.zeros(1 + max(vocabulary.values()), bool)
+        self.last[[i for word, i in vocabulary.items() if word.endswith(suffix)]] = True
+
+    @classmethod
+    def of(cls, path: str, model: Tokenizer) -> _Plain | None:  # noqa: F821
+        """None where the rules are not known to be these."""
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        bpe = rules["model"]
+        same = all(rules.get(k) == rule for k, rule in cls.RULES.items()) and not rules.get("post_processor")
+        same = same and bpe.get("type") == "BPE" and bool(bpe.get("end_of_word_suffix")) and not bpe.get("dropout")
+        return cls(model, [t["content"] for t in rules["added_tokens"]], bpe["end_of_word_suffix"]) if same else None
+
+    def pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Parts of words with the white space before them, and where those of each text begin and end."""
+        offsets, data, buffer = _raw(texts.cast(pa.string()))
+        base = offsets[0] if len(offsets) else 0
+        ends = offsets - base
+        kind = self.table[data[base : offsets[-1]]]
+        new = np.ones(len(kind), bool)
+        new[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != self.SPACE)
+        new[ends[ends < len(kind)]] = True
+        at = np.flatnonzero(new)
+        other = kind[np.append(at[1:], len(kind))[: len(at)] - 1] == self.OTHER
+        if other.any():
+            opens = kind[at] == self.SPACE
+            opens[np.searchsorted(at, ends[ends < len(kind)])] = True
+            word = np.cumsum(opens) - 1
+            whole = np.zeros(len(at), bool)
+            whole[word[other]] = True
+            at = at[opens | ~whole[word]]
+        found = np.append(at, len(kind)).astype(np.int32) + np.int32(base)
+        return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(found), buffer]), np.searchsorted(at, ends)
+
+    def holds(self, words: pa.Array) -> pa.Array:
+        """Which words have letters or marks only."""
+        offsets, data, _ = _raw(words)
+        others = np.append(0, np.cumsum(self.table[data[: offsets[-1]]] == self.OTHER, dtype=np.int32))
+        return pa.array(others[offsets[1:]] == others[offsets[:-1]])
+
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+        """Their ids, and how many each has; a word's last id stands for an end of a word. None if that doesn't come out."""
+        filled = pc.binary_length(words).to_numpy() > 0
+        some = words.filter(pa.array(filled))
+        groups = np.append(np.arange(0, len(some), 250), len(some)).astype(np.int32)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(groups), some), " ")
+        found = [np.zeros(0, np.uint32)]
+        for at in range(0, len(texts), 40):
+            batch = self.model.encode_batch_fast(texts.slice(at, 40).to_pylist(), add_special_tokens=False)
+            found += [np.array(e.ids, np.uint32) for e in batch]
+        ids = np.concatenate(found)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(some) or len(ids) != (ends[-1] if len(ends) else 0):
+            return None
+        sizes = np.zeros(len(words), np.int64)
+        sizes[filled] = np.diff(ends, prepend=0)
+        return ids, sizes
+
+
 def _encoded(model: "Tokenizer", words: list[str]) -> list[bytes]:  # noqa: F821
     """The ids of each word. Many words are one text, parted by a digit: that is a token by itself in these patterns, and
     what has it inside, or gives another number of parts, is encoded alone."""
@@ -131,18 +274,20 @@ def _head_crc(part: int, block: int, first: int, n_ids: int, docs: list, lengths
 def _blocks(batches: Iterator[pa.RecordBatch], config: Output) -> Iterator[pa.RecordBatch]:
     encode = _tokenizer(config.tokenizer)
     part, block, first = TaskContext.get().partitionId(), 0, 0
-    end = np.array([config.end_id], np.uint32)
     waiting: list[tuple[int | None, np.ndarray, bool]] = []  # id, ids, whether it began in an earlier block
     held = 0
     enough = coder.LANES * config.block
 
     def cut(last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal waiting, held, block, first
-        stream = np.concatenate([w[1] for w in waiting]) if waiting else np.zeros(0, np.uint32)
-        if len(stream) and int(stream.max()) >= coder.LARGEST:
-            raise ValueError("an id does not fit into 16 bits")
+        stream = np.concatenate([w[1] for w in waiting]) if waiting else np.zeros(0, np.uint16)
         whole = len(stream) if last else len(stream) // config.block * config.block
         bounds = np.concatenate(([0], np.cumsum([len(w[1]) for w in waiting]))).astype(np.int64)
+        at = int(np.searchsorted(bounds, whole, "right")) - 1
+        rest = waiting[at:]
+        if rest and bounds[at] < whole:
+            rest = [(rest[0][0], rest[0][1][whole - bounds[at] :].copy(), True), *rest[1:]]
+        waiting = [(one, None, late) for one, _, late in waiting]  # the stream has their ids
         starts = np.arange(0, whole, config.block)
         pieces = [stream[a : min(a + config.block, whole)] for a in starts]
         rows = []
@@ -163,19 +308,17 @@ def _blocks(batches: Iterator[pa.RecordBatch], config: Output) -> Iterator[pa.Re
             for at in range(0, len(rows), 1000):
                 columns = zip(*rows[at : at + 1000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
-        at = int(np.searchsorted(bounds, whole, "right")) - 1
-        rest = waiting[at:]
-        if rest and bounds[at] < whole:
-            rest = [(rest[0][0], rest[0][1][whole - bounds[at] :], True), *rest[1:]]
         waiting, held = rest, len(stream) - whole
 
     for batch in batches:
         for doc, texts in _slices(batch.column("id"), batch.column("text")):
             ids, ends = encode(texts)
-            starts = np.append(0, ends[:-1]).tolist()
-            for one, a, b in zip(doc.to_pylist(), starts, ends.tolist(), strict=True):
-                waiting.append((one, np.concatenate([ids[a:b], end]), False))
-            held += len(ids) + len(ends)
+            if int(ids.max(initial=config.end_id)) >= coder.LARGEST:
+                raise ValueError("an id does not fit into 16 bits")
+            ids = np.insert(ids.astype(np.uint16), ends, config.end_id)
+            starts = np.append(0, ends + np.arange(1, len(ends) + 1)).tolist()
+            waiting += [(one, ids[a:b], False) for one, a, b in zip(doc.to_pylist(), starts[:-1], starts[1:], strict=True)]
+            held += len(ids)
             if held >= enough:
                 yield from cut(last=False)
     yield from cut(last=True)
@@ -208,8 +351,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], all_ids: bool) -> Iterator[pa.Rec
     names = [f.split()[0] for f in PIECE.split(", ")]
     kinds = [pa.int32()] * 3 + [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
     for batch in batches:
-        for at in range(0, batch.num_rows, coder.LANES):
-            some = batch.slice(at, coder.LANES).to_pydict()
+        for span in coder.groups(range(batch.num_rows)):
+            some = batch.slice(span.start, len(span)).to_pydict()
             if any(f != FORMAT for f in some["format"]):
                 raise ValueError("not a block of this format")
             fields = ("part", "block", "first", "n_ids", "docs", "lengths", "continues", "crc", "data")

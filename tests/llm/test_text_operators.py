@@ -353,6 +353,57 @@ def test_each_word_is_encoded_once(monkeypatch):
         assert len([w for w in given if w]) == len({w for w in given if w}) > 900
 
 
+ATOMS = ["a", "B", "the", "Don", "'", "'s", "'T", "ll", "1", "23", "\u00bd", "\u00e9", "\u00c9", "\u00df", "\u00d7", "\u00f7", "\u00ff"]
+ATOMS += ["J\u030c", "T\u0308", "\u030c", "o\u0308", "\u03a3", "\u0130", "\u4e2d", "\u00a0", "\u0085", "\x1c", "\x00", "\x7f", " ", "  "]
+ATOMS += ["\n", "\t", "\r\n", "\x0b", ".", ",", "!?", "...", "-", "_", "(", "<", "<|", "<|endoftext|>", "|>", "</w>", "\u0120", '"']
+
+
+def test_plain_words_are_parted_as_the_library_parts_them(monkeypatch):
+    """Letters and marks apart, cases joined: what needs all steps of the tokenizer is seldom."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenizer_path())
+    given = []
+    encoded = tokens._encoded
+    monkeypatch.setattr(tokens, "_encoded", lambda m, words: given.extend(words) or encoded(m, words))
+    monkeypatch.setattr(tokens, "_models", {})
+    encode = tokens._tokenizer(tokenizer_path())
+    ids, ends = encode(pa.array(["left out", "\u00dcber (Stra\u00dfe), UND... Stra\u00dfe-und \u00fcBER", "don't", None, "und"]).slice(1).fill_null(""))
+    assert given == ["don't"]
+    assert ids.tolist() == model.encode("\u00fcber ( stra\u00dfe ), und ... stra\u00dfe - und \u00fcber don't und", add_special_tokens=False).ids
+    rng = np.random.default_rng(4)
+    for n in range(60):
+        texts = ["".join(rng.choice(ATOMS, rng.choice([0, 1, 3, 10, 60]))) for _ in range(40)]
+        ids, ends = encode(pa.array(texts))
+        found = [x.tolist() for x in np.split(ids, ends[:-1])]
+        assert found == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_other_rules_get_whole_words(monkeypatch, tmp_path):
+    """Words are parted only under the rules known to allow it."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        rules = json.load(f)
+    rules["normalizer"] = {"type": "NFC"}
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(rules), encoding="utf-8")
+    monkeypatch.setattr(tokens, "WORDS_KEPT", 3)
+    texts = ["One two, THREE one", "", "Three two, One!"]
+    for _ in range(2):
+        ids, ends = tokens._tokenizer(str(path))(pa.array(texts))
+        found = [x.tolist() for x in np.split(ids, ends[:-1])]
+        assert found == [Tokenizer.from_file(str(path)).encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_few_blocks_do_not_stay_behind(monkeypatch):
+    """Some blocks beyond a group take no second round of as many steps, and groups are of one size."""
+    monkeypatch.setattr(coder, "LANES", 100)
+    assert [len(g) for n in (0, 1, 125, 126, 260) for g in coder.groups(range(n))] == [1, 125, 63, 63, 87, 87, 86]
+
+
 def test_checksums_of_pieces_are_joined(spark):
     """No ids are sent: those of a document that spans blocks give its checksum by theirs."""
     rng = np.random.default_rng(8)
