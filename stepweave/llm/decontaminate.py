@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.llm import text as tx
-from stepweave.llm.shared import stored
+from stepweave.llm.shared import stored, tidy
 
 
 @dataclass(frozen=True)
@@ -298,6 +298,7 @@ def _passes(seed: np.ndarray, bloom: np.ndarray, config: Seeds) -> np.ndarray:
     return out
 
 
+@tidy
 def _segments(batches: Iterator[pa.RecordBatch], config: Seeds, bloom: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
     """Runs of words around seeds that pass the filter, as far as an item can reach from there."""
     names = ["id", "at", "words", "starts", "ends", "seeds", "places"]
@@ -386,6 +387,7 @@ def _best(words: np.ndarray, at: int, item: np.ndarray, diagonals: np.ndarray, c
     return best
 
 
+@tidy
 def _overlaps(batches: Iterator[pa.RecordBatch], config: Seeds) -> Iterator[pa.RecordBatch]:
     """Of each stretch and item brought together, their best overlap."""
     names = ["id", "item", "n_words", "n_equal", "item_words", "start_word", "start_byte", "end_byte"]

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.llm import text as tx
+from stepweave.llm.shared import tidy
 
 UND = "und"
 
@@ -238,6 +239,7 @@ def _groups(model: LanguageModel) -> list[tuple[Automaton, ...]]:
     return groups
 
 
+@tidy
 def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, kept: list[str]) -> Iterator[pa.RecordBatch]:
     groups = _groups(model)
     n_langs = len(model.automata)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from stepweave.llm import text as tx
 from stepweave.llm.components import components
-from stepweave.llm.shared import stored
+from stepweave.llm.shared import stored, tidy
 
 
 @dataclass(frozen=True)
@@ -163,6 +163,7 @@ def _rest(members: DataFrame, texts: DataFrame, config: MinMax) -> DataFrame:
     return stored(laid.mapInArrow(lambda batches: _joining(batches, config), "a long, b long"), "links")
 
 
+@tidy
 def _packed(batches: Iterator[pa.RecordBatch], config: MinMax) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         packed = pa.array([x.tobytes() for x in _sets(batch.column("text"), config)], pa.binary())
@@ -173,6 +174,7 @@ def _packed(batches: Iterator[pa.RecordBatch], config: MinMax) -> Iterator[pa.Re
 COLUMNS = 16_384  # shingles of a matrix product
 
 
+@tidy
 def _joining(batches: Iterator[pa.RecordBatch], config: MinMax) -> Iterator[pa.RecordBatch]:
     """Of two blocks, links that join different components, as few as it takes."""
     for batch in batches:
@@ -251,6 +253,7 @@ def _sets(column: pa.Array, config: MinMax) -> list[np.ndarray]:
     return out
 
 
+@tidy
 def _similar(batches: Iterator[pa.RecordBatch], config: MinMax) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = np.zeros(batch.num_rows, bool)
@@ -261,6 +264,7 @@ def _similar(batches: Iterator[pa.RecordBatch], config: MinMax) -> Iterator[pa.R
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+@tidy
 def _sign(batches: Iterator[pa.RecordBatch], config: MinMax) -> Iterator[pa.RecordBatch]:
     random = np.random.Generator(np.random.PCG64(7))
     factors = random.integers(1, 2**63, config.hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

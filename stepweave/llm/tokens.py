@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 
 from stepweave.llm import coder
 from stepweave.llm import text as tx
-from stepweave.llm.shared import folder, stored
+from stepweave.llm.shared import folder, give_back, stored, tidy
 
 FORMAT = "ids-cm-3"
 BLOCK = (
@@ -271,6 +271,7 @@ def _head_crc(part: int, block: int, first: int, n_ids: int, docs: list, lengths
     return zlib.crc32(data, zlib.crc32(head + known + np.array(lengths, "<i4").tobytes()))
 
 
+@tidy
 def _blocks(batches: Iterator[pa.RecordBatch], config: Output) -> Iterator[pa.RecordBatch]:
     encode = _tokenizer(config.tokenizer)
     part, block, first = TaskContext.get().partitionId(), 0, 0
@@ -290,6 +291,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], config: Output) -> Iterator[pa.Re
         waiting = [(one, None, late) for one, _, late in waiting]  # the stream has their ids
         starts = np.arange(0, whole, config.block)
         pieces = [stream[a : min(a + config.block, whole)] for a in starts]
+        give_back()  # what encoding left, before the coder needs as much
         rows = []
         for a, ids, data in zip(starts, pieces, coder.encode(pieces), strict=True):
             b = a + len(ids)
@@ -347,6 +349,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BLOCK).parquet(path).mapInArrow(lambda batches: _pieces(batches, True), PIECE)
 
 
+@tidy
 def _pieces(batches: Iterator[pa.RecordBatch], all_ids: bool) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in PIECE.split(", ")]
     kinds = [pa.int32()] * 3 + [pa.int64()] * 4 + [pa.bool_(), pa.binary()]

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from stepweave.llm import chat, coder, decontaminate, langid, mixing, sql, tokens, toxicity
+from stepweave.llm import chat, coder, decontaminate, langid, minhash, mixing, shared, sql, tokens, toxicity
 from stepweave.llm.registered import tokenizer_path
 from stepweave.llm.shared import folder
 from tests.llm import tables as t
@@ -404,6 +404,20 @@ def test_few_blocks_do_not_stay_behind(monkeypatch):
     assert [len(g) for n in (0, 1, 125, 126, 260) for g in coder.groups(range(n))] == [1, 125, 63, 63, 87, 87, 86]
 
 
+def test_workers_give_memory_back(monkeypatch):
+    """Workers outlive their tasks: what they free must not stay with them."""
+    done = []
+    monkeypatch.setattr(shared, "give_back", lambda: done.append(True))
+    found = shared.tidy(lambda n, by=1: iter(range(0, n, by)))(5, by=2)
+    assert next(found) == 0 and not done
+    assert list(found) == [2, 4] and done == [True]
+    work = [tokens._blocks, tokens._pieces, langid._predict, decontaminate._segments, decontaminate._overlaps]
+    work += [minhash._sign, minhash._packed, minhash._joining, minhash._similar]
+    assert all(f.__wrapped__.__name__ == f.__name__ for f in work)
+    monkeypatch.undo()
+    shared.give_back()
+
+
 def test_checksums_of_pieces_are_joined(spark):
     """No ids are sent: those of a document that spans blocks give its checksum by theirs."""
     rng = np.random.default_rng(8)
