@@ -9,8 +9,8 @@ neighbouring windows of one anchor form a run whose bytes, its context, travel t
    filter of fixed size of the others goes to every task; it saves work and decides nothing.
 2. Contexts of runs that pass are shuffled by anchor: those of a slice and bucket compressed together, equal ones
    once, with the places (ids and bytes) that have them.
-3. Each task joins its contexts to one text and builds its Burrows-Wheeler transform. Starting with the intervals of
-   single bytes, all intervals are extended backward by one byte, breadth first, level by level. A boundary that
+3. Equal windows have one anchor, so a context that is the only one of its anchor is left as it is. Each task joins
+   the others to one text and builds its Burrows-Wheeler transform. Starting with the intervals of single bytes, all intervals are extended backward by one byte, breadth first, level by level. A boundary that
    appears at level l is a common prefix of l - 1 bytes, so common prefixes come out by increasing value; an interval
    of one suffix is dropped, and the expansion stops at ``length``: what is left are the sets of equal windows.
 4. The smallest id of each set goes to the places that have the context, and each document unites its repeats.
@@ -268,23 +268,29 @@ def _contexts(
 
 
 def sorted_suffixes(data: np.ndarray, length: int) -> np.ndarray:
-    """Cyclic suffixes in the order of their first ``length`` bytes, by doubling ranks of eight bytes."""
-    n = len(data)
-    padded = np.concatenate((data, np.resize(data, 8))).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | padded[k : k + n]
-    known = 8
+    """Cyclic suffixes in the order of their first ``length`` bytes, by ranks of prefixes: as many as 64 bits hold make a
+    longer one. Suffixes that no longer share their prefix are not sorted again."""
+    letters = np.bincount(data, minlength=256) > 0
+    rank = (np.cumsum(letters) - 1).astype(np.uint64)[data]
+    order, rest, known = np.arange(len(data)), np.arange(len(data)), 1
     while True:
-        order = np.argsort(key)
-        if known >= length:
+        bits = max(1, int(rank.max()).bit_length())
+        key, reach = rank, 0
+        for _ in range(64 // bits - 1):
+            reach = min(reach + known, length - known)
+            key = (key << np.uint64(bits)) | np.roll(rank, -reach)
+            if known + reach == length:
+                break
+        known += reach
+        some = order[rest]
+        order[rest] = some[np.argsort(key[some])]
+        if known == length:
             return order
         ranked = key[order]
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.concatenate(([0], np.cumsum(ranked[1:] != ranked[:-1]))).astype(np.uint64)
-        step = min(known, length - known)
-        key = (rank << np.uint64(32)) | np.roll(rank, -step)
-        known += step
+        new = np.concatenate(([True], ranked[1:] != ranked[:-1], [True]))
+        rank = np.empty(len(data), np.uint64)
+        rank[order] = (np.cumsum(new[:-1]) - 1).astype(np.uint64)
+        rest = np.flatnonzero(~(new[:-1] & new[1:]))
 
 
 def equal_windows(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -330,25 +336,14 @@ class Classes:
     least: np.ndarray
 
 
-def _classes(
-    anchor: np.ndarray, least: np.ndarray, top: np.ndarray, size: np.ndarray, raw: np.ndarray, config: Repeats
-) -> Classes:
-    """Of contexts in the order of their anchors, with their smallest and largest ids and their bytes."""
-    # An anchor that only one document holds has no repeats.
-    group = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-    sizes = np.diff(np.append(group, len(anchor)))
-    shared = np.repeat(np.minimum.reduceat(least, group) < np.maximum.reduceat(top, group), sizes)
-    rows = np.flatnonzero(shared)
-    if not len(rows):
-        return Classes(*[np.zeros(0, np.int64)] * 4)
-    raw = raw[np.repeat(shared, size)]
-    least, top, size = least[rows], top[rows], size[rows]
+def _classes(least: np.ndarray, top: np.ndarray, size: np.ndarray, raw: np.ndarray, config: Repeats) -> Classes:
+    """Of different contexts, with their smallest and largest ids and their bytes."""
     start = np.cumsum(size + 1) - size - 1  # a separator after each
-    data = np.full(int(size.sum()) + len(rows), SEPARATOR, np.uint8)
+    data = np.full(int(size.sum()) + len(size), SEPARATOR, np.uint8)
     inside = np.ones(len(data), bool)
     inside[start + size] = False
     data[inside] = raw
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), size + 1)
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
     lowest = least[owner]
     place, number = equal_windows(data, config.length)
     if len(place):
@@ -357,7 +352,7 @@ def _classes(
         lowest[place] = np.repeat(smallest, np.diff(np.append(at, len(place))))
     # Windows in order of place; a span ends where the id or the context changes.
     window = np.ones(len(data), bool)
-    tail = np.repeat(start + size + 1, config.length) - np.tile(np.arange(config.length), len(rows)) - 1
+    tail = np.repeat(start + size + 1, config.length) - np.tile(np.arange(config.length), len(size)) - 1
     window[tail] = False
     at = np.flatnonzero(window)
     low, own = lowest[at], owner[at]
@@ -368,7 +363,7 @@ def _classes(
     own, low = own[useful], low[useful]
     begin = at[opens[useful]] - start[own]
     stop = at[end[useful]] - start[own] + config.length
-    return Classes(rows[own], begin, stop, low)
+    return Classes(own, begin, stop, low)
 
 
 def _spans(batches: Iterator[pa.RecordBatch], config: Repeats) -> Iterator[pa.RecordBatch]:
@@ -391,19 +386,27 @@ def _spans(batches: Iterator[pa.RecordBatch], config: Repeats) -> Iterator[pa.Re
     length = size + config.length - 1
     begin = (np.cumsum(length) - length)[order[head]]
     length, short, least, top = length[order[head]], s[head], least[order[head]], np.maximum.reduceat(most[order], head)
+    # An anchor that only one document holds has no repeats. Of one with a single context, each window has that one's ids.
+    group = np.flatnonzero(np.concatenate(([True], short[1:] != short[:-1])))
+    contexts = np.diff(np.append(group, len(head)))
+    shared = np.minimum.reduceat(least, group) < np.maximum.reduceat(top, group)
+    alone = group[shared & (contexts == 1)]
+    rows = np.flatnonzero(np.repeat(shared & (contexts > 1), contexts))
     # Contexts of whole anchors, up to ``sorted_bytes``, are sorted at a time.
-    ends = np.append(np.flatnonzero(short[1:] != short[:-1]) + 1, len(head))
-    reach = np.cumsum(length)[ends - 1]
-    parts, at, done = [], 0, 0
-    while at < len(head):
+    ends = np.append(np.flatnonzero(short[rows[1:]] != short[rows[:-1]]) + 1, len(rows))
+    reach = np.append(0, np.cumsum(length[rows]))[ends]
+    parts, at, done = [Classes(alone, np.zeros(len(alone), np.int64), length[alone], least[alone])], 0, 0
+    while at < len(rows):
         end = int(ends[max(np.searchsorted(reach, done + config.sorted_bytes, "right") - 1, np.searchsorted(ends, at, "right"))])
-        own = slice(at, end)
+        own = rows[at:end]
         some = raw[np.repeat(begin[own], length[own]) + tx.within(length[own])]
-        part = _classes(short[own], least[own], top[own], length[own], some, config)
-        part.owner += at
+        part = _classes(least[own], top[own], length[own], some, config)
+        part.owner = own[part.owner]
         parts.append(part)
-        at, done = end, int(np.cumsum(length[own])[-1]) + done
-    classes = Classes(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("owner", "begin", "stop", "least")))
+        at, done = end, int(length[own].sum()) + done
+    found = [np.concatenate([getattr(p, f) for p in parts]) for f in ("owner", "begin", "stop", "least")]
+    order = np.argsort(found[0], kind="stable")
+    classes = Classes(*(x[order] for x in found))
     del raw
     n_spans = np.bincount(classes.owner, minlength=len(head))
     first_span = np.cumsum(n_spans) - n_spans

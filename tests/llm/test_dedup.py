@@ -173,6 +173,38 @@ def test_suffix_contexts_are_shuffled_small():
     assert sum(int(p[3].sum()) for p in parts) == 2 * len(runs.doc)
 
 
+def test_suffix_contexts_alone_of_their_anchor_are_not_sorted(monkeypatch):
+    """Copies have equal contexts, which are one; only those around a change share their anchor with others."""
+    rng = random.Random(12)
+    copies = ["".join(rng.choice("abcdefgh ") for _ in range(3000)) for _ in range(4)]
+    rows = list(enumerate([*copies, *copies, copies[0][:1000] + "x" + copies[0][1000:], copies[1][:90] * 3]))
+    batch = pa.RecordBatch.from_pydict({"id": [i for i, _ in rows], "text": [text for _, text in rows]})
+    config = suffix.Repeats()
+    bloom = np.full((1 << config.filter_bits) // 8, 255, np.uint8)
+    packed = list(suffix._contexts(iter([batch]), 1, bloom, config))
+    seen, sort = [], suffix.sorted_suffixes
+    monkeypatch.setattr(suffix, "sorted_suffixes", lambda data, length: seen.append(len(data)) or sort(data, length))
+    covers = {i: bytearray(len(text)) for i, text in rows}
+    for found in suffix._spans(iter(packed), config):
+        for i, interval in zip(found.column("doc").to_pylist(), found.column("interval").to_pylist(), strict=True):
+            a, n = interval >> suffix.SPAN_BITS, interval & ((1 << suffix.SPAN_BITS) - 1)
+            covers[i][a : a + n] = b"\1" * n
+    assert [(i, sum(c)) for i, c in covers.items()] == [(r[0], r[2]) for r in sorted(_suffix_expected(rows))]
+    assert 0 < sum(seen) < 3000
+
+
+def test_sorted_suffixes_are_in_order():
+    rng = np.random.default_rng(5)
+    for n, letters, length in ((1, 1, 50), (40, 1, 7), (700, 2, 1), (3000, 3, 9), (3000, 30, 50), (2000, 255, 50)):
+        data = rng.integers(0, letters, n).astype(np.uint8)
+        data[n // 2 : n // 2 + n // 3] = data[: n // 3]
+        wound = np.resize(data, n + length).tobytes()
+        order = suffix.sorted_suffixes(data, length).tolist()
+        assert sorted(order) == list(range(n))
+        prefixes = [wound[k : k + length] for k in order]
+        assert prefixes == sorted(prefixes)
+
+
 def test_equal_windows_equal_a_dictionary():
     rng = np.random.default_rng(1)
     for n, letters, length in ((200, 2, 5), (500, 3, 8), (60, 1, 50), (300, 2, 50)):
