@@ -23,7 +23,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
-LANES = 1536  # blocks coded in step, or up to a quarter more: bounds memory at about 0.06 MB each for blocks of 4,096 ids
+LANES = 2560  # blocks coded in step, or up to a quarter more: bounds memory at about 0.06 MB each for blocks of 4,096 ids
 SLOTS = 512  # of predictions, a block and order: more of them save half a percent and are slower
 COUNT = 7  # of a prediction, at most
 RATE = 4  # weights move by a 16th

@@ -34,7 +34,8 @@ BLOCK = (
     "continues boolean, crc long, data binary, head_crc long"
 )
 WORDS_KEPT = 300_000  # words, and their ids, that a Python worker remembers from task to task; beyond, those of the last slice
-SLICE_BYTES = 4_000_000  # of texts encoded at a time
+SLICE_BYTES = 16_000_000  # of texts encoded at a time: the more, the fewer words come again after they were forgotten
+PART_BYTES = 30_000_000  # of texts in a part, about: their ids fill the coder's lanes once, whose steps cost the same for fewer
 _models: dict[str, list] = {}
 
 
@@ -164,8 +165,11 @@ class _Plain:
         for token in added:
             self.table[token.encode()[0]] = self.OTHER
         self.model = Tokenizer(model.model)  # the same merges, not held twice
-        steps = [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        parts = pre_tokenizers.CharDelimiterSplit(" ")
+        steps = [parts, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         self.model.pre_tokenizer = pre_tokenizers.Sequence(steps)
+        self.ascii = Tokenizer(model.model)  # whose bytes stand for themselves
+        self.ascii.pre_tokenizer = parts
         vocabulary = model.get_vocab()
         self.last = np.zeros(1 + max(vocabulary.values()), bool)
         self.last[[i for word, i in vocabulary.items() if word.endswith(suffix)]] = True
@@ -210,20 +214,24 @@ class _Plain:
     def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
         """Their ids, and how many each has; a word's last id stands for an end of a word. None if that doesn't come out."""
         filled = pc.binary_length(words).to_numpy() > 0
-        some = words.filter(pa.array(filled))
-        groups = np.append(np.arange(0, len(some), 250), len(some)).astype(np.int32)
-        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(groups), some), " ")
-        found = [np.zeros(0, np.uint32)]
-        for at in range(0, len(texts), 40):
-            batch = self.model.encode_batch_fast(texts.slice(at, 40).to_pylist(), add_special_tokens=False)
-            found += [np.array(e.ids, np.uint32) for e in batch]
-        ids = np.concatenate(found)
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(some) or len(ids) != (ends[-1] if len(ends) else 0):
-            return None
-        sizes = np.zeros(len(words), np.int64)
-        sizes[filled] = np.diff(ends, prepend=0)
-        return ids, sizes
+        plain = pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
+        ids, sizes = np.zeros(0, np.uint32), np.zeros(len(words), np.int64)
+        which = np.flatnonzero(~filled)
+        for model, own in ((self.ascii, filled & plain), (self.model, filled & ~plain)):
+            some = words.filter(pa.array(own))
+            groups = np.append(np.arange(0, len(some), 250), len(some)).astype(np.int32)
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(groups), some), " ")
+            found = [np.zeros(0, np.uint32)]
+            for at in range(0, len(texts), 40):
+                batch = model.encode_batch_fast(texts.slice(at, 40).to_pylist(), add_special_tokens=False)
+                found += [np.array(e.ids, np.uint32) for e in batch]
+            found = np.concatenate(found)
+            ends = np.flatnonzero(self.last[found]) + 1
+            if len(ends) != len(some) or len(found) != (ends[-1] if len(ends) else 0):
+                return None
+            sizes[own] = np.diff(ends, prepend=0)
+            which, ids = np.append(which, np.flatnonzero(own)), np.append(ids, found)
+        return ids[np.argsort(np.repeat(which, sizes[which]), kind="stable")], sizes
 
 
 def _encoded(model: "Tokenizer", words: list[str]) -> list[bytes]:  # noqa: F821
@@ -259,7 +267,8 @@ def write(docs: DataFrame, path: str, config: Output, id_col: str = "doc_id", te
         raise ValueError(f"a block holds 1 to {coder.LONGEST} ids")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
-    rows = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie", "text")
+    total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    rows = rows.repartitionByRange(max(1, -(-total // PART_BYTES)), "id", "tie").sortWithinPartitions("id", "tie", "text")
     blocks = rows.select("id", "text").mapInArrow(lambda batches: _blocks(batches, config), BLOCK)
     blocks.write.parquet(path)
 
@@ -277,7 +286,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], config: Output) -> Iterator[pa.Re
     part, block, first = TaskContext.get().partitionId(), 0, 0
     waiting: list[tuple[int | None, np.ndarray, bool]] = []  # id, ids, whether it began in an earlier block
     held = 0
-    enough = coder.LANES * config.block
+    enough = coder.LANES * 5 // 4 * config.block  # as many as are coded in step
 
     def cut(last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal waiting, held, block, first

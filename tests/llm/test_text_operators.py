@@ -379,6 +379,47 @@ def test_plain_words_are_parted_as_the_library_parts_them(monkeypatch):
         assert found == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_come_once_in_many_megabytes(monkeypatch):
+    """Of words beyond those kept, none is given to the library again within 16 MB of texts; ASCII takes fewer steps."""
+    words = [[c + a + b for a in "abcdefghijklmnopqrstuvw" for b in "aeiou\u00e9"] for c in "xyz"]
+    texts = [" ".join(some * 8_000) for some in (words[0], words[1], words[0], words[2])]
+    given, encode = [], tokens._Plain.encode
+    monkeypatch.setattr(tokens._Plain, "encode", lambda self, some: given.extend(some.to_pylist()) or encode(self, some))
+    monkeypatch.setattr(tokens, "WORDS_KEPT", 3)
+    monkeypatch.setattr(tokens, "_models", {})
+    coded = tokens._tokenizer(tokenizer_path())
+    sizes = []
+    for _, some in tokens._slices(pa.array(range(4)), pa.array(texts)):
+        ids, ends = coded(some)
+        sizes += np.diff(ends, prepend=0).tolist()
+    given = [w for w in given if w]
+    assert len(given) == len(set(given)) == 3 * len(words[0])
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenizer_path())
+    assert sizes == [8_000 * len(model.encode(" ".join(words[k]), add_special_tokens=False).ids) for k in (0, 1, 0, 2)]
+
+
+def test_a_part_is_coded_in_one_round(monkeypatch):
+    """A part of some blocks beyond ``LANES`` is one group; a few that stay behind would take all steps again."""
+
+    class Task:
+        get = classmethod(lambda cls: cls())
+
+        def partitionId(self):
+            return 0
+
+    monkeypatch.setattr(tokens, "TaskContext", Task)
+    monkeypatch.setattr(coder, "LANES", 8)
+    coded, lanes = coder._encode, []
+    monkeypatch.setattr(coder, "_encode", lambda blocks: lanes.append(len(blocks)) or coded(blocks))
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 1)
+    batch = pa.RecordBatch.from_pydict({"id": list(range(9)), "text": ["a b c d e f g h i j k l m n o"] * 9})
+    found = pa.Table.from_batches(tokens._blocks(iter([batch]), tokens.Output(tokenizer_path(), block=16)))
+    assert found.column("docs").to_pylist() == [[k] for k in range(9)]
+    assert lanes == [9]
+
+
 def test_other_rules_get_whole_words(monkeypatch, tmp_path):
     """Words are parted only under the rules known to allow it."""
     import json
